@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from feedloom.functions.scores import half_up
+
 INTERNAL_COLUMNS = [
     "quality_score_details", "confidence_score", "cluster_id", "contrarian_signals", "status", "source_id",
 ]
@@ -21,7 +23,7 @@ def item_text() -> Column:
         _or(F.col("summary"), F.col("excerpt")), F.lit("\nURL: "), F.col("url"),
         F.lit("\nType: "), F.col("primary_type"),
         F.lit(" | Sig: "), _or(F.col("significance"), F.lit("informational")),
-        F.lit(" | Score: "), F.format_string("%.2f", F.coalesce(F.col("relevance_score"), F.lit(0.0))),
+        F.lit(" | Score: "), F.format_string("%.2f", half_up(F.coalesce(F.col("relevance_score"), F.lit(0.0)), 2)),
         F.lit("\nTags: "), F.array_join(F.col("tags"), ", "), F.lit("\n\n"),
     )
 
@@ -107,7 +109,7 @@ def clean_item(items: DataFrame) -> DataFrame:
             out = out.withColumn(c, F.date_format(c, "yyyy-MM-dd"))
     for c in ("relevance_score", "quality_score", "similarity", "rank"):
         if c in items.columns:
-            out = out.withColumn(c, F.round(c, 2))
+            out = out.withColumn(c, half_up(F.col(c), 2))
     if {"excerpt", "summary"} <= set(items.columns):
         out = out.withColumn("excerpt", F.when(F.coalesce(F.col("summary"), F.lit("")) == "", F.col("excerpt")))
     return out.drop(*INTERNAL_COLUMNS)

@@ -15,6 +15,11 @@ def stable(score: Column, digits: int = 6) -> Column:
     return F.round(score, digits)
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Half-up rounding of the decimal value: the last bits of a double are dropped first."""
+    return F.round(F.round(x, 9), digits)
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -108,7 +113,7 @@ def community_score(stars: Column, forks: Column, subscribers: Column) -> Column
         + F.least(F.lit(0.1), lg(forks) / 50.0)
         + F.least(F.lit(0.05), lg(subscribers) / 100.0)
     )
-    return F.when((stars == 0) & (forks == 0), F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), total), 3))
+    return F.when((stars == 0) & (forks == 0), F.lit(0.0)).otherwise(half_up(F.least(F.lit(1.0), total), 3))
 
 
 def security_score(findings: Column) -> Column:
@@ -134,7 +139,7 @@ def quality_subscores(signals: Column, content: Column, as_of: Column) -> Column
     found = F.coalesce(tx.unsafe_findings(content), F.array().cast("array<string>"))
     archived, pushed = F.coalesce(signals["archived"], F.lit(False)), signals["pushed_at"]
     return F.struct(
-        F.round(maintenance_score(pushed, archived, as_of), 3).alias("maintenance"),
+        half_up(maintenance_score(pushed, archived, as_of), 3).alias("maintenance"),
         F.round(security_score(found), 3).alias("security"),
         F.round(compatibility_score(F.coalesce(signals["has_license"], F.lit(False)), archived), 3).alias(
             "compatibility"
@@ -153,7 +158,7 @@ def aggregate_quality(sub: Column) -> Column:
         + sub["security"] * 0.25
         + sub["compatibility"] * 0.20
     )
-    return F.round(clamp(mix, 0.0, 1.0), 3)
+    return half_up(clamp(mix, 0.0, 1.0), 3)
 
 
 # ---- heuristic quality -------------------------------------------------------------------
@@ -209,7 +214,7 @@ def heuristic_quality(tier: Column, content: Column, summary: Column, tags: Colu
         title_part.alias("title_penalty"),
         summary_penalty(summary).alias("summary_penalty"),
         has_tags.alias("has_tags"),
-        F.round(clamp(F.round(total, 9), 0.05, 1.0), 3).alias("final_score"),
+        half_up(clamp(total, 0.05, 1.0), 3).alias("final_score"),
     )
 
 
@@ -272,7 +277,7 @@ def quality_label(score: Column) -> Column:
 
 def star_text(stars: Column) -> Column:
     """1234 -> '1.2k'; a round thousand loses its '.0'."""
-    thousands = F.regexp_replace(F.format_string("%.1f", stars / 1000.0), r"\.0$", "")
+    thousands = F.regexp_replace(F.format_string("%.1f", half_up(stars / 1000.0, 1)), r"\.0$", "")
     return F.when(stars >= 1000, F.concat(thousands, F.lit("k"))).when(stars > 0, stars.cast("string"))
 
 

@@ -194,6 +194,11 @@ def decay(ts: str, days: float = 7.0) -> str:
     return f"exp(ln(0.5::DOUBLE) / {days} * {age_days(ts)})"
 
 
+def half_up(x: str, digits: int) -> str:
+    """Decimal half-up, the twin of scores.half_up."""
+    return f"CAST(round(CAST({x} AS DECIMAL(18,9)), {digits}) AS DOUBLE)"
+
+
 def ts_text(ts: str) -> str:
     return f"strftime({ts}, '%Y-%m-%d %H:%M:%S')"
 
