@@ -26,3 +26,12 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - cosine_similarity(a, b)
+
+
+def distance_to(a: Column, target) -> Column:
+    """Cosine distance to one driver-side vector; its norm is computed once, here."""
+    if isinstance(target, Column):
+        return cosine_distance(a, target)
+    values = [float(v) for v in target]
+    length = sum(v * v for v in values) ** 0.5
+    return F.when(a.isNotNull(), 1.0 - dot(a, vec_literal(values)) / (norm(a) * F.lit(length)))

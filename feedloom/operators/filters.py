@@ -69,8 +69,7 @@ def is_in(column: str, values) -> Column | None:
 
 
 def within_radius(vec, radius: float, column: str = "embedding") -> Column:
-    target = vec if isinstance(vec, Column) else vx.vec_literal(vec)
-    return F.col(column).isNotNull() & (vx.cosine_distance(F.col(column), target) < radius)
+    return F.col(column).isNotNull() & (vx.distance_to(F.col(column), vec) < radius)
 
 
 def search_hygiene(min_quality: float = 0.40, min_chars: int = 100) -> Column:

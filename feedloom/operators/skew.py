@@ -83,3 +83,13 @@ def exact_median(df: DataFrame, value: Column, width: float) -> DataFrame:
         return F.max(F.when((F.col("start") <= rank) & (F.col("stop") > rank), F.col("v")))
 
     return ranked.agg(((at(low) + at(high)) / 2.0).alias("median"))
+
+
+def global_row_number(df: DataFrame, order: list[Column], bucket: Column, name: str) -> DataFrame:
+    """Row number over a whole frame without an unpartitioned window; ``bucket`` must be monotone in ``order``."""
+    b = df.withColumn("_bucket", bucket)
+    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_bucket").orderBy(*order)
+    return b.join(starts, "_bucket").withColumn(name, F.col("_start") + F.row_number().over(inside)).drop("_bucket", "_start")

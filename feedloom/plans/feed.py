@@ -54,8 +54,7 @@ def feed(
     if p["sort"] == "significance":
         order.insert(0, sc.significance_rank(F.col("significance")).asc())
     if query_vec is not None:
-        target = query_vec if isinstance(query_vec, Column) else vx.vec_literal(query_vec)
-        rows = rows.withColumn("distance", sc.stable(vx.cosine_distance(F.col("embedding"), target))).drop("embedding")
+        rows = rows.withColumn("distance", sc.stable(vx.distance_to(F.col("embedding"), query_vec))).drop("embedding")
         order.insert(0, F.asc("distance"))
     # only (limit * 1.3 + 1) rows leave the scan stage; everything below runs on that page
     page = rk.top_positions(rows, order, int(limit * 1.3) + 1, offset)

@@ -127,7 +127,10 @@ def digest(items: DataFrame, *, as_of: Column, days: int = 7, per_group: int = 1
     return rk.top_per_group(rows, ["primary_type"], [F.desc("relevance_score"), F.asc("id")], per_group)
 
 
-SEVERITY_ORDER = ["severity", F.desc("relevance_score"), "id"]
+def severity_order() -> list[Column]:
+    return [F.asc("severity"), F.desc("relevance_score"), F.asc("id")]
+
+
 DELTA = [
     "id", "title", "url", "excerpt", "summary", "primary_type", "tags", "relevance_score", "significance",
     "source_name", "published_at", "created_at",
@@ -153,7 +156,7 @@ def diff(
     cutoff = cursor if cursor is not None else fl.days_back(as_of, days)
     rows = _delta_rows(items, cutoff, tag, group, significance)
     rows = rows.where(fl.has_any_tag(interest) if interest else F.lit(False))
-    page = rk.top_positions(rows, SEVERITY_ORDER, limit, offset)
+    page = rk.top_positions(rows, severity_order(), limit, offset)
     return page.withColumn("impact", sc.impact_label(c("significance")))
 
 
@@ -167,10 +170,10 @@ def diff_all(
     """
     rows = _delta_rows(items, fl.days_back(as_of, days), None, None, None)
     keep = ["id", "severity", "relevance_score"]
-    heads = rk.top_per_group(jn.explode_tags(rows, *keep), ["tag"], SEVERITY_ORDER, limit, "_tag_rn").drop("_tag_rn")
+    heads = rk.top_per_group(jn.explode_tags(rows, *keep), ["tag"], severity_order(), limit, "_tag_rn").drop("_tag_rn")
     wants = profiles.select("user_id", F.explode(pf.profile_tags(c("profile"))).alias("tag"))
     pairs = wants.join(heads, "tag").select("user_id", *keep).distinct()
-    return rk.top_per_group(pairs, ["user_id"], SEVERITY_ORDER, limit, "pos")
+    return rk.top_per_group(pairs, ["user_id"], severity_order(), limit, "pos")
 
 
 def action_items(
@@ -184,7 +187,7 @@ def action_items(
     ).select(*DELTA, "cluster_id", "source_id")
     rows = jn.unread_for(rows, signals, key_id)
     rows = jn.with_source(rows, sources, "tier3", ("name",)).withColumn("severity", sc.significance_rank(c("significance")))
-    return rk.collapse_clusters(rk.top_positions(rows, SEVERITY_ORDER, limit), "relevance_score")
+    return rk.collapse_clusters(rk.top_positions(rows, severity_order(), limit), "relevance_score")
 
 
 def result_quality(page: DataFrame, score: str = "relevance_score") -> DataFrame:

@@ -159,8 +159,8 @@ def coverage_gaps(feedback: DataFrame, *, as_of: Column, days: int = 7, min_coun
 
 
 def growth_forecast(
-    items: DataFrame, *, as_of: Column, limit_bytes: int, size: Column | None = None, warn_pct: float = 70.0,
-    critical_pct: float = 85.0,
+    items: DataFrame, *, as_of: Column, limit_bytes: int, size: Column | None = None, warn_pct: float = 80.0,
+    critical_pct: float = 90.0,
 ) -> DataFrame:
     size = F.length(F.coalesce("content", F.lit(""))).cast("long") if size is None else size
     a = items.agg(

@@ -85,17 +85,11 @@ def _narrative(top: Column) -> Column:
     lead_src = F.coalesce(F.nullif(top[0]["summary"], F.lit("")), top[0]["title"], F.lit(""))
     lead = F.when(F.length(lead_src) > 150, F.concat(F.substring(lead_src, 1, 150), F.lit("..."))).otherwise(lead_src)
     sigs = F.transform(top, lambda m: F.coalesce(m["significance"], F.lit("informational")))
-    parts = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.size(F.filter(sigs, lambda s, v=v: s == v)) > 0,
-                    F.concat(F.size(F.filter(sigs, lambda s, v=v: s == v)).cast("string"), F.lit(f" {v}")),
-                )
-                for v in vocab.SIGNIFICANCES
-            ]
-        )
-    )
+    def share(value):
+        n = F.size(F.filter(sigs, lambda s: s == value))
+        return F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {value}")))
+
+    parts = F.array_compact(F.array(*[share(v) for v in vocab.SIGNIFICANCES]))
     return F.concat(
         lead, F.lit("\n\n"), c("item_count").cast("string"), F.lit(" items about "), top_tags, F.lit(" ("),
         F.date_format("first_seen", "MMM dd"), F.lit(" – "), F.date_format("last_seen", "MMM dd"),

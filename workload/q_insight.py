@@ -372,5 +372,5 @@ def _(t: Tables):
 )
 def _(t: Tables):
     rows = t.items().where(ins.fl.processed() & c("summary").isNotNull()).withColumn("severity", ins.sc.significance_rank(c("significance")))
-    page = ins.rk.top_positions(rows, ins.SEVERITY_ORDER, 60)
+    page = ins.rk.top_positions(rows, ins.severity_order(), 60)
     return ins.tldr(page, "docker").withColumn("relevant", ins.query_relevance(page, "the Docker api").scalar())

@@ -153,7 +153,7 @@ def _(t: Tables):
     "growth_forecast", "Q21 A21",
     sql("items", f"""SELECT total_items, recent_items, current_bytes, round(current_bytes / 10000000.0::DOUBLE * 100, 4) AS pct,
       CASE WHEN recent_items > 0 AND current_bytes < 10000000 THEN CAST(floor((10000000 - current_bytes) / (recent_items * (current_bytes::DOUBLE / total_items) / 7)) AS BIGINT) END AS days_until_full,
-      CASE WHEN current_bytes / 10000000.0::DOUBLE * 100 >= 85 THEN 'critical' WHEN current_bytes / 10000000.0::DOUBLE * 100 >= 70 THEN 'warn' ELSE 'ok' END AS level
+      CASE WHEN current_bytes / 10000000.0::DOUBLE * 100 >= 90 THEN 'critical' WHEN current_bytes / 10000000.0::DOUBLE * 100 >= 80 THEN 'warn' ELSE 'ok' END AS level
       FROM (SELECT count(*) AS total_items, count(*) FILTER (created_at > {AS_OF} - INTERVAL 7 DAY) AS recent_items, CAST(sum(length(content)) AS BIGINT) AS current_bytes FROM items)"""),
 )
 def _(t: Tables):
