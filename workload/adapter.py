@@ -206,7 +206,7 @@ class Tables:
             "- (p_partkey % 260) * 86400000000) END AS last_confirmed_at",
             f"timestamp_micros(unix_micros({base}) - (p_partkey % 60) * 86400000000) AS updated_at",
             f"timestamp_micros(unix_micros({base}) - (400 - version) * 86400000000) AS created_at",
-            "array(concat('d', (p_partkey * 3) % nd), concat('d', (p_partkey * 5 + 1) % nd)) AS source_item_ids",
+            "array(concat('d', (p_partkey * 3) % greatest(nd div 3, 1)), concat('d', (p_partkey * 5 + 1) % greatest(nd div 3, 1))) AS source_item_ids",
             "p_size AS source_item_count", "p_size % 5 AS source_count", "p_size AS helpful_count", "version",
             "version = CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 1 END AS is_current",
         ]

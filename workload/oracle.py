@@ -144,7 +144,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE {AS_OF} - to_days(CAST(p_partkey % 260 AS INTEGER)) END AS last_confirmed_at,
         {AS_OF} - to_days(CAST(p_partkey % 60 AS INTEGER)) AS updated_at,
         {AS_OF} - to_days(CAST(400 - version AS INTEGER)) AS created_at,
-        ['d' || ((p_partkey * 3) % nd), 'd' || ((p_partkey * 5 + 1) % nd)] AS source_item_ids,
+        ['d' || ((p_partkey * 3) % greatest(nd // 3, 1)), 'd' || ((p_partkey * 5 + 1) % greatest(nd // 3, 1))] AS source_item_ids,
         p_size AS source_item_count, p_size % 5 AS source_count, p_size AS helpful_count, version,
         version = CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 1 END AS is_current, CAST(embedding AS DOUBLE[]) AS embedding
         FROM (SELECT *, 1 AS version FROM part UNION ALL SELECT *, 2 FROM part WHERE p_partkey % 4 = 0) p

@@ -5,3 +5,4 @@ from workload import q_functions  # noqa: F401
 from workload import q_insight  # noqa: F401
 from workload import q_reports  # noqa: F401
 from workload import q_search  # noqa: F401
+from workload import q_jobs  # noqa: F401
