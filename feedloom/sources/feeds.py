@@ -9,22 +9,18 @@ from feedloom.sources.rows import head, iso_time, land, mail_time, text_or
 
 c = F.col
 RSS = (
-    "struct<channel:struct<item:array<struct<link:string,title:string,description:string,guid:string,pubDate:string,"
-    "category:array<string>>>>>"
+    "channel struct<item:array<struct<link:string,title:string,description:string,guid:string,pubDate:string,"
+    "category:array<string>>>>"
 )
 ATOM = (
-    "struct<entry:array<struct<link:array<struct<_href:string,_rel:string>>,title:string,summary:string,content:string,"
-    "id:string,published:string,updated:string,category:array<struct<_term:string>>>>>"
+    "entry array<struct<link:array<struct<_href:string,_rel:string>>,title:string,summary:string,content:string,"
+    "id:string,published:string,updated:string,category:array<struct<_term:string>>>>"
 )
 
 
-def _schema(text: str) -> str:
-    return text[len("struct<") : -1]
-
-
 def parse_rss(payloads: DataFrame) -> DataFrame:
     """(source_id, source_name, payload xml) -> one row per item."""
-    p = payloads.select("source_id", "source_name", F.from_xml("payload", _schema(RSS)).alias("x"))
+    p = payloads.select("source_id", "source_name", F.from_xml("payload", RSS).alias("x"))
     return p.select("source_id", "source_name", F.explode("x.channel.item").alias("e")).select(
         "source_id", "source_name", c("e.link").alias("link"), c("e.title").alias("title"), c("e.description").alias("summary"),
         c("e.guid").alias("id"), mail_time(c("e.pubDate")).alias("published"), F.lit(None).cast("timestamp").alias("updated"),
@@ -33,7 +29,7 @@ def parse_rss(payloads: DataFrame) -> DataFrame:
 
 
 def parse_atom(payloads: DataFrame) -> DataFrame:
-    p = payloads.select("source_id", "source_name", F.from_xml("payload", _schema(ATOM)).alias("x"))
+    p = payloads.select("source_id", "source_name", F.from_xml("payload", ATOM).alias("x"))
     e = p.select("source_id", "source_name", F.explode("x.entry").alias("e"))
     links = c("e.link")
     main = F.filter(links, lambda k: k["_rel"].isNull() | (k["_rel"] == "alternate"))

@@ -136,7 +136,7 @@ def normalize_pypi(payloads: DataFrame, *, last_versions: DataFrame | None = Non
         p = p.join(last_versions.select("package", "version").distinct(), ["package", "version"], "left_anti")
     summary, full = _blank(c("p.info.summary")), _blank(c("p.info.description"))
     body = F.when(F.length(full) > 50, F.substring(full, 1, 5000)).otherwise(summary)
-    words = F.filter(F.transform(F.split(_blank(c("p.info.keywords")), ","), F.trim), lambda k: k != "")
+    words = F.filter(F.transform(F.split(_blank(c("p.info.keywords")), ","), lambda k: F.trim(k)), lambda k: k != "")
     dotted = F.filter(F.coalesce("p.info.classifiers", no_tags()), lambda x: x.contains(" :: "))
     tails = F.slice(F.array_distinct(F.transform(dotted, lambda x: F.lower(F.substring_index(x, " :: ", -1)))), 1, 10)
     name = F.concat_ws(" ", "package", "version")
