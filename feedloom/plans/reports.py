@@ -178,7 +178,7 @@ def growth_forecast(
 def alert_status(rules: DataFrame, deliveries: DataFrame, *, as_of: Column) -> DataFrame:
     last = deliveries.groupBy("alert_rule_id").agg(F.max("delivered_at").alias("last_fired_at"))
     j = rules.where("is_active").join(last, c("id") == c("alert_rule_id"), "left")
-    until = F.timestamp_micros(F.unix_micros("last_fired_at") + c("cooldown_minutes") * 60_000_000)
+    until = F.timestamp_micros(F.unix_micros("last_fired_at") + c("cooldown_minutes").cast("long") * 60_000_000)
     return j.select("id", "last_fired_at", F.coalesce(as_of < until, F.lit(False)).alias("on_cooldown"))
 
 

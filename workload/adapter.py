@@ -34,8 +34,17 @@ class Tables:
     def count_of(self, name: str):
         return self.raw(name).agg(F.count(F.lit(1)).alias("n")).scalar()
 
-    def items(self, vectors: bool = False) -> DataFrame:
-        d = self.raw("documents")
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a file stream."""
+        path = f"{self.dir}/{name}.parquet"
+        reader = self.spark.readStream.schema(self.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1)
+        df = reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.dir)
+        return df.select(
+            *[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes]
+        )
+
+    def items(self, vectors: bool = False, docs: DataFrame | None = None) -> DataFrame:
+        d = self.raw("documents") if docs is None else docs
         quality = self.raw("labels").select("doc_id", F.col("quality").alias("label_quality"))
         df = d.join(quality, "doc_id", "left")
         if vectors:
