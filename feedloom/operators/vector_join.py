@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.operators.rank import top_per_group
@@ -41,48 +42,58 @@ def cosine_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(1.0 - a @ b.T, 6) + 0.0
 
 
-def choose_pivots(groups: DataFrame, n_groups: int, pivots: int | None) -> np.ndarray | None:
-    """A bounded sample of base vectors, fixed by their hash so that a retry picks the same ones."""
-    wanted = pivots if pivots is not None else min(MAX_PIVOTS, n_groups // ROWS_PER_CELL)
+def choose_pivots(base: DataFrame, pivots: int | None) -> np.ndarray | None:
+    """A bounded set of base vectors, fixed by their hash so that a retry picks the same ones.
+
+    Any choice gives the same answer; this one reads the base once and shuffles only a thin, hash-selected share of it.
+    """
+    wanted = pivots
+    stride = 1
+    if wanted is None:
+        n = base.agg(F.approx_count_distinct("vkey")).first()[0]
+        wanted = min(MAX_PIVOTS, n // ROWS_PER_CELL)
+        stride = max(1, n // (8 * max(wanted, 1)))
     if wanted <= 1:
         return None
-    rows = groups.select("vkey", "vec").orderBy("vkey").limit(wanted).collect()
+    thin = base.where(F.pmod(F.xxhash64(F.lit(3), "vec"), F.lit(stride)) == 0)
+    rows = thin.groupBy("vkey").agg(F.any_value("vec").alias("vec")).orderBy("vkey").limit(wanted).collect()
     return unit_rows([r["vec"] for r in rows])
 
 
 def _cells(df: DataFrame, pivots: np.ndarray | None, visit: bool) -> DataFrame:
     """Adds ``cell``: the home cell of a base row, or one row per cell a query has to visit."""
     if pivots is None:
-        return df.withColumn("cell", F.lit(0))
+        # computed, because a literal key would turn the joins on it into cross joins
+        return df.withColumn("cell", F.pmod(F.xxhash64("vkey"), F.lit(1)).cast("int"))
     gap = np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0))
 
     def assign(batches):
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = unit_rows(pdf["vec"])
+            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
+            x = unit_rows(flat.reshape(batch.num_rows, -1))
             sq = np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0)
-            home = sq.argmin(axis=1)
-            if not visit:
-                yield pdf.assign(cell=home.astype("int32"))
-                continue
-            reach = np.sqrt(2.0 * np.maximum(pdf["radius"].to_numpy(dtype=float), 0.0)) + EPS
-            spread = gap[home]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bound = (sq - sq[np.arange(len(x)), home][:, None]) / (2.0 * spread)
-            must = (spread < EPS) | (bound <= reach[:, None])
-            row, cell = np.nonzero(must)
-            yield pdf.iloc[row].assign(cell=cell.astype("int32"))
+            cell = sq.argmin(axis=1)
+            if visit:
+                radius = batch.column("radius").to_numpy(zero_copy_only=False)
+                reach = np.sqrt(2.0 * np.maximum(radius, 0.0)) + EPS
+                spread = gap[cell]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    bound = (sq - sq[np.arange(len(x)), cell][:, None]) / (2.0 * spread)
+                row, cell = np.nonzero((spread < EPS) | (bound <= reach[:, None]))
+                batch = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype("int32"))], names=[*batch.schema.names, "cell"])
 
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", cell int"
-    return df.mapInPandas(assign, schema)
+    return df.mapInArrow(assign, schema)
 
 
 def _blocks(base: DataFrame, queries: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Number the blocks of every cell on both sides and send each row to the block pairs it takes part in."""
     nb = base.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nb"))
     nq = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nq"))
-    sizes = nb.join(nq, "cell")
+    sizes = F.broadcast(nb.join(nq, "cell"))  # one row per cell, at most MAX_PIVOTS
     slot = F.xxhash64("vkey")
     b = base.join(sizes, "cell").withColumn("bs", F.pmod(slot, "nb")).withColumn("qs", _slots("nq"))
     q = queries.join(sizes, "cell").withColumn("qs", F.pmod(slot, "nq")).withColumn("bs", _slots("nb"))
@@ -116,7 +127,7 @@ def _block_pairs(k: int, inclusive: bool):
                     out["radius"].append(radii[i])
                     out["id"].append(member)
                     out["distance"].append(x)
-        return pd.DataFrame(out)
+        return pd.DataFrame(out).astype({"vkey": object, "radius": float, "id": object, "distance": float})
 
     return run
 
@@ -142,8 +153,8 @@ def nearest_within(
     )
     asked = q.groupBy("vkey", "radius").agg(F.any_value("vec").alias("vec"))
     centres = None
-    if pivots is not None or not _fits_one_cell(groups):
-        centres = choose_pivots(groups, groups.count(), pivots)
+    if pivots is not None or not _fits_one_cell(b):
+        centres = choose_pivots(b, pivots)
     bb, qq = _blocks(_cells(groups, centres, False), _cells(asked, centres, True), block_rows)
     keys = ["cell", "bs", "qs"]
     hits = bb.groupBy(*keys).cogroup(qq.groupBy(*keys)).applyInPandas(
@@ -157,6 +168,6 @@ def nearest_within(
     return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("query_id", "id", "distance", "rn")
 
 
-def _fits_one_cell(groups: DataFrame) -> bool:
-    """True when there are at most ROWS_PER_CELL distinct vectors (stops counting just beyond that)."""
-    return groups.select("vkey").limit(ROWS_PER_CELL + 1).count() <= ROWS_PER_CELL
+def _fits_one_cell(base: DataFrame) -> bool:
+    """True when there are at most ROWS_PER_CELL base rows (stops counting just beyond that)."""
+    return base.select("id").limit(ROWS_PER_CELL + 1).count() <= ROWS_PER_CELL

@@ -114,7 +114,8 @@ def _cooldown_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
             out.append((key[0], first[s][1], first[s][0]))
             ready = s + wait
     state.update((int(ready),))
-    yield pd.DataFrame(out, columns=["rule_id", "item_id", "ts"])
+    if out:
+        yield pd.DataFrame(out, columns=["rule_id", "item_id", "ts"])
 
 
 def alert_stream(items: DataFrame, rules: DataFrame, *, literal_limit: int = 256) -> DataFrame:
@@ -160,7 +161,8 @@ def _repo_state(milestones: list[int], threshold: int):
                 out.append((key[0], ts, "file_changed", f))
             stars, commits, described, text, had = int(s), int(n), d, f, True
         state.update((stars, commits, described, text))
-        yield pd.DataFrame(out, columns=["repo", "ts", "event", "detail"])
+        if out:
+            yield pd.DataFrame(out, columns=["repo", "ts", "event", "detail"])
 
     return run
 

@@ -41,3 +41,51 @@ def feed_ctes(rank: str, order: str, n: int, where: str = CAND, limit_pages: str
 def _(t: Tables):
     out = fd.feed(t.items(), t.sources(), as_of=as_of(), profile=PROFILE)
     return out.select("id", "url", "primary_type", "significance", "rank", "cluster_count", "pos")
+
+
+RANK0 = RANK.replace(f"0.20::DOUBLE * len(list_filter(tags, lambda t: list_contains({INTEREST}, t)))::DOUBLE / {N_INTEREST}", "0.20::DOUBLE * 0")
+SHOW = "SELECT id, url, rank, cluster_count, pos FROM deduped ORDER BY pos LIMIT {n}"
+
+
+@query(
+    "feed_for_learner", "Q01 P06 P07",
+    sql("items sources", SHOW.format(n=20), feed_ctes(
+        RANK0, "rank DESC, id", 27, f"status = 'processed' AND {EVENT_TS} >= {AS_OF} - INTERVAL 90 DAY AND (quality_score >= 0.3 OR significance IN ('breaking','major')) AND primary_type IN ('docs','practice')")),
+)
+def _(t: Tables):
+    return fd.feed(t.items(), t.sources(), as_of=as_of(), persona="learner").select("id", "url", "rank", "cluster_count", "pos")
+
+
+@query(
+    "feed_for_curator", "Q01 P07 L01 L02 L03",
+    sql("items sources", SHOW.format(n=50), feed_ctes(RANK0, f"{SIG}, rank DESC, id", 66, CAND, "OFFSET 5")),
+)
+def _(t: Tables):
+    return fd.feed(t.items(), t.sources(), as_of=as_of(), persona="curator", offset=5).select("id", "url", "rank", "cluster_count", "pos")
+
+
+@query(
+    "feed_filtered", "Q01 P04 P05 P06",
+    sql("items sources", SHOW.format(n=20), feed_ctes(
+        RANK0, "rank DESC, id", 27, f"""status = 'processed' AND {EVENT_TS} >= TIMESTAMP '2023-11-15' AND (quality_score >= 0.3 OR significance IN ('breaking','major'))
+          AND list_contains(tags, 'en') AND list_has_any(tags, ['docker','deployment','monitoring','ci-cd','infra']) AND significance IN ('major','minor')""")),
+)
+def _(t: Tables):
+    out = fd.feed(
+        t.items(), t.sources(), as_of=as_of(), since=F.lit("2023-11-15").cast("timestamp"), tags=["en"], group="devops", significance="major, minor"
+    )
+    return out.select("id", "url", "rank", "cluster_count", "pos")
+
+
+DIST = "round(1 - list_cosine_similarity(embedding, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6)"
+
+
+@query(
+    "feed_by_vector", "Q01 P08",
+    sql("vitems sources", SHOW.format(n=20), feed_ctes(
+        RANK0, f"{DIST}, rank DESC, id", 27, f"status = 'processed' AND {EVENT_TS} >= {AS_OF} - INTERVAL 30 DAY AND (quality_score >= 0.3 OR significance IN ('breaking','major')) AND {DIST} < 0.9").replace("FROM items i", "FROM vitems i")),
+)
+def _(t: Tables):
+    vec = t.raw("embeddings").where("vec_id = 0").select("embedding").first()[0]
+    out = fd.feed(t.items(vectors=True), t.sources(), as_of=as_of(), query_vec=vec, radius=0.9, days=30)
+    return out.select("id", "url", "rank", "cluster_count", "pos")
