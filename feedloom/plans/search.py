@@ -44,33 +44,47 @@ def _decay(as_of: Column) -> Column:
     return sc.half_life_decay(sc.event_ts(), as_of) * (0.5 + 0.5 * F.coalesce(c("quality_score"), F.lit(0.5)))
 
 
-def text_and_rows(items: DataFrame, q: str, as_of: Column, cond: Column, n: int, offset: int = 0) -> DataFrame:
-    rows = items.where(cond & (c("relevance_score") >= 0.60) & fl.search_hygiene() & tm.match_all(q))
-    rank = tm.text_rank(q) * F.coalesce(c("relevance_score"), F.lit(0.5)) * _decay(as_of)
-    return rk.top_positions(rows.select(*SHOWN, sc.stable(rank).alias("rank")), [F.desc("rank"), F.asc("id")], n, offset)
-
-
-def text_or_rows(items: DataFrame, q: str, as_of: Column, cond: Column, n: int, offset: int = 0) -> DataFrame:
-    """The wider path needs more relevance and leaves relevance out of the rank."""
-    rows = items.where(cond & (c("relevance_score") >= 0.65) & fl.search_hygiene() & tm.match_any(q))
-    rank = tm.text_rank(q) * _decay(as_of)
-    return rk.top_positions(rows.select(*SHOWN, sc.stable(rank).alias("rank")), [F.desc("rank"), F.asc("id")], n, offset)
+def text_branches(q: str, as_of: Column, cond: Column, narrow: Column | None = None) -> list[tuple[Column, Column]]:
+    """(admission, rank) of the strict path (all words) and the wide path (any word, more relevance, left out of the rank)."""
+    rank, decay = tm.text_rank(q), _decay(as_of)
+    ok = cond if narrow is None else cond & narrow
+    strict = ok & (c("relevance_score") >= 0.60) & tm.match_all(q)
+    wide = ok & (c("relevance_score") >= 0.65) & tm.match_any(q)
+    return [(strict, rank * F.coalesce(c("relevance_score"), F.lit(0.5)) * decay), (wide, rank * decay)]
+
+
+def branched_page(items: DataFrame, base: Column, branches: list[tuple[Column, Column]], n: int, offset: int = 0) -> DataFrame:
+    """Top rows of several result lists in one scan: columns SHOWN, branch, rank, pos.
+
+    Each list is cut to its first rows inside the map tasks (window group limit), so the lists stay small at any scale.
+    """
+    entries = F.array_compact(
+        F.array(*[F.when(ok, F.struct(F.lit(i).alias("branch"), sc.stable(rank).alias("rank"))) for i, (ok, rank) in enumerate(branches)])
+    )
+    rows = items.where(base).select(*SHOWN, F.explode(entries).alias("_e")).select(*SHOWN, "_e.branch", "_e.rank")
+    top = rk.top_per_group(rows, ["branch"], [F.desc("rank"), F.asc("id")], offset + n, "pos")
+    return top.where(c("pos") > offset) if offset else top
 
 
 def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def text_page(items: DataFrame, q: str, as_of: Column, cond: Column, limit: int, offset: int) -> DataFrame:
-    strict = text_and_rows(items, q, as_of, cond, limit * 3, offset)
-    wide = text_or_rows(items, q, as_of, cond, limit * 3, offset).where(row_count(strict) < 3)
-    return rk.merge_in_order(strict, wide, "id").where(c("pos") <= limit * 3)
+def merge_branches(page: DataFrame, first: int, second: int, n: int, fewer_than: int = 3) -> DataFrame:
+    """The first list, followed by the second one when the first has too few rows; ``page`` holds two short lists."""
+    whole = Window.orderBy("branch", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = page.where(c("branch").isin(first, second)).withColumn("_n", F.count_if(c("branch") == first).over(whole))
+    p = p.where((c("branch") == first) | (c("_n") < fewer_than)).drop("_n")
+    kept = p.groupBy("id").agg(F.min_by(F.struct(*[c(x) for x in p.columns]), F.struct("branch", "pos")).alias("r")).select("r.*")
+    out = kept.withColumn("pos", F.row_number().over(Window.orderBy("branch", "pos")))
+    return out.where(c("pos") <= n).drop("branch")
 
 
 def text_search(items: DataFrame, *, q: str, as_of: Column, limit: int = 20, offset: int = 0, **filters) -> DataFrame:
     """All words must match; when fewer than three rows do, rows matching any word follow."""
-    page = text_page(items, q, as_of, search_filters(as_of=as_of, **filters), limit, offset)
-    return _finish(page, "rank", limit)
+    cond = search_filters(as_of=as_of, **filters)
+    page = branched_page(items, cond & fl.search_hygiene(), text_branches(q, as_of, F.lit(True)), limit * 3, offset)
+    return _finish(merge_branches(page, 0, 1, limit * 3), "rank", limit)
 
 
 # ---- hybrid ------------------------------------------------------------------------------
@@ -85,21 +99,22 @@ def hybrid_page(items: DataFrame, q: str, query_vec, cond: Column, limit: int, o
     semantic = rk.top_positions(near, [F.asc("_key"), F.asc("id")], CANDIDATES)
     words = ok.where(tm.match_all(q)).select(*SHOWN, sc.stable(-tm.text_rank(q)).alias("_key"))
     fulltext = rk.top_positions(words, [F.asc("_key"), F.asc("id")], CANDIDATES)
-    both = semantic.unionByName(fulltext).drop("_key", "pos").dropDuplicates(["id"])
-
-    def numbered(order):
-        return both.select("id", F.row_number().over(Window.orderBy(order, "id")).alias("rn"))
-
-    fused = rk.reciprocal_rank_merge(
-        [
-            (semantic.withColumnRenamed("pos", "rn"), WEIGHTS["semantic"]),
-            (fulltext.withColumnRenamed("pos", "rn"), WEIGHTS["fulltext"]),
-            (numbered(F.desc(F.coalesce("quality_score", F.lit(0.0)))), WEIGHTS["quality"]),
-            (numbered(F.desc(sc.event_ts())), WEIGHTS["freshness"]),
-        ],
-        RRF_K,
+    # each list is computed once: the union of at most 100 rows carries both places, everything else follows from it
+    none = F.lit(None).cast("int")
+    union = semantic.select(*SHOWN, c("pos").alias("s"), none.alias("f")).unionByName(
+        fulltext.select(*SHOWN, none.alias("s"), c("pos").alias("f"))
     )
-    rows = both.join(fused.withColumn("rank", sc.stable(c("rank_score"), 8)).drop("rank_score"), "id")
+    row = F.struct(*[c(x) for x in SHOWN])
+    both = union.groupBy("id").agg(F.any_value(row).alias("r"), F.max("s").alias("s"), F.max("f").alias("f")).select("r.*", "s", "f")
+    by_quality = Window.orderBy(F.desc(F.coalesce("quality_score", F.lit(0.0))), "id")
+    by_time = Window.orderBy(F.desc(sc.event_ts()), "id")
+    both = both.withColumn("u", F.row_number().over(by_quality)).withColumn("t", F.row_number().over(by_time))
+
+    def part(place, name):
+        return F.lit(WEIGHTS[name]) * F.coalesce(1.0 / (RRF_K + c(place)), F.lit(0.0))
+
+    score = part("s", "semantic") + part("f", "fulltext") + part("u", "quality") + part("t", "freshness")
+    rows = both.select(*SHOWN, sc.stable(score, 8).alias("rank"))
     return rk.top_positions(rows, [F.desc("rank"), F.asc("id")], limit * 3, offset)
 
 
@@ -155,29 +170,38 @@ def routed_search(
 ) -> DataFrame:
     """Search with the filters the query implies; without them when that leaves fewer than three rows."""
     implied = {k: v for k, v in detect_intent(q).items() if not filters.get(k)}
-
-    def page(**extra):
-        cond = search_filters(as_of=as_of, **{**filters, **extra})
-        if query_vec is not None:
-            return hybrid_page(items, q, query_vec, cond, limit, offset), cond
-        return text_page(items, q, as_of, cond, limit, offset), cond
-
-    narrow, cond = page(**implied)
-    if not implied:
-        out = _finish(narrow, "rank", limit)
-        return search_confidence(out, fulltext_count(items, q, cond)) if query_vec is not None else out
-    if query_vec is not None:
-        wide, wide_cond = page()
-    else:
-        wide_cond = search_filters(as_of=as_of, **filters)
-        wide = text_and_rows(items, q, as_of, wide_cond, limit * 3, offset)
-    few = row_count(narrow) < 3
-    chosen = narrow.where(~few).select(*SHOWN, "rank", "pos").unionByName(wide.where(few).select(*SHOWN, "rank", "pos"))
-    out = _finish(chosen, "rank", limit)
+    given = search_filters(as_of=as_of, **filters)
+    narrow = fl.all_of(fl.is_in("primary_type", implied.get("types")), fl.is_in("significance", implied.get("significance")))
     if query_vec is None:
-        return out
-    matches = F.when(few, fulltext_count(items, q, wide_cond)).otherwise(fulltext_count(items, q, cond))
-    return search_confidence(out, matches)
+        return _routed_text(items, q, as_of, given, narrow if implied else None, limit, offset)
+    first = hybrid_page(items, q, query_vec, given & narrow, limit, offset)
+    if not implied:
+        return search_confidence(_finish(first, "rank", limit), fulltext_count(items, q, given))
+    # at most limit * 3 rows each; which of the two counts is decided on these rows
+    second = hybrid_page(items, q, query_vec, given, limit, offset)
+    both = first.withColumn("branch", F.lit(0)).unionByName(second.withColumn("branch", F.lit(1)))
+    whole = Window.orderBy("branch", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = both.withColumn("_few", F.count_if(c("branch") == 0).over(whole) < 3)
+    chosen = both.where(F.when(c("_few"), c("branch") == 1).otherwise(c("branch") == 0))
+    out = _finish(chosen.drop("branch"), "rank", limit)
+    matches = items.where(given & tm.match_all(q)).agg(F.struct(F.count_if(narrow).alias("narrow"), F.count(F.lit(1)).alias("wide")).alias("m")).scalar()
+    return search_confidence(out, F.when(c("_few"), matches["wide"]).otherwise(matches["narrow"])).drop("_few")
+
+
+def _routed_text(items: DataFrame, q: str, as_of: Column, given: Column, narrow: Column | None, limit: int, offset: int) -> DataFrame:
+    n = limit * 3
+    base = given & fl.search_hygiene()
+    if narrow is None:
+        page = branched_page(items, base, text_branches(q, as_of, F.lit(True)), n, offset)
+        return _finish(merge_branches(page, 0, 1, n), "rank", limit)
+    strict_wide = text_branches(q, as_of, F.lit(True))[0]
+    page = branched_page(items, base, [*text_branches(q, as_of, F.lit(True), narrow), strict_wide], n, offset)
+    first = merge_branches(page, 0, 1, n).withColumn("branch", F.lit(0))
+    both = first.unionByName(page.where(c("branch") == 2))
+    whole = Window.orderBy("branch", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = both.withColumn("_few", F.count_if(c("branch") == 0).over(whole) < 3)
+    chosen = both.where(F.when(c("_few"), c("branch") == 2).otherwise(c("branch") == 0))
+    return _finish(chosen.drop("branch", "_few"), "rank", limit)
 
 
 def library_hits(library: DataFrame, *, q: str, limit: int = 3) -> DataFrame:

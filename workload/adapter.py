@@ -14,6 +14,9 @@ TYPES = "array('skill','tool','update','practice','docs')"
 TAGS = "array('mcp','testing','security','claude-code','docker','sql','agents','rag')"
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def as_of():
     return F.lit(AS_OF_TEXT).cast("timestamp")
 
@@ -26,6 +29,11 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        key = TEXT_KEYS.get(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if key and df.rdd.getNumPartitions() < cores:
+            # one small file is one task: spread the text work; by key, so that later joins on it need no shuffle
+            df = df.repartition(cores, key)
         # zone-less timestamps become UTC instants once, here
         return df.select(
             *[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes]
