@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from feedloom.session import cut_lineage
+
+
+SLICE_ROWS = 2_000_000
+
+
+def slices(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], max_rows: int | None = None) -> DataFrame:
+    """Adds ``_bucket``: pieces of each key that follow each other in ``order``, none of them crowded.
+
+    The caller's bucket (a month, an hour, a slice of an id ...) is used where no (key, bucket) holds more than
+    ``max_rows``, which is counted first. Otherwise the rows are cut by range on (keys, order), so that even rows of one
+    second are split by the rest of the order; the cut is checkpointed, because a retry could sample other bounds.
+    """
+    max_rows = SLICE_ROWS if max_rows is None else max_rows
+    b = df.withColumn("_bucket", bucket)
+    sizes = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    if sizes.where(F.col("n") > max_rows).isEmpty():
+        return b
+    total = sizes.agg(F.sum("n")).first()[0]
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-2 * total // max_rows))
+    cut = df.repartitionByRange(int(parts), *[F.col(k) for k in keys], *order)
+    return cut_lineage(cut.withColumn("_bucket", F.spark_partition_id()))
+
 
 def running_totals(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], values: dict[str, Column]
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], values: dict[str, Column], max_rows: int | None = None
 ) -> DataFrame:
     """Inclusive running sums per key in order, without one task per key.
 
-    ``bucket`` must be monotone in ``order`` (an hour of the timestamp, a slice of an increasing id ...). Bucket totals
-    are summed first; the running sum of those small rows gives each bucket its start, and the detailed window only
-    ever sees one (key, bucket) at a time.
+    ``bucket`` must be monotone in ``order``. Bucket totals are summed first; the running sum of those few rows gives
+    each bucket its start, and the detailed window only ever sees one (key, bucket) at a time.
     """
-    b = df.withColumn("_bucket", bucket)
+    b = slices(df, keys, bucket, order, max_rows)
     for name, value in values.items():
         b = b.withColumn(name, value)
     totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(n).alias(n) for n in values])
@@ -36,13 +58,13 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def previous_in_bucketed_order(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[str], columns: list[str]
+    df: DataFrame, keys: list[str], bucket: Column, order: list[str], columns: list[str], max_rows: int | None = None
 ) -> DataFrame:
     """Adds ``prev_<column>``: lag within the key, computed bucket by bucket.
 
     The first row of a bucket takes its predecessor from the last row of the nearest earlier bucket that has rows.
     """
-    b = df.withColumn("_bucket", bucket)
+    b = slices(df, keys, bucket, [F.asc(o) for o in order], max_rows)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     tail = F.max_by(F.struct(*columns), F.struct(*order))
     lasts = b.groupBy(*keys, "_bucket").agg(tail.alias("_tail"))
@@ -85,9 +107,9 @@ def exact_median(df: DataFrame, value: Column, width: float) -> DataFrame:
     return ranked.agg(((at(low) + at(high)) / 2.0).alias("median"))
 
 
-def global_row_number(df: DataFrame, order: list[Column], bucket: Column, name: str) -> DataFrame:
+def global_row_number(df: DataFrame, order: list[Column], bucket: Column, name: str, max_rows: int | None = None) -> DataFrame:
     """Row number over a whole frame without an unpartitioned window; ``bucket`` must be monotone in ``order``."""
-    b = df.withColumn("_bucket", bucket)
+    b = slices(df, [], bucket, order, max_rows)
     sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

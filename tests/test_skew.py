@@ -28,8 +28,11 @@ def ordered(data):
     return by
 
 
-def test_running_totals(df, data):
-    got = {r.i: (r.run, r.n) for r in sk.running_totals(df, ["k"], F.floor(F.col("t") / 700), [F.asc("t"), F.asc("i")], {"run": F.col("v"), "n": F.lit(1)}).collect()}
+# with at most 20 rows per slice the hot key's buckets are crowded and the rows are cut by range instead
+@pytest.mark.parametrize("max_rows", [None, 20])
+def test_running_totals(df, data, max_rows):
+    run = sk.running_totals(df, ["k"], F.floor(F.col("t") / 700), [F.asc("t"), F.asc("i")], {"run": F.col("v"), "n": F.lit(1)}, max_rows)
+    got = {r.i: (r.run, r.n) for r in run.collect()}
     for rows in ordered(data).values():
         total = 0
         for n, (_, _, i, v) in enumerate(rows, 1):
@@ -37,8 +40,9 @@ def test_running_totals(df, data):
             assert got[i] == (total, n)
 
 
-def test_previous_across_empty_buckets(df, data):
-    got = {r.i: r.prev_v for r in sk.previous_in_bucketed_order(df, ["k"], F.floor(F.col("t") / 90), ["t", "i"], ["v"]).collect()}
+@pytest.mark.parametrize("max_rows", [None, 5])
+def test_previous_across_empty_buckets(df, data, max_rows):
+    got = {r.i: r.prev_v for r in sk.previous_in_bucketed_order(df, ["k"], F.floor(F.col("t") / 90), ["t", "i"], ["v"], max_rows).collect()}
     for rows in ordered(data).values():
         for before, row in zip([None, *rows], rows):
             assert got[row[2]] == (before[3] if before else None)
@@ -51,8 +55,9 @@ def test_exact_median(spark, data, n):
     assert sk.exact_median(d, F.col("v"), 250.0).first()[0] == statistics.median(values)
 
 
-def test_global_row_number(df, data):
-    got = {r.i: r.n for r in sk.global_row_number(df, [F.asc("t"), F.asc("i")], F.floor(F.col("t") / 400), "n").collect()}
+@pytest.mark.parametrize("max_rows", [None, 30])
+def test_global_row_number(df, data, max_rows):
+    got = {r.i: r.n for r in sk.global_row_number(df, [F.asc("t"), F.asc("i")], F.floor(F.col("t") / 400), "n", max_rows).collect()}
     assert [got[x[2]] for x in sorted(data, key=lambda x: (x[1], x[2]))] == list(range(1, len(data) + 1))
 
 
@@ -72,3 +77,11 @@ def test_greedy_cooldown(spark, data, cooldown, base):
             by[k] = s + cooldown
     got = {(r.key, r.second, r.id) for r in greedy_cooldown(d).collect()}
     assert got == want
+
+
+def test_one_second_holding_everything_is_split(spark):
+    d = spark.range(500).select(F.lit("k").alias("k"), F.lit(1).alias("t"), F.col("id").alias("i")).repartition(7)
+    run = sk.running_totals(d, ["k"], F.col("t"), [F.asc("t"), F.asc("i")], {"n": F.lit(1)}, 50)
+    assert sorted((r.i, r.n) for r in run.collect()) == [(i, i + 1) for i in range(500)]
+    cut = sk.slices(d, ["k"], F.col("t"), [F.asc("t"), F.asc("i")], 50)
+    assert max(r["count"] for r in cut.groupBy("_bucket").count().collect()) <= 100
