@@ -213,10 +213,20 @@ def _(t: Tables):
     return st.stalest_first(i, limit=100).select("id", ts("last_tracked_at"))
 
 
-@query("refresh_quality", "B07 L04")
+@query(
+    "refresh_quality", "B07 L04",
+    sql("items", f"""SELECT id, {half_up("greatest(0, least(1, maintenance * 0.25::DOUBLE + community * 0.30::DOUBLE + 0.25::DOUBLE + compatibility * 0.20::DOUBLE))", 3)} AS quality_score, stars FROM
+      (SELECT d.id, stars, {half_up('CASE WHEN archived THEN 0 WHEN age IS NULL THEN 0.5 ELSE greatest(0, least(1, 1 - age::DOUBLE / 365)) END', 3)} AS maintenance,
+         round(CASE WHEN archived THEN greatest(0, CASE WHEN lic THEN 1 ELSE 0.5 END::DOUBLE - 0.2) ELSE CASE WHEN lic THEN 1 ELSE 0.5 END END::DOUBLE, 3) AS compatibility,
+         CASE WHEN stars = 0 AND forks = 0 THEN 0::DOUBLE ELSE {half_up('least(1, least(1, log10(greatest(1, stars)) / 5) + least(0.1, log10(greatest(1, forks)) / 50) + least(0.05, log10(greatest(1, subs)) / 100))', 3)} END AS community
+       FROM (SELECT id, CAST(external_id AS BIGINT) AS n FROM items WHERE status = 'processed' AND CAST(external_id AS BIGINT) % 3 < 2 ORDER BY id LIMIT 500) d
+       JOIN (SELECT c_custkey, (c_custkey * 37) % 5000 AS stars, c_custkey % 300 AS forks, c_custkey % 50 AS subs, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 400 END AS age,
+         c_custkey % 17 = 0 AS archived, c_custkey % 3 <> 0 AS lic FROM customer) r ON d.n % 3 = 0 AND r.c_custkey = d.n)"""),
+)
 def _(t: Tables):
     i = repo_items(t).withColumn("quality_score_details", F.lit("{}"))
-    return st.refresh_quality(i, repo_signals(t), as_of=as_of(), limit=500)
+    out = st.refresh_quality(i, repo_signals(t), as_of=as_of(), limit=500)
+    return out.select("id", "quality_score", F.get_json_object("quality_score_details", "$.stars").cast("long").alias("stars"))
 
 
 @query(
