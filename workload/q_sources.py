@@ -30,7 +30,7 @@ def show(df, *more):
 
 def out_sql(ext, url, title, content, excerpt=None, tags="''", published="NULL", marked=None) -> str:
     excerpt = excerpt or f"nullif(substr({content}, 1, 500), '')"
-    pub = "NULL" if published == "NULL" else ts_text(published)
+    pub = "CAST(NULL AS VARCHAR)" if published == "NULL" else ts_text(published)
     return f"""SELECT {ext} AS external_id, {url} AS url, {title} AS title, md5({content}) AS content_md5, md5(coalesce({excerpt}, '-')) AS excerpt_md5,
       {tags} AS tags, {pub} AS published_at, {FP.format(marked or content)} AS content_hash"""
 
@@ -422,7 +422,7 @@ y AS (SELECT page_id, url, trim(regexp_replace(raw_title, '<[^>]+>', '', 'g')) A
 
 @query(
     "page_extraction", "S18 S19",
-    "WITH " + PAGE_X + f" SELECT url, title, md5(body) AS body_md5, md5(coalesce(nullif(substr(body, 1, 500), ''), '-')) AS excerpt_md5, {FP.format('body')} AS content_hash, NULL AS published_at FROM y WHERE title <> ''",
+    "WITH " + PAGE_X + f" SELECT url, title, md5(body) AS body_md5, md5(coalesce(nullif(substr(body, 1, 500), ''), '-')) AS excerpt_md5, {FP.format('body')} AS content_hash, CAST(NULL AS VARCHAR) AS published_at FROM y WHERE title <> ''",
 )
 def _(t: Tables):
     p = ht.page_rows(t.raw("pages").select("url", "html"))
