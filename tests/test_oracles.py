@@ -14,6 +14,7 @@ MAY_BE_EMPTY = {
     "commit_bursts", "graduate", "topic_coverage", "near_duplicate_vectors", "dedup_three_layers", "thread_detail", "thread_members",
     "action_items", "unalerted_items", "daily_digest_top", "daily_digest_new_sources", "text_search_fallback", "routed_search",
     "hybrid_search", "eval_overlap", "page_url_dedup", "briefing_by_vector", "report_erroring_sources", "report_stale_sources",
+    "threads", "thread_top_items", "thread_narratives", "coverage_gaps", "spend_first_breach", "library_entry_related", "briefing_by_group",
 }
 
 
