@@ -10,22 +10,27 @@ from feedloom.session import cut_lineage
 SLICE_ROWS = 2_000_000
 
 
-def slices(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], max_rows: int | None = None) -> DataFrame:
-    """Adds ``_bucket``: pieces of each key that follow each other in ``order``, none of them crowded.
-
-    The caller's bucket (a month, an hour, a slice of an id ...) is used where no (key, bucket) holds more than
-    ``max_rows``, which is counted first. Otherwise the rows are cut by range on (keys, order), so that even rows of one
-    second are split by the rest of the order; the cut is checkpointed, because a retry could sample other bounds.
+def slices(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], aggs: list[Column], max_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_bucket``, one row of ``aggs`` per key and bucket).
+
+    Buckets are pieces of a key that follow each other in ``order``, none of them crowded. The caller's bucket (a month,
+    an hour, a slice of an id ...) is used where no (key, bucket) holds more than ``max_rows``; the counts come with the
+    summaries the caller needs anyway, which are written once. Otherwise the rows are cut by range on (keys, order), so
+    that even rows of one second are split by the rest of the order; the cut is checkpointed, because a retry could
+    sample other bounds.
     """
     max_rows = SLICE_ROWS if max_rows is None else max_rows
     b = df.withColumn("_bucket", bucket)
-    sizes = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    if sizes.where(F.col("n") > max_rows).isEmpty():
-        return b
-    total = sizes.agg(F.sum("n")).first()[0]
+    summary = cut_lineage(b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"), *aggs))
+    if summary.where(F.col("_rows") > max_rows).isEmpty():
+        return b, summary.drop("_rows")
+    total = summary.agg(F.sum("_rows")).first()[0]
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-2 * total // max_rows))
     cut = df.repartitionByRange(int(parts), *[F.col(k) for k in keys], *order)
-    return cut_lineage(cut.withColumn("_bucket", F.spark_partition_id()))
+    cut = cut_lineage(cut.withColumn("_bucket", F.spark_partition_id()))
+    return cut, cut.groupBy(*keys, "_bucket").agg(*aggs)
 
 
 def running_totals(
@@ -36,10 +41,9 @@ def running_totals(
     ``bucket`` must be monotone in ``order``. Bucket totals are summed first; the running sum of those few rows gives
     each bucket its start, and the detailed window only ever sees one (key, bucket) at a time.
     """
-    b = slices(df, keys, bucket, order, max_rows)
     for name, value in values.items():
-        b = b.withColumn(name, value)
-    totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(n).alias(n) for n in values])
+        df = df.withColumn(name, value)
+    b, totals = slices(df, keys, bucket, order, [F.sum(n).alias(n) for n in values], max_rows)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *keys, "_bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_start_{n}") for n in values]
@@ -64,10 +68,9 @@ def previous_in_bucketed_order(
 
     The first row of a bucket takes its predecessor from the last row of the nearest earlier bucket that has rows.
     """
-    b = slices(df, keys, bucket, [F.asc(o) for o in order], max_rows)
+    tail = F.max_by(F.struct(*columns), F.struct(*order)).alias("_tail")
+    b, lasts = slices(df, keys, bucket, [F.asc(o) for o in order], [tail], max_rows)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    tail = F.max_by(F.struct(*columns), F.struct(*order))
-    lasts = b.groupBy(*keys, "_bucket").agg(tail.alias("_tail"))
     across = Window.partitionBy(*keys).orderBy("_bucket")
     carried = lasts.select(*keys, "_bucket", F.lag("_tail").over(across).alias("_carry"))
     out = b.withColumn("_rn", F.row_number().over(inside))
@@ -109,8 +112,7 @@ def exact_median(df: DataFrame, value: Column, width: float) -> DataFrame:
 
 def global_row_number(df: DataFrame, order: list[Column], bucket: Column, name: str, max_rows: int | None = None) -> DataFrame:
     """Row number over a whole frame without an unpartitioned window; ``bucket`` must be monotone in ``order``."""
-    b = slices(df, [], bucket, order, max_rows)
-    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    b, sizes = slices(df, [], bucket, order, [F.count(F.lit(1)).alias("_n")], max_rows)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_bucket").orderBy(*order)

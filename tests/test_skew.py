@@ -83,5 +83,5 @@ def test_one_second_holding_everything_is_split(spark):
     d = spark.range(500).select(F.lit("k").alias("k"), F.lit(1).alias("t"), F.col("id").alias("i")).repartition(7)
     run = sk.running_totals(d, ["k"], F.col("t"), [F.asc("t"), F.asc("i")], {"n": F.lit(1)}, 50)
     assert sorted((r.i, r.n) for r in run.collect()) == [(i, i + 1) for i in range(500)]
-    cut = sk.slices(d, ["k"], F.col("t"), [F.asc("t"), F.asc("i")], 50)
+    cut, _ = sk.slices(d, ["k"], F.col("t"), [F.asc("t"), F.asc("i")], [F.max("i")], 50)
     assert max(r["count"] for r in cut.groupBy("_bucket").count().collect()) <= 100
