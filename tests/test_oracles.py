@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from workload.registry import ORACLES, QUERIES
 from workload.check import compare, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+
 # at the smallest scale nothing qualifies for these
 MAY_BE_EMPTY = {
     "commit_bursts", "graduate", "topic_coverage", "near_duplicate_vectors", "dedup_three_layers", "thread_detail", "thread_members",

@@ -4,11 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+import workload.suite  # noqa: F401
 from feedloom.plans import feed as fd
 from feedloom.plans import insight as ins
 from feedloom.sources.tables import read_items, write_items
 from workload.adapter import as_of
+from workload.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 EAGER = {
@@ -25,9 +26,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in EAGER])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in EAGER])
 def test_no_cross_join_and_no_stray_python(spark, name):
-    text = plan(entry.queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if name not in PYTHON:
         assert "EvalPython" not in text and "InPandas" not in text and "MapInArrow" not in text
