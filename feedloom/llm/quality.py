@@ -1,9 +1,9 @@
 """Quality rules with risk-controlled thresholds.
 
 Rule metrics are computed from the whole text of each document. Labelled good documents serve as a holdout: for every
-rule and stratum the lowest cutoff of a fixed grid is taken whose exact (Clopper-Pearson) upper bound of the false
-rejection rate stays within that rule's share of the limit, at a confidence corrected (Bonferroni) for all grid points,
-rules and strata that are tested. A stratum with too few labelled good documents gets no cutoff and rejects nothing.
+rule and stratum the cutoffs of a fixed grid are tested from lenient to strict by the exact (Clopper-Pearson) upper bound
+of their false rejection rate, until the first bound exceeds that rule's share of the limit (fixed-sequence testing); the
+confidence is corrected (Bonferroni) for all rules and strata. A stratum with too few labelled good documents gets no cutoff and rejects nothing.
 
 Edge cases: a null text has no words and fails the base rule; repeated rows are scored each on its own; null strata form
 a stratum of their own; an empty label table yields no cutoffs; columns of the input that bear a result's name are replaced.
@@ -125,7 +125,7 @@ def binomial_upper(rejected: int, n: int, error: float) -> float:
     return high
 
 
-def risk_cutoffs(measured: DataFrame, labels: DataFrame, stratum: Column, id_col: str = "doc_id", limit: float = 0.01, error: float = 0.05) -> DataFrame:
+def risk_cutoffs(measured: DataFrame, labels: DataFrame, stratum: Column, id_col: str = "doc_id", limit: float = 0.02, error: float = 0.05) -> DataFrame:
     """Rows (stratum, rule, cutoff, n_good, bound). ``limit`` is the false rejection rate allowed for a stratum over all
     rules together, ``error`` the probability that any of the bounds fails. Of the grid points whose bound holds, the most
     lenient one is taken that still rejects 98 % of the labelled bad documents which the strictest rejects; a rule that
@@ -149,17 +149,22 @@ def risk_cutoffs(measured: DataFrame, labels: DataFrame, stratum: Column, id_col
     for r in found:
         tally[r["stratum"], r["rule"], r["good"]][r["above"]] += r["n"]
     strata = list(dict.fromkeys(r["stratum"] for r in found))
-    tests = max(1, len(strata)) * len(names) * GRID_POINTS
+    tests = max(1, len(strata)) * len(names)
     rows = []
     for s in strata:
         for k, name in enumerate(names):
             n_good, n_bad = int(tally[s, k, True].sum()), int(tally[s, k, False].sum())
             good, bad = (tally[s, k, g][::-1].cumsum()[::-1][1:] for g in (True, False))  # rejected at each grid point
-            bounds = [binomial_upper(int(x), n_good, error / tests) for x in good]
-            allowed = [i for i, b in enumerate(bounds) if b <= limit / len(names)]
-            if not allowed or bad[allowed[0]] < 10 * bounds[allowed[0]] * max(1, n_bad):
+            bounds: dict[int, float] = {}
+            for i in reversed(range(GRID_POINTS)):  # fixed sequence: stop where the first bound fails
+                bound = binomial_upper(int(good[i]), n_good, error / tests)
+                if bound > limit / len(names):
+                    break
+                bounds[i] = bound
+            strictest = min(bounds, default=None)
+            if strictest is None or bad[strictest] < 10 * bounds[strictest] * max(1, n_bad):
                 continue
-            best = max(i for i in allowed if bad[i] >= 0.98 * bad[allowed[0]])
+            best = max(i for i in bounds if bad[i] >= 0.98 * bad[strictest])
             rows.append((s, name, float(grid(name)[best]), n_good, float(bounds[best])))
     return measured.sparkSession.createDataFrame(rows, "stratum string, rule string, cutoff double, n_good long, bound double")
 
@@ -179,7 +184,7 @@ def size_stratum() -> Column:
     return F.when(F.col("n_words") < 100, "short").when(F.col("n_words") < 1000, "medium").otherwise("long")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", limit: float = 0.01, error: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", limit: float = 0.02, error: float = 0.05) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``. The labelled documents are measured once for the cutoffs and
     again with all others for the verdict, so that no text is shuffled or stored."""
     marks = labels.select(F.col(id_col).alias("__l")).distinct()
