@@ -32,10 +32,10 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     n = len(words)
     if n <= width:
         return 0
-    seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, n)
-    if len(seen) == n:
+    distinct = dict.fromkeys(words)
+    if len(distinct) == n:
         return 0
+    ids = np.fromiter(map(dict(zip(distinct, range(n))).__getitem__, words), np.int64, n)
     span = 1
     while span < width:  # ids[i]: identity of the span words from i
         step = min(span, width - span)
