@@ -13,6 +13,7 @@ column of the same name.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -27,75 +28,98 @@ from feedloom.llm.vocab import MEMO, as_chunk, chunks, rank_table, vocabulary_pa
 
 LEAF = 8  # bits of a rank inside one leaf word
 LOW = (1 << LEAF) - 1
-
-
-def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """Ids of one pre-token. ``longest``: bytes of the longest vocabulary entry."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    get = ranks.get
-    after = list(range(1, n + 2))  # start of the next part; n: the end
-    before = list(range(-1, n))
-    waiting = [-1] * (n + 1)  # rank under which the pair that starts here waits
-    buckets: dict[int, list[int]] = {}
-    leaves: dict[int, int] = {}
-    summary = 0
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            waiting[i] = r
-            if r in buckets:
-                buckets[r].append(i)  # ascending, hence a heap
+BIT = [1 << k for k in range(1 << LEAF)]
+
+
+class RankQueue:
+    """Buckets by rank and the two-level bitmap over them. Merging drains the queue, so one instance serves all pieces."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        most = max(ranks.values(), default=0) + 1
+        self.ranks = ranks
+        self.longest = max(map(len, ranks), default=0)
+        self.buckets: list[list[int] | None] = [None] * most
+        self.leaves = [0] * ((most >> LEAF) + 1)
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        ranks = self.ranks
+        whole = ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        n = len(piece)
+        get, longest, buckets, leaves, bit = ranks.get, self.longest, self.buckets, self.leaves, BIT
+        after = list(range(1, n + 2))  # start of the next part; n: the end
+        before = list(range(-1, n))
+        waiting = [-1] * (n + 1)  # rank under which the pair that starts here waits
+        summary = 0
+        for i in range(n - 1):
+            r = get(piece[i : i + 2])
+            if r is not None:
+                waiting[i] = r
+                bucket = buckets[r]
+                if bucket is None:
+                    buckets[r] = [i]
+                    hi = r >> LEAF
+                    leaves[hi] |= bit[r & LOW]
+                    summary |= 1 << hi
+                else:
+                    bucket.append(i)  # ascending, hence a heap
+        while summary:
+            hi = (summary & -summary).bit_length() - 1
+            leaf = leaves[hi]
+            r = hi << LEAF | (leaf & -leaf).bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) == 1:
+                i = bucket[0]
+                buckets[r] = None
+                leaf &= leaf - 1
+                leaves[hi] = leaf
+                if not leaf:
+                    summary &= summary - 1
             else:
-                buckets[r] = [i]
-                hi = r >> LEAF
-                leaves[hi] = leaves.get(hi, 0) | 1 << (r & LOW)
-                summary |= 1 << hi
-    while summary:
-        hi = (summary & -summary).bit_length() - 1
-        leaf = leaves[hi]
-        r = hi << LEAF | (leaf & -leaf).bit_length() - 1
-        bucket = buckets[r]
-        i = heappop(bucket)
-        if not bucket:
-            del buckets[r]
-            leaf &= leaf - 1
-            leaves[hi] = leaf
-            if not leaf:
-                summary &= summary - 1
-        if waiting[i] != r:
-            continue  # stale
-        gone = after[i]
-        end = after[gone]
-        after[i] = end
-        waiting[gone] = -1
-        if end <= n:
-            before[end if end < n else n] = i
-        for s in (before[i], i) if i else (i,):
-            mid = after[s]
-            if mid >= n:
-                waiting[s] = -1
-                continue
-            stop = after[mid]
-            q = get(piece[s:stop]) if stop - s <= longest else None
-            if q is None:
-                waiting[s] = -1
-            elif waiting[s] != q:
-                waiting[s] = q
-                if q in buckets:
-                    heappush(buckets[q], s)
+                i = heappop(bucket)
+            if waiting[i] != r:
+                continue  # stale
+            gone = after[i]
+            end = after[gone]
+            after[i] = end
+            waiting[gone] = waiting[i] = -1
+            before[end] = i
+            if end < n:
+                stop = after[end]
+                q = get(piece[i:stop]) if stop - i <= longest else None
+                if q is not None:
+                    waiting[i] = q
+                    bucket = buckets[q]
+                    if bucket is None:
+                        buckets[q] = [i]
+                        hi = q >> LEAF
+                        leaves[hi] |= bit[q & LOW]
+                        summary |= 1 << hi
+                    else:
+                        heappush(bucket, i)
+            if i:
+                s = before[i]
+                q = get(piece[s:end]) if end - s <= longest else None
+                if q is None:
+                    waiting[s] = -1
                 else:
-                    buckets[q] = [s]
-                    hi = q >> LEAF
-                    leaves[hi] = leaves.get(hi, 0) | 1 << (q & LOW)
-                    summary |= 1 << hi
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+                    waiting[s] = q
+                    bucket = buckets[q]
+                    if bucket is None:
+                        buckets[q] = [s]
+                        hi = q >> LEAF
+                        leaves[hi] |= bit[q & LOW]
+                        summary |= 1 << hi
+                    else:
+                        heappush(bucket, s)
+        out, i = [], 0
+        while i < n:
+            stop = after[i]
+            out.append(ranks[piece[i:stop]])
+            i = stop
+        return out
 
 
 class Codec:
@@ -105,7 +129,7 @@ class Codec:
         import regex
 
         self.ranks = rank_table(path)
-        self.longest = max(map(len, self.ranks))
+        self.merge = RankQueue(self.ranks).merge
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -117,7 +141,7 @@ class Codec:
         got = self.pieces.get(piece)
         if got is None:
             raw = piece.encode("utf-8", "surrogatepass")
-            got = np.array(merge_piece(raw, self.ranks, self.longest), "<i4").tobytes()
+            got = array("i", self.merge(raw)).tobytes()
             if len(raw) <= 64:
                 if len(self.pieces) >= MEMO:
                     self.pieces.clear()
@@ -200,9 +224,9 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", vocabulary
         c = codec(path, pattern)
         for lists in batches:
             ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).tolist()
+            flat = lists.values.to_numpy(zero_copy_only=False)
             valid = lists.is_valid().to_pylist()
-            yield pa.array([c.decode(flat[a:b]) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.binary())
+            yield pa.array([c.decode(flat[a:b].tolist()) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.binary())
 
     return with_columns(df, {decoded: to_bytes(df[ids])})
 
