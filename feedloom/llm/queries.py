@@ -3,6 +3,7 @@
 from feedloom.llm.bpe import op2_byte_bpe
 from feedloom.llm.language import op1_language_id
 from feedloom.llm.packing import op9_best_fit
+from feedloom.llm.ppm import op5_ppm
 from feedloom.llm.quality import op8_quality_rules
 from feedloom.llm.simhash import op6_simhash
 from feedloom.llm.suffixes import op10_suffix_array
@@ -13,7 +14,7 @@ from feedloom.llm.vectors import op3_near_vectors
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op2_byte_bpe, op3_near_vectors, op4_toxicity, op6_simhash, op7_token_counts, op8_quality_rules, op9_best_fit,
+        op1_language_id, op2_byte_bpe, op3_near_vectors, op4_toxicity, op5_ppm, op6_simhash, op7_token_counts, op8_quality_rules, op9_best_fit,
         op10_suffix_array,
     )
 }
