@@ -66,7 +66,7 @@ def smart_title(slug: Column, acronyms: dict = vocab.ACRONYMS) -> Column:
     words = F.split(F.replace(slug, F.lit("/"), F.lit(" -- ")), "-")
 
     def cased(w):
-        plain = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
+        plain = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
         return F.coalesce(names[F.lower(w)], plain)
 
     return F.array_join(F.transform(words, cased), " ")
@@ -94,6 +94,11 @@ def query_terms(q: str) -> list[str]:
     return re.findall(r"[a-zA-Z0-9]+", q.lower())
 
 
+def text_terms(q: str) -> list[str]:
+    """Words of one query as the texts are split: runs of Unicode letters and digits of the NFC form, lower-cased."""
+    return re.findall(r"[^\W_]+", nfc(q).lower())
+
+
 def query_terms_col(q: Column) -> Column:
     return F.regexp_extract_all(F.lower(q), F.lit("([a-zA-Z0-9]+)"), F.lit(1))
 

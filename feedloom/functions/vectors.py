@@ -20,8 +20,13 @@ def vec_literal(values) -> Column:
     return F.lit([float(v) for v in values])
 
 
+def _similarity(product: Column, lengths: Column) -> Column:
+    # a zero vector is similar to nothing: distance 1, as in the vector join
+    return F.coalesce(F.try_divide(product, lengths), F.lit(0.0))
+
+
 def cosine_similarity(a: Column, b: Column) -> Column:
-    return F.when(a.isNotNull() & b.isNotNull(), dot(a, b) / (norm(a) * norm(b)))
+    return F.when(a.isNotNull() & b.isNotNull(), _similarity(dot(a, b), norm(a) * norm(b)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -34,4 +39,4 @@ def distance_to(a: Column, target) -> Column:
         return cosine_distance(a, target)
     values = [float(v) for v in target]
     length = sum(v * v for v in values) ** 0.5
-    return F.when(a.isNotNull(), 1.0 - dot(a, vec_literal(values)) / (norm(a) * F.lit(length)))
+    return F.when(a.isNotNull(), 1.0 - _similarity(dot(a, vec_literal(values)), norm(a) * F.lit(length)))

@@ -16,7 +16,7 @@ BITS = 32768
 
 def fire_seconds(seconds: np.ndarray, cooldown: int, ready_at: int) -> tuple[list[int], int]:
     """Fires within one sorted run of seconds, given the first second allowed to fire."""
-    out = []
+    out, cooldown = [], max(cooldown, 1)
     i = int(np.searchsorted(seconds, ready_at))
     while i < len(seconds):
         out.append(int(seconds[i]))
@@ -44,8 +44,11 @@ def one_per_second(events: DataFrame) -> DataFrame:
 
 
 def greedy_cooldown(events: DataFrame) -> DataFrame:
-    """(key string, ts, id, cooldown_seconds) -> the events that fire. Ties within a second go to the smaller (ts, id)."""
-    e = one_per_second(events)
+    """(key string, ts, id, cooldown_seconds) -> the events that fire. Ties within a second go to the smaller (ts, id).
+
+    A cooldown below one second lets every second fire once.
+    """
+    e = one_per_second(events.withColumn("cooldown_seconds", F.greatest("cooldown_seconds", F.lit(1))))
     maps = e.groupBy("key", F.bitmap_bucket_number("second").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("second")).alias("bits"), F.max("cooldown_seconds").alias("cooldown_seconds")
     )

@@ -3,11 +3,18 @@ and otherwise runs a sort-merge join with skewed partitions split."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.functions import urls as ux
 
 
+def one_per_key(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The first row of each key in the given order: the unique side of a many-to-one join. The rank limit is applied
+    inside the map tasks, so a key with very many rows shuffles one row per task."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+
+
 def with_source(items: DataFrame, sources: DataFrame, default_tier: str, columns=("tier", "type", "name")) -> DataFrame:
     """Left join on the source; ``tier`` falls back to the caller's default. Adds source_<column> columns."""
     s = sources.select(F.col("id").alias("source_id"), *[F.col(c).alias(f"source_{c}") for c in columns if c != "name"],
@@ -21,15 +28,9 @@ def with_source(items: DataFrame, sources: DataFrame, default_tier: str, columns
 def unseen_by_url(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Rows whose normalised url is unknown; within the batch the first row per url (by published, id) stays."""
     b = batch.withColumn("_h", ux.url_hash(F.col("url")))
-    row = F.struct(*[F.col(c) for c in b.columns])
-    first = b.groupBy("_h").agg(F.min_by(row, F.struct("published_at", "id")).alias("_row")).select("_row.*")
+    first = b.groupBy("_h").agg(F.min(F.struct("published_at", "id")).alias("_first")).select("_h", F.col("_first.id").alias("id"))
     hashes = known.select(ux.url_hash(F.col("url")).alias("_h")).distinct()
-    return first.join(hashes, "_h", "left_anti").drop("_h")
-
-
-def unseen_by_fingerprint(batch: DataFrame, known: DataFrame) -> DataFrame:
-    hashes = known.select("content_hash").where(F.col("content_hash").isNotNull()).distinct()
-    return batch.join(hashes, "content_hash", "left_anti")
+    return b.join(first.join(hashes, "_h", "left_anti"), ["_h", "id"], "left_semi").drop("_h")
 
 
 def without_delivery(items: DataFrame, deliveries: DataFrame) -> DataFrame:
@@ -50,22 +51,10 @@ def seen_pairs(signals: DataFrame) -> DataFrame:
     return signals.where(F.col("action").isin(*SEEN_ACTIONS)).select("item_id", "api_key_id").distinct()
 
 
-def restrict_to(items: DataFrame, *id_frames: DataFrame) -> DataFrame:
-    """Rows whose id is in the union of the given id lists."""
-    ids = id_frames[0].select("id")
-    for f in id_frames[1:]:
-        ids = ids.union(f.select("id"))
-    return items.join(ids.distinct(), "id", "left_semi")
-
-
 def explode_tags(items: DataFrame, *keep: str) -> DataFrame:
     return items.select(*keep, F.explode("tags").alias("tag"))
 
 
-def array_members(df: DataFrame, array: str, *keep: str, name: str = "item_id") -> DataFrame:
-    return df.select(*keep, F.explode(array).alias(name))
-
-
 def url_overlap(left: DataFrame, right: DataFrame, url: Column | None = None) -> DataFrame:
     """Rows of ``left`` whose normalised url also occurs in ``right`` (two sets that should be disjoint)."""
     u = F.col("url") if url is None else url

@@ -21,14 +21,14 @@ _EDGE = r"[\p{L}\p{N}]"
 
 def web_query(q: str) -> dict:
     """Quoted phrases, OR groups and -exclusions of one query string (driver side)."""
-    phrases = [tx.query_terms(p) for p in re.findall(r'"([^"]+)"', q)]
+    phrases = [tx.text_terms(p) for p in re.findall(r'"([^"]+)"', q)]
     rest = re.sub(r'"[^"]*"', " ", q)
     excluded, groups, join = [], [], False
     for word in rest.split():
         if word.upper() == "OR" and groups:
             join = True
             continue
-        terms = tx.query_terms(word)
+        terms = tx.text_terms(word)
         if not terms:
             continue
         if word.startswith("-"):
@@ -71,18 +71,18 @@ def match_all(q: str) -> Column:
 
 
 def match_any(q: str) -> Column:
-    return any_of(*[has_term(t) for t in tx.query_terms(q)])
+    return any_of(*[has_term(t) for t in tx.text_terms(q)])
 
 
 def text_rank(q: str, weights=FIELD_WEIGHTS) -> Column:
     """Sum over fields and terms of weight * (1 + ln tf), plus half the field weight where the whole phrase occurs."""
-    terms = list(dict.fromkeys(tx.query_terms(q)))
+    terms = list(dict.fromkeys(tx.text_terms(q)))
     parts = []
     for f, w in weights.items():
         for t in terms:
             tf = hits(f, [t])
             parts.append(F.when(tf > 0, F.lit(w) * (1.0 + F.log(tf.cast("double")))).otherwise(F.lit(0.0)))
-        parts.append(F.when(hits(f, tx.query_terms(q)) > 0, F.lit(PHRASE_WEIGHT * w)).otherwise(F.lit(0.0)))
+        parts.append(F.when(hits(f, tx.text_terms(q)) > 0, F.lit(PHRASE_WEIGHT * w)).otherwise(F.lit(0.0)))
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
@@ -109,7 +109,7 @@ def build_index(items: DataFrame, weights=FIELD_WEIGHTS) -> DataFrame:
 
 def search_index(index: DataFrame, q: str, mode: str = "all") -> DataFrame:
     """(id, n_terms, score) of the rows holding all (or any) of the query's words."""
-    terms = list(dict.fromkeys(tx.query_terms(q)))
+    terms = list(dict.fromkeys(tx.text_terms(q)))
     g = index.where(F.col("term").isin(*terms)).groupBy("id").agg(
         F.count(F.lit(1)).alias("n_terms"), F.sum("score").alias("score")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -13,8 +15,13 @@ from feedloom.operators import joins as jn
 from feedloom.operators.cooldown import greedy_cooldown
 
 c = F.col
-LITERAL_KEYWORDS = 256
-CHUNK_KEYWORDS = 50_000
+DEFAULT_COOLDOWN_MINUTES = 60
+
+
+def cooldown_seconds() -> Column:
+    """A rule without a cooldown, or with one of zero, waits the default time."""
+    minutes = F.coalesce(F.nullif(c("cooldown_minutes"), F.lit(0)), F.lit(DEFAULT_COOLDOWN_MINUTES))
+    return minutes.cast("long") * 60
 
 
 def _keywords(rules: DataFrame) -> DataFrame:
@@ -23,48 +30,44 @@ def _keywords(rules: DataFrame) -> DataFrame:
     ).select("rule_id", "place", F.lower("_k").alias("keyword")).where(c("keyword") != "")
 
 
-def _finder(words: list[str]):
-    """Arrow UDF: all given words contained in a text, by one automaton pass over it."""
+def keyword_finder(words: list[str]):
+    """pandas UDF: all given words contained in a lower-cased text, by one automaton pass over it, built once per task."""
 
-    def find(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(ArrayType(StringType()))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
         for w in words:
             machine.add_word(w, w)
         machine.make_automaton()
-        return texts.map(lambda t: sorted({w for _, w in machine.iter(t)}) if t else [])
+        for texts in batches:
+            yield texts.map(lambda t: sorted({w for _, w in machine.iter(t)}) if t else [])
+
+    return find
 
-    return F.pandas_udf(find, ArrayType(StringType()))
 
+def active_keywords(rules: DataFrame) -> list[str]:
+    """The distinct keywords of the active rules. Rules are settings that people write; their words, not the items, are
+    what every task gets, at about a hundred bytes each."""
+    return sorted(r[0] for r in _keywords(rules).select("keyword").distinct().collect())
 
-def keyword_hits(items: DataFrame, rules: DataFrame, *, keep: list[str], literal_limit: int = LITERAL_KEYWORDS,
-                 chunk: int = CHUNK_KEYWORDS) -> DataFrame:
+
+def keyword_hits(items: DataFrame, rules: DataFrame, *, keep: list[str]) -> DataFrame:
     """(keep..., keyword): keywords of any active rule found in the item's text, case-insensitively, as substrings.
 
-    A few hundred keywords are tested by built-in functions. More are cut into chunks by hash; each chunk is one pass
-    over the items with an automaton of its words, so neither the driver nor a task ever holds more than one chunk.
+    One pass over the texts for any number of keywords.
     """
-    words = _keywords(rules).select("keyword").distinct()
+    words = active_keywords(rules)
     rows = items.select(*keep, F.lower(fl.alert_haystack()).alias("_text"))
-    few = [r[0] for r in words.limit(literal_limit + 1).collect()]
-    if not few:
+    if not words:
         return rows.where(F.lit(False)).select(*keep, F.lit("").alias("keyword"))
-    if len(few) <= literal_limit:
-        found = F.filter(F.array(*map(F.lit, sorted(few))), lambda k: c("_text").contains(k))
-        return rows.select(*keep, F.explode(found).alias("keyword"))
-    parts = -(-words.count() // chunk)
-    out = None
-    for i in range(parts):
-        some = [r[0] for r in words.where(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == i).collect()]
-        hit = rows.select(*keep, F.explode(_finder(some)(c("_text"))).alias("keyword"))
-        out = hit if out is None else out.unionByName(hit)
-    return out
-
-
-def match_rules(items: DataFrame, rules: DataFrame, **limits) -> DataFrame:
+    return rows.select(*keep, F.explode(keyword_finder(words)(c("_text"))).alias("keyword"))
+
+
+def match_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, item_id, keyword, by_significance): every match of every active rule; keyword is the rule's first hit."""
-    hits = keyword_hits(items, rules, keep=["id"], **limits)
+    hits = keyword_hits(items, rules, keep=["id"])
     worded = hits.join(_keywords(rules), "keyword").groupBy("rule_id", c("id").alias("item_id")).agg(
         F.min_by("keyword", "place").alias("keyword")
     )
@@ -78,7 +81,7 @@ def match_rules(items: DataFrame, rules: DataFrame, **limits) -> DataFrame:
     )
 
 
-def rule_events(items: DataFrame, rules: DataFrame, **limits) -> DataFrame:
+def rule_events(items: DataFrame, rules: DataFrame) -> DataFrame:
     """(key = rule, ts, id = item, cooldown_seconds), at most one per (rule trigger, second).
 
     Items are first reduced to the earliest one per (keyword, second) and per (significance, second). Only these small
@@ -88,9 +91,9 @@ def rule_events(items: DataFrame, rules: DataFrame, **limits) -> DataFrame:
         f = df.groupBy(trigger, F.unix_seconds("created_at").alias("_s")).agg(F.min(F.struct("created_at", "id")).alias("f"))
         return f.select(trigger, c("f.created_at").alias("ts"), c("f.id").alias("id"))
 
-    words = earliest(keyword_hits(items, rules, keep=["id", "created_at"], **limits), "keyword")
+    words = earliest(keyword_hits(items, rules, keep=["id", "created_at"]), "keyword")
     sigs = earliest(items.select("id", "created_at", "significance"), "significance")
-    wait = rules.where("is_active").select(c("id").alias("rule_id"), (F.coalesce("cooldown_minutes", F.lit(60)).cast("long") * 60).alias("cooldown_seconds"))
+    wait = rules.where("is_active").select(c("id").alias("rule_id"), cooldown_seconds().alias("cooldown_seconds"))
     by_word = words.join(_keywords(rules).select("rule_id", "keyword").distinct(), "keyword").select("rule_id", "ts", "id")
     triggers = rules.where("is_active").select(c("id").alias("rule_id"), F.explode("significance_trigger").alias("significance")).distinct()
     by_sig = sigs.join(triggers, "significance").select("rule_id", "ts", "id")
@@ -98,9 +101,9 @@ def rule_events(items: DataFrame, rules: DataFrame, **limits) -> DataFrame:
     return both.select(c("rule_id").alias("key"), "ts", "id", "cooldown_seconds")
 
 
-def fired_alerts(items: DataFrame, rules: DataFrame, **limits) -> DataFrame:
+def fired_alerts(items: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, item_id, ts): alerts left after each rule's cooldown, in event time."""
-    f = greedy_cooldown(rule_events(items, rules, **limits))
+    f = greedy_cooldown(rule_events(items, rules))
     return f.select(c("key").alias("rule_id"), c("id").alias("item_id"), "ts")
 
 

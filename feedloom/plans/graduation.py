@@ -41,7 +41,7 @@ def linked_items(library: DataFrame) -> DataFrame:
 def graduate(items: DataFrame, sources: DataFrame, signals: DataFrame, library: DataFrame, *, as_of: Column) -> DataFrame:
     """New candidate entries; items an entry already cites are left out.
 
-    A slug taken in the library, or by a smaller item id of this run, gets the item id's head as suffix. The owner of a
+    A slug taken in the library, or by a smaller item id of this run, gets the item id as suffix. The owner of a
     slug is found by aggregation, so titles shared by very many items do not gather in one task.
     """
     g = graduation_candidates(items, sources, signals, as_of=as_of).join(linked_items(library), "id", "left_anti")
@@ -54,7 +54,7 @@ def graduate(items: DataFrame, sources: DataFrame, signals: DataFrame, library:
     j = g.join(owner.join(taken, "_slug", "left"), "_slug")
     clash = c("_taken").isNotNull() | (c("_owner") != c("id"))
     return j.select(
-        F.when(clash, F.concat("_slug", F.lit("-"), F.substring("id", 1, 8))).otherwise(c("_slug")).alias("slug"),
+        F.when(clash, F.concat("_slug", F.lit("-"), "id")).otherwise(c("_slug")).alias("slug"),
         "title", F.coalesce(F.nullif(c("summary"), F.lit("")), "title").alias("body"), "topic_path", "tags",
         F.lit("candidate").alias("status"), "graduation_score",
         F.when(c("fast_track"), F.lit("source_type")).otherwise(F.lit("signal")).alias("graduation_method"),

@@ -28,7 +28,7 @@ def library_search(
 ) -> DataFrame:
     """Vector hits first, then weighted word hits, each slug once."""
     q = tx.nfc(q)
-    words = tx.query_terms(q) or [""]
+    words = tx.text_terms(q) or [""]
     rows = active(library).where(fl.all_of(fl.topic_prefix(topic), fl.is_in("entry_type", [entry_type] if entry_type else None)))
     worded = rows.withColumn("tags_text", F.array_join("tags", ", ")).where(fl.substring_match(words, MATCHED))
     worded = worded.select(*SHOWN, fl.substring_score(words, WEIGHTS).cast("double").alias("match_score"))

@@ -87,6 +87,15 @@ def text_search(items: DataFrame, *, q: str, as_of: Column, limit: int = 20, off
     return _finish(merge_branches(page, 0, 1, limit * 3), "rank", limit)
 
 
+def text_total(items: DataFrame, *, q: str, as_of: Column, **filters) -> DataFrame:
+    """(total): all rows that ``text_search`` pages through: those with all words, and when fewer than three have all,
+    those with any."""
+    ok = items.where(search_filters(as_of=as_of, **filters) & fl.search_hygiene())
+    every, some = (F.coalesce(match, F.lit(False)) for match, _ in text_branches(q, as_of, F.lit(True))[:2])
+    n = ok.agg(F.count_if(every).alias("every"), F.count_if(every | some).alias("some"))
+    return n.select(F.when(c("every") < 3, c("some")).otherwise(c("every")).alias("total"))
+
+
 # ---- hybrid ------------------------------------------------------------------------------
 
 
@@ -206,7 +215,7 @@ def _routed_text(items: DataFrame, q: str, as_of: Column, given: Column, narrow:
 
 def library_hits(library: DataFrame, *, q: str, limit: int = 3) -> DataFrame:
     """Knowledge entries shown beside search results: topic 10, title 5, tldr 2 per word."""
-    words = tx.query_terms(q)
+    words = tx.text_terms(q)
     weights = {"topic_path": 10, "title": 5, "tldr": 2}
     rows = library.where((c("status") == "active") & c("is_current") & fl.substring_match(words, list(weights)))
     rows = rows.withColumn("match_score", fl.substring_score(words, weights))

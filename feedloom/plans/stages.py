@@ -12,7 +12,7 @@ from feedloom.functions import scores as sc
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ux
 from feedloom.operators import filters as fl
-from feedloom.operators.joins import with_source
+from feedloom.operators.joins import one_per_key, with_source
 from feedloom.operators.vector_join import cosine_distances, nearest_within, unit_rows
 
 c = F.col
@@ -31,7 +31,7 @@ def embed_stage(items: DataFrame, *, vectors: DataFrame | None = None, embedder=
     raw = c("status") == "raw"
     base = items if "embedding" in items.columns else items.withColumn("embedding", F.lit(None).cast("array<float>"))
     if vectors is not None:
-        v = vectors.select("id", c("embedding").alias("_new"))
+        v = one_per_key(vectors.select("id", c("embedding").alias("_new")), "id", c("_new"))
         base = base.join(v, "id", "left")
     else:
         base = base.withColumn("_new", F.when(raw, embedder(tx.embed_input(c("title"), c("content")))))
@@ -120,8 +120,10 @@ def gate_stage(
 
 
 def apply_labels(items: DataFrame, answers: DataFrame) -> DataFrame:
-    """Rows being processed take their classifier answer (id, raw_text); those without one fail."""
-    a = answers.select("id", lb.parse_label_json(c("raw_text")).alias("_l"))
+    """Rows being processed take their classifier answer (id, raw_text); those without one fail. Of several answers to a
+    row the newest counts, by ``answered_at`` where there is one, then by text."""
+    order = [F.desc("answered_at")] if "answered_at" in answers.columns else []
+    a = one_per_key(answers, "id", *order, F.desc("raw_text")).select("id", lb.parse_label_json(c("raw_text")).alias("_l"))
     j = items.join(a, "id", "left")
     due = c("status") == "processing"
     hit = due & c("_l").isNotNull()
@@ -146,7 +148,10 @@ def quality_stage(items: DataFrame, sources: DataFrame, repo_signals: DataFrame,
     scores .5; everything else, and repositories without signals, uses the heuristic.
     """
     j = with_source(items.withColumn("_repo", ux.repo_slug(c("url"))), sources, "tier2", ("tier",))
-    j = j.join(repo_signals.select(c("repo").alias("_repo"), "signals"), "_repo", "left")
+    # the rows that name a repository alone meet the signals; all others would share one null key
+    known = one_per_key(repo_signals.select(c("repo").alias("_repo"), "signals"), "_repo", F.to_json("signals"))
+    other = j.where(c("_repo").isNull()).withColumn("signals", F.lit(None).cast(dict(repo_signals.dtypes)["signals"]))
+    j = j.where(c("_repo").isNotNull()).join(known, "_repo", "left").unionByName(other)
     sub = sc.quality_subscores(c("signals"), c("content"), as_of)
     h = sc.heuristic_quality(c("source_tier"), c("content"), c("summary"), c("tags"), c("title"))
     j = j.withColumn("_sub", F.when(c("signals").isNotNull(), sub)).withColumn("_h", h)
@@ -166,18 +171,26 @@ def quality_stage(items: DataFrame, sources: DataFrame, repo_signals: DataFrame,
 EPOCH = "1970-01-01 00:00:00"
 
 
-def stalest_first(items: DataFrame, *, limit: int) -> DataFrame:
+def first_rows(rows: DataFrame, limit: int | None, *order) -> DataFrame:
+    """The first ``limit`` rows in this order; all of them, in no order, without a limit."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
+def stalest_first(items: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Repository items by the time their details were last tracked; never tracked counts as the epoch."""
     tracked = F.get_json_object("quality_score_details", "$.last_tracked_at").try_cast("timestamp")
     rows = items.where(fl.processed() & c("url").contains("github.com"))
     rows = rows.withColumn("last_tracked_at", F.coalesce(tracked, F.lit(EPOCH).cast("timestamp")))
-    return rows.orderBy("last_tracked_at", "id").limit(limit)
+    return first_rows(rows, limit, "last_tracked_at", "id")
+
 
+def refresh_quality(items: DataFrame, repo_signals: DataFrame, *, as_of: Column, limit: int | None = None) -> DataFrame:
+    """(id, quality_score, quality_score_details) for the repository items that have fresh signals.
 
-def refresh_quality(items: DataFrame, repo_signals: DataFrame, *, as_of: Column, limit: int = 500) -> DataFrame:
-    """(id, quality_score, quality_score_details) for the stalest repository items that have fresh signals."""
-    due = stalest_first(items, limit=limit).withColumn("repo", ux.repo_slug(c("url")))
-    j = due.join(repo_signals.select("repo", "signals"), "repo")
+    With a limit, the stalest of those; items without signals do not use it up.
+    """
+    due = items.withColumn("repo", ux.repo_slug(c("url")))
+    j = stalest_first(due.join(one_per_key(repo_signals.select("repo", "signals"), "repo", F.to_json("signals")), "repo"), limit=limit)
     sub = sc.quality_subscores(c("signals"), F.lit(None).cast("string"), as_of)
     j = j.select("id", sub.alias("sub"))
     details = F.to_json(
@@ -226,33 +239,34 @@ def _readme_text(description: Column, readme: Column) -> Column:
     return F.when(d != "", F.concat(d, F.lit("\n\n"), readme)).otherwise(readme)
 
 
-def readme_backfill(items: DataFrame, readmes: DataFrame, *, limit: int = 500, short: int = 200, max_chars: int = 8000) -> DataFrame:
+def readme_backfill(items: DataFrame, readmes: DataFrame, *, limit: int | None = None, short: int = 200, max_chars: int = 8000) -> DataFrame:
     """New content for thin repository items, best first; readmes: (repo, readme, stars, description).
 
-    A row whose repository is popular enough for its tags is reset to 'raw' so that it is embedded and judged again.
+    A row whose repository is popular enough for its tags is reset to 'raw' so that it is embedded and judged again. With
+    a limit, the best of the rows that have a README; the stored text is its head, the hash that of the whole README.
     """
     rows = items.where(
         fl.processed() & c("url").contains("github.com") & (F.length(F.coalesce("content", F.lit(""))) < short)
-    ).orderBy(F.desc("relevance_score"), "id").limit(limit)
-    rows = rows.withColumn("repo", ux.repo_slug_strict(c("url"))).join(readmes, "repo")
-    rows = rows.where(c("stars") >= sc.star_cutoff(c("tags"), c("url")))
+    )
+    rows = rows.withColumn("repo", ux.repo_slug_strict(c("url"))).join(one_per_key(readmes, "repo", c("readme")), "repo")
+    rows = rows.where((c("stars") >= sc.star_cutoff(c("tags"), c("url"))) & c("readme").isNotNull())
     text = F.substring(c("readme"), 1, max_chars)
-    return rows.where(c("readme").isNotNull()).select(
-        "id", _readme_text(c("description"), text).alias("content"), tx.short_hash(text).alias("content_hash"),
+    return first_rows(rows, limit, F.desc("relevance_score"), "id").select(
+        "id", _readme_text(c("description"), text).alias("content"), tx.short_hash(c("readme")).alias("content_hash"),
         F.lit("raw").alias("status"), "stars",
     )
 
 
-def readme_refresh(items: DataFrame, readmes: DataFrame, *, limit: int = 200, min_stars: int = 50, max_chars: int = 8000) -> DataFrame:
+def readme_refresh(items: DataFrame, readmes: DataFrame, *, limit: int | None = None, min_stars: int = 50, max_chars: int = 8000) -> DataFrame:
     """Changed READMEs of popular repository items, longest untouched first."""
     stars = F.coalesce(F.get_json_object("quality_score_details", "$.stars").try_cast("int"), F.lit(0))
     rows = items.where(
         fl.processed() & c("url").contains("github.com") & (F.length(F.coalesce("content", F.lit(""))) >= 200) & (stars >= min_stars)
-    ).orderBy("updated_at", "id").limit(limit)
-    rows = rows.withColumn("repo", ux.repo_slug_strict(c("url"))).join(readmes, "repo")
+    )
+    rows = rows.withColumn("repo", ux.repo_slug_strict(c("url"))).join(one_per_key(readmes, "repo", c("readme")), "repo")
     text = F.substring(c("readme"), 1, max_chars)
-    h = tx.short_hash(text)
-    return rows.where(c("readme").isNotNull() & (h != F.coalesce("content_hash", F.lit("")))).select(
+    h = tx.short_hash(c("readme"))
+    return first_rows(rows.where(c("readme").isNotNull() & (h != F.coalesce("content_hash", F.lit("")))), limit, "updated_at", "id").select(
         "id", _readme_text(c("description"), text).alias("content"), h.alias("content_hash"), F.lit("raw").alias("status")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions import text as tx
 from feedloom.operators import filters as fl
+from feedloom.operators.joins import one_per_key
 from feedloom.sources.rows import head, iso_time, text_or
 
 c = F.col
@@ -49,9 +50,9 @@ def extract_published(html: Column) -> Column:
     )
 
     def dates(block):
-        # an object, or a list of objects
-        paths = ["$.datePublished", "$.dateModified", "$[0].datePublished", "$[0].dateModified", "$[1].datePublished", "$[1].dateModified"]
-        return F.array(*[iso_time(F.get_json_object(block, p)) for p in paths])
+        # an object, or a list of objects: one object reads as a list of one
+        found = F.coalesce(F.from_json(block, "array<struct<datePublished:string,dateModified:string>>"), F.array())
+        return F.flatten(F.transform(found, lambda x: F.array(iso_time(x["datePublished"]), iso_time(x["dateModified"]))))
 
     linked = F.get(F.array_compact(F.flatten(F.transform(blocks, dates))), F.lit(0))
     timed = F.regexp_extract(html, r"(?i)<time[^>]+datetime=[\"'](.*?)[\"']", 1)
@@ -71,8 +72,10 @@ def page_rows(pages: DataFrame) -> DataFrame:
 def page_refresh(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Items whose page changed after they were stored take the new text and start over without a vector.
 
-    pages: (url, lastmod, title, content, excerpt, published_at, content_hash). Unknown urls are not handled here.
+    pages: (url, lastmod, title, content, excerpt, published_at, content_hash). Unknown urls are not handled here; of a
+    page fetched more than once the newest counts.
     """
+    pages = one_per_key(pages, "url", F.desc("lastmod"), c("content_hash"), c("title"), c("content"))
     new = pages.select("url", "lastmod", *[c(x).alias(f"_{x}") for x in ("title", "content", "excerpt", "published_at", "content_hash")])
     j = items.join(new, "url", "left")
     hit = F.coalesce(c("lastmod") > c("created_at"), F.lit(False))

@@ -18,7 +18,7 @@ def _links(lines: DataFrame) -> DataFrame:
     # the text left once the first link is cut out
     at = F.regexp_instr(c("_l"), F.lit(LINK))
     length = F.length(F.regexp_extract("_l", LINK, 0))
-    rest = F.concat(F.substring(c("_l"), F.lit(1), at - 1), F.substring(c("_l"), at + length, F.lit(1_000_000)))
+    rest = F.concat(F.substring(c("_l"), F.lit(1), at - 1), F.substring(c("_l"), at + length, F.length("_l")))
     about = F.regexp_replace(rest, r"^[ \-—:]+|[ \-—:]+$", "")
     d = d.select("list_id", "line_no", about.alias("description"), F.posexplode(pairs).alias("link_no", "p"))
     return d.select("list_id", "line_no", "link_no", c("p.name").alias("name"), c("p.url").alias("url"), "description").where(

@@ -13,6 +13,7 @@ from feedloom import vocab
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ux
 from feedloom.operators import filters as fl
+from feedloom.plans.alerts import active_keywords, cooldown_seconds, keyword_finder
 from feedloom.session import ensure_checkpoint_dir
 
 c = F.col
@@ -112,26 +113,23 @@ def _cooldown_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
     for s in sorted(first):
         if s >= ready:
             out.append((key[0], first[s][1], first[s][0]))
-            ready = s + wait
+            ready = s + max(wait, 1)
     state.update((int(ready),))
     if out:
         yield pd.DataFrame(out, columns=["rule_id", "item_id", "ts"])
 
 
-def alert_stream(items: DataFrame, rules: DataFrame, *, literal_limit: int = 256) -> DataFrame:
+def alert_stream(items: DataFrame, rules: DataFrame) -> DataFrame:
     """Streamed items against static rules with a cooldown per rule, in order of event time within a batch."""
     active = rules.where("is_active")
-    kw = active.select(c("id").alias("rule_id"), F.explode("keywords").alias("_k")).select("rule_id", F.lower("_k").alias("trigger"))
+    kw = active.select(c("id").alias("rule_id"), F.explode("keywords").alias("_k")).select("rule_id", F.lower("_k").alias("trigger")).where(c("trigger") != "")
     sig = active.select(c("id").alias("rule_id"), F.explode("significance_trigger").alias("_s")).select(
         "rule_id", F.concat(F.lit("significance:"), "_s").alias("trigger")
     )
-    wait = active.select(c("id").alias("rule_id"), (F.coalesce("cooldown_minutes", F.lit(60)).cast("long") * 60).alias("cooldown_seconds"))
+    wait = active.select(c("id").alias("rule_id"), cooldown_seconds().alias("cooldown_seconds"))
     triggers = kw.unionByName(sig).distinct().join(wait, "rule_id")
-    words = [r[0] for r in kw.select("trigger").distinct().limit(literal_limit + 1).collect()]
-    if len(words) > literal_limit:
-        raise ValueError("more keywords than one literal list should hold: use the batch job in foreachBatch")
-    low = F.lower(fl.alert_haystack())
-    found = F.filter(F.array(*map(F.lit, sorted(words))), lambda k: low.contains(k)) if words else F.array().cast("array<string>")
+    words = active_keywords(rules)
+    found = keyword_finder(words)(F.lower(fl.alert_haystack())) if words else F.array().cast("array<string>")
     marks = F.concat(found, F.array(F.concat(F.lit("significance:"), F.coalesce("significance", F.lit("")))))
     e = items.select(c("id").alias("item_id"), c("created_at").alias("ts"), F.explode(marks).alias("trigger"))
     hits = e.join(triggers, "trigger").select(

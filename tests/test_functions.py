@@ -11,6 +11,7 @@ from feedloom.functions import render as rd
 from feedloom.functions import scores as sc
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ux
+from feedloom.functions import vectors as vec
 from feedloom.operators import text_match as tm
 
 c = F.col
@@ -184,3 +185,21 @@ def test_item_and_library_text(spark):
     assert df.select(rd.item_text()).first()[0] == "## T\nE\nURL: u\nType: tool | Sig: informational | Score: 0.46\nTags: a, b\n\n"
     lib = spark.sql("select 'T' title, 'tl' tldr, array('k') key_points, array(named_struct('title','g','detail','d')) gotchas")
     assert lib.select(rd.library_text()).first()[0] == "## Library: T\ntl\nKey points:\n- k\nGotchas:\n- g: d\n\n"
+
+
+def test_zero_and_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "id int, v array<float>")
+    got = {r[0]: r[1] for r in df.select("id", vec.distance_to(F.col("v"), [1.0, 0.0])).collect()}
+    assert got == {1: 0.0, 2: 1.0, 3: None, 4: 1.0}
+    assert df.where("id = 1").select(vec.distance_to(F.col("v"), [0.0, 0.0])).first()[0] == 1.0
+    assert df.where("id = 2").select(vec.cosine_distance(F.col("v"), F.col("v"))).first()[0] == 1.0
+
+
+def test_query_words_are_unicode():
+    assert tx.text_terms("Größe, données 日本") == ["größe", "données", "日本"]
+
+
+def test_long_words_keep_their_end(spark):
+    df = spark.createDataFrame([("mcp-" + "a" * 1_200_000,)], "s string")
+    assert df.select(F.length(tx.smart_title(F.col("s")))).first()[0] == 1_200_004

@@ -14,11 +14,12 @@ from workload.registry import QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 EAGER = {
     "alert_stream", "breaking_notices", "repo_event_stream", "stream_url_dedup", "stream_history_dedup", "replay_guard", "cluster_items",
+    "alert_stream_many_keywords", "items_round_trip", "log_append",
 }
 PYTHON = {
     "unicode_nfc", "gate_scores", "gate_stage", "gate_scores_by_join", "watchlist_matches", "nearest_neighbours", "near_duplicate_vectors",
     "related_entries", "dedup_three_layers", "alert_matches_many_keywords", "fired_alerts", "alert_deliveries", "unalerted_items",
-    "alert_status", "poll_cooldown",
+    "alert_status", "poll_cooldown", "alert_matches", "fired_alerts_zero_cooldown",
 }
 
 

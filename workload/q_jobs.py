@@ -165,6 +165,19 @@ def _(t: Tables):
     return out.select("id", "primary_type", F.array_join("tags", ",").alias("tags"), "confidence_score", "summary", "significance", "status")
 
 
+@query(
+    "apply_labels_twice", "B05 F33",
+    sql("items", f"""SELECT id, CASE WHEN lid IS NULL THEN primary_type WHEN pt IN ('skill','tool','update','practice','docs') THEN pt ELSE {TYPE_SQL} END AS primary_type,
+      CASE WHEN lid IS NULL THEN 'failed' ELSE 'processed' END AS status FROM items LEFT JOIN lab2 ON lid = id""", LABELLED),
+)
+def _(t: Tables):
+    """An older, unusable answer to every item beside the newer one, and the newer one twice."""
+    new = answers(t).withColumn("answered_at", as_of())
+    old = new.withColumns({"raw_text": F.lit("{}"), "answered_at": F.lit("2020-01-01").cast("timestamp")})
+    out = st.apply_labels(t.items().withColumn("status", F.lit("processing")), new.unionByName(old).unionByName(new))
+    return out.select("id", "primary_type", "status")
+
+
 REPO_URL = "CASE doc_id % 3 WHEN 0 THEN concat('https://github.com/own/repo', doc_id) WHEN 1 THEN 'https://github.com/own' ELSE url END"
 
 
@@ -219,13 +232,13 @@ def _(t: Tables):
       (SELECT d.id, stars, {half_up('CASE WHEN archived THEN 0 WHEN age IS NULL THEN 0.5 ELSE greatest(0, least(1, 1 - age::DOUBLE / 365)) END', 3)} AS maintenance,
          round(CASE WHEN archived THEN greatest(0, CASE WHEN lic THEN 1 ELSE 0.5 END::DOUBLE - 0.2) ELSE CASE WHEN lic THEN 1 ELSE 0.5 END END::DOUBLE, 3) AS compatibility,
          CASE WHEN stars = 0 AND forks = 0 THEN 0::DOUBLE ELSE {half_up('least(1, least(1, log10(greatest(1, stars)) / 5) + least(0.1, log10(greatest(1, forks)) / 50) + least(0.05, log10(greatest(1, subs)) / 100))', 3)} END AS community
-       FROM (SELECT id, CAST(external_id AS BIGINT) AS n FROM items WHERE status = 'processed' AND CAST(external_id AS BIGINT) % 3 < 2 ORDER BY id LIMIT 500) d
+       FROM (SELECT id, CAST(external_id AS BIGINT) AS n FROM items WHERE status = 'processed' AND CAST(external_id AS BIGINT) % 3 < 2) d
        JOIN (SELECT c_custkey, (c_custkey * 37) % 5000 AS stars, c_custkey % 300 AS forks, c_custkey % 50 AS subs, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 400 END AS age,
          c_custkey % 17 = 0 AS archived, c_custkey % 3 <> 0 AS lic FROM customer) r ON d.n % 3 = 0 AND r.c_custkey = d.n)"""),
 )
 def _(t: Tables):
     i = repo_items(t).withColumn("quality_score_details", F.lit("{}"))
-    out = st.refresh_quality(i, repo_signals(t), as_of=as_of(), limit=500)
+    out = st.refresh_quality(i, repo_signals(t), as_of=as_of())
     return out.select("id", "quality_score", F.get_json_object("quality_score_details", "$.stars").cast("long").alias("stars"))
 
 
@@ -276,25 +289,25 @@ README_SQL = "('# ' || c_name || chr(10) || c_mktsegment)"
 @query(
     "readme_backfill", "B17 F07 F38 F40",
     sql("items", f"""SELECT id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || chr(10) || chr(10) ELSE '' END || {README_SQL} AS content, substr(sha256({README_SQL}), 1, 16) AS content_hash, stars FROM
-      (SELECT *, CAST(external_id AS BIGINT) AS n FROM items WHERE status = 'processed' AND CAST(external_id AS BIGINT) % 3 < 2 AND length(content) < 1000 ORDER BY relevance_score DESC, id LIMIT 5000) i
+      (SELECT *, CAST(external_id AS BIGINT) AS n FROM items WHERE status = 'processed' AND CAST(external_id AS BIGINT) % 3 < 2 AND length(content) < 1000) i
       JOIN (SELECT *, c_custkey * 7 % 120 AS stars FROM customer) r ON i.n % 3 = 0 AND r.c_custkey = i.n
       WHERE stars >= CASE WHEN list_has_any(tags, ['mcp','claude-code']) THEN 0 ELSE 10 END"""),
 )
 def _(t: Tables):
-    return st.readme_backfill(repo_items(t), readmes(t), limit=5000, short=1000).select("id", "content", "content_hash", "stars")
+    return st.readme_backfill(repo_items(t), readmes(t), short=1000).select("id", "content", "content_hash", "stars")
 
 
 @query(
     "readme_refresh", "B18 F38",
     sql("items", f"""SELECT id, substr(sha256({README_SQL}), 1, 16) AS content_hash FROM
       (SELECT *, CAST(external_id AS BIGINT) AS n FROM items WHERE status = 'processed' AND CAST(external_id AS BIGINT) % 3 < 2 AND length(content) >= 200
-        AND CAST(external_id AS BIGINT) % 90 >= 50 ORDER BY updated_at, id LIMIT 400) i JOIN customer r ON i.n % 3 = 0 AND r.c_custkey = i.n WHERE n % 4 <> 0"""),
+        AND CAST(external_id AS BIGINT) % 90 >= 50) i JOIN customer r ON i.n % 3 = 0 AND r.c_custkey = i.n WHERE n % 4 <> 0"""),
 )
 def _(t: Tables):
     d = repo_items(t).withColumn("quality_score_details", F.concat(F.lit('{"stars": '), (c("external_id").cast("long") % 90).cast("string"), F.lit("}")))
     known = readmes(t).select(F.substring_index("repo", "repo", -1).alias("external_id"), tx.short_hash(c("readme")).alias("_h"))
     d = d.join(known, "external_id", "left").withColumn("content_hash", F.when(c("external_id").cast("long") % 4 == 0, c("_h")).otherwise(F.lit("old"))).drop("_h")
-    return st.readme_refresh(d, readmes(t), limit=400).select("id", "content_hash")
+    return st.readme_refresh(d, readmes(t)).select("id", "content_hash")
 
 
 @query(
@@ -373,7 +386,7 @@ def _(t: Tables):
 
 @query(
     "graduate", "B10 J22 F35",
-    sql("items sources signal_counts library", """SELECT id AS item_id, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY id) > 1 THEN s || '-' || substr(id, 1, 8) ELSE s END AS slug,
+    sql("items sources signal_counts library", """SELECT id AS item_id, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY id) > 1 THEN s || '-' || id ELSE s END AS slug,
       CASE WHEN fast THEN 'source_type' ELSE 'signal' END AS method, coalesce(nullif(summary, ''), title) AS body FROM
       (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(tags[1] || '-' || substr(title, 1, 40)), '[/\\\\]', '-', 'g'), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS s
        FROM qual WHERE id NOT IN (SELECT unnest(source_item_ids) FROM library WHERE is_current))""", GRAD),

@@ -123,6 +123,38 @@ def _(t: Tables):
     return se.text_search(t.items(), q="erenst there", as_of=as_of()).select("id", "rank", "pos")
 
 
+@query(
+    "text_search_total", "Q03",
+    sql("items", f"""SELECT CASE WHEN a < 3 THEN b ELSE a END AS total FROM (SELECT count(*) FILTER (relevance_score >= 0.60 AND {MATCH_ALL}) AS a,
+      count(*) FILTER ((relevance_score >= 0.60 AND {MATCH_ALL}) OR (relevance_score >= 0.65 AND {MATCH_ANY})) AS b FROM tok WHERE status = 'processed' AND {HYGIENE})""", TOKENS.replace("{src}", "items")),
+)
+def _(t: Tables):
+    return se.text_total(t.items(), q=Q, as_of=as_of())
+
+
+ACCENTS = ["für", "être", "ció", "nicht"]
+
+
+@query(
+    "text_search_accents", "Q03 P09 F49",
+    sql("items", " UNION ALL ".join(
+        f"""SELECT '{w}' AS word, id FROM items WHERE list_contains(regexp_extract_all(lower(concat_ws(' ', title, excerpt, content)), '[\\p{{L}}\\p{{N}}]+'), '{w}')"""
+        for w in ACCENTS)),
+)
+def _(t: Tables):
+    """A German, a French and a Spanish word, each also typed in decomposed form and in capitals; whole words only."""
+    import unicodedata
+
+    from feedloom.operators import text_match as tm
+
+    out = None
+    for w in ACCENTS:
+        typed = unicodedata.normalize("NFD", w.upper() if w == "für" else w)
+        part = t.items().where(tm.match_all(typed)).select(F.lit(w).alias("word"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 VEC0 = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
 SIM0 = f"(round(1 - list_cosine_similarity(embedding, {VEC0}), 6) + 0)"
 

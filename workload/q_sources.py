@@ -138,11 +138,13 @@ def _(t: Tables):
     """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' WHEN 2 THEN 'json_feed' WHEN 3 THEN 'json_feed' ELSE 'unknown' END AS feed_type FROM documents""",
 )
 def _(t: Tables):
+    """Whole documents inside the frames of each kind of feed."""
     k = c("doc_id") % 5
+    whole = xml(c("text"))
     payload = (
-        F.when(k == 0, F.lit('<?xml version="1.0"?>\n<!-- c --><rss version="2.0">'))
-        .when(k == 1, F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'))
-        .when(k == 2, F.lit('{"version": "https://JSONFeed.org/version/1.1"}'))
+        F.when(k == 0, F.concat(F.lit('<?xml version="1.0"?>\n<!-- c --><rss version="2.0"><channel><description>'), whole, F.lit("</description></channel></rss>")))
+        .when(k == 1, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>'), whole, F.lit("</title></feed>")))
+        .when(k == 2, F.to_json(F.struct(F.lit("https://JSONFeed.org/version/1.1").alias("version"), c("text").alias("title"))))
         .otherwise(c("text"))
     )
     kind = F.when(k == 3, F.lit("application/feed+json; charset=utf-8")).otherwise(F.lit("text/html"))
@@ -463,6 +465,80 @@ def _(t: Tables):
     return ht.page_refresh(i, pages).select("id", "status", "title", F.md5("content").alias("content_md5"))
 
 
+@query(
+    "page_refresh_twice", "S25",
+    sql("items", f"""SELECT id, CASE WHEN hit THEN 'raw' ELSE status END AS status, CASE WHEN hit THEN 'New ' || external_id ELSE title END AS title FROM
+      (SELECT *, CAST(external_id AS BIGINT) % 2 = 0 AND {AS_OF} - INTERVAL 45 DAY > created_at AS hit FROM items)"""),
+)
+def _(t: Tables):
+    """Every page was fetched three times; the newest fetch counts."""
+    from feedloom.operators.filters import days_back
+
+    i = t.items()
+    pages = i.where(c("external_id").cast("long") % 2 == 0).select(
+        "url", days_back(as_of(), 45).alias("lastmod"), F.concat(F.lit("New "), "external_id").alias("title"), c("source_name").alias("content"),
+        c("source_name").alias("excerpt"), F.lit(None).cast("timestamp").alias("published_at"), F.lit("h").alias("content_hash"),
+    )
+    older = pages.withColumns({"lastmod": days_back(as_of(), 50), "title": F.lit("stale")})
+    return ht.page_refresh(i, pages.unionByName(older).unionByName(pages)).select("id", "status", "title")
+
+
+@query(
+    "page_dates", "S19",
+    f"""SELECT page_id, {ts_text("TIMESTAMP '2023-01-01 00:00:00' + to_days(CAST(page_id % 300 AS INTEGER))")} AS published_at FROM pages WHERE page_id % 6 < 5 UNION ALL SELECT page_id, NULL FROM pages WHERE page_id % 6 = 5""",
+)
+def _(t: Tables):
+    """Open graph tags in both orders, JSON-LD objects and lists (the date in the fourth object), time tags, and none."""
+    k = c("page_id") % 6
+    day = F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (c("page_id") % 300).cast("int")), "yyyy-MM-dd")
+    iso = F.concat(day, F.lit("T00:00:00Z"))
+    ld = '<script type="application/ld+json">'
+    tag = (
+        F.when(k == 0, F.concat(F.lit('<meta property="article:published_time" content="'), iso, F.lit('">')))
+        .when(k == 1, F.concat(F.lit('<meta content="'), iso, F.lit('" property="article:published_time">')))
+        .when(k == 2, F.concat(F.lit(ld + '{"@type":"Article","datePublished":"'), iso, F.lit('"}</script>')))
+        .when(k == 3, F.concat(F.lit(ld + '[{"@type":"A"},{"name":"b"},{},{"dateModified":"'), iso, F.lit('"}]</script>')))
+        .when(k == 4, F.concat(F.lit('<time class="x" datetime="'), iso, F.lit('">')))
+        .otherwise(F.lit(""))
+    )
+    bare = F.regexp_replace(F.regexp_replace("html", "(?i)<time", "<span"), "(?is)<script.*?</script>", "")
+    return t.raw("pages").select("page_id", ts_of(ht.extract_published(F.concat(tag, bare))).alias("published_at"))
+
+
+def ts_of(value):
+    return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+
+
+@query(
+    "items_round_trip", "S27",
+    sql("items", f"SELECT id, source_id, {ts_text('created_at')} AS created_at, md5(content) AS content_md5 FROM items WHERE created_at >= {AS_OF} - INTERVAL 30 DAY"),
+)
+def _(t: Tables):
+    """Written by day and read back from a day on."""
+    from feedloom.sources.tables import read_items, write_items
+    from feedloom.streaming.jobs import scratch
+
+    path = scratch(t.spark, "items")
+    write_items(t.items(), path)
+    return read_items(t.spark, path, "2024-01-01").select("id", "source_id", ts_of("created_at").alias("created_at"), F.md5("content").alias("content_md5"))
+
+
+@query(
+    "log_append", "S28",
+    "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL",
+)
+def _(t: Tables):
+    """A log that is appended to in three runs."""
+    from feedloom.sources.tables import append_log
+    from feedloom.streaming.jobs import scratch
+
+    path = scratch(t.spark, "log")
+    rows = t.raw("events").select("event_id", "user_id", c("ts").alias("created_at"))
+    for k in range(3):
+        append_log(rows.where(c("event_id") % 3 == k), path)
+    return t.spark.read.parquet(path).groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
+
+
 def readme_lines(t: Tables):
     k = c("p_partkey")
     line = F.when(
@@ -484,10 +560,11 @@ def _(t: Tables):
 
 @query(
     "markdown_added_links", "S16 U05",
-    "SELECT p_name AS name, 'https://x.example.org/' || p_partkey AS url FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 3 = 0",
+    """SELECT p_name AS name, 'https://x.example.org/' || p_partkey AS url FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 3 = 0
+    UNION ALL SELECT 'A' || p_partkey, 'https://y.example.org/' || p_partkey FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 3 = 0""",
 )
 def _(t: Tables):
-    new = readme_lines(t).where("line_no % 4 <> 1")
+    new = readme_lines(t)
     old = new.where("line_no % 3 <> 0")
     return md.extract_markdown_links(new, old).select("name", "url")
 

@@ -30,9 +30,15 @@ def _(t: Tables):
     return al.match_rules(t.items(), t.alert_rules())
 
 
+def many_keywords(t: Tables):
+    """Every rule with 400 further keywords, none of which occurs."""
+    more = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.concat(F.lit("zq#"), "id", F.lit("#"), k))
+    return t.alert_rules().withColumn("keywords", F.concat("keywords", more))
+
+
 @query("alert_matches_many_keywords", "J17 F30", sql("items alert_rules", "SELECT rule_id, item_id, keyword, by_significance FROM hit", MATCH))
 def _(t: Tables):
-    return al.match_rules(t.items(), t.alert_rules(), literal_limit=4, chunk=10)
+    return al.match_rules(t.items(), many_keywords(t))
 
 
 FIRE = """, ev AS MATERIALIZED (SELECT rule_id, CAST(epoch(created_at) AS BIGINT) AS s, min({'t': created_at, 'i': item_id}) AS f, max(cooldown_minutes) * 60 AS cd FROM hit GROUP BY 1, 2),
@@ -52,6 +58,19 @@ def _(t: Tables):
     return out.select("rule_id", "item_id", ts("ts"))
 
 
+@query("alert_stream_many_keywords", "T04", sql("items alert_rules", FIRED, MATCH + FIRE))
+def _(t: Tables):
+    s = st.alert_stream(t.items(docs=t.stream("documents")), many_keywords(t))
+    out = st.drain(s, path=st.scratch(t.spark, "alerts"), checkpoint=st.scratch(t.spark, "alerts-cp"))
+    return out.select("rule_id", "item_id", ts("ts"))
+
+
+@query("fired_alerts_zero_cooldown", "T04", sql("items alert_rules", FIRED, MATCH + FIRE.replace("max(cooldown_minutes) * 60", "3600")))
+def _(t: Tables):
+    """A cooldown of zero is none given: the default of one hour."""
+    return al.fired_alerts(t.items(), t.alert_rules().withColumn("cooldown_minutes", F.lit(0))).select("rule_id", "item_id", ts("ts"))
+
+
 @query(
     "alert_deliveries", "F29 F31 S28",
     sql("items alert_rules", f"""SELECT rule_id AS alert_rule_id, item_id AS intel_item_id, CASE WHEN primary_type = 'update' AND ({BREAK_SQL}) THEN 'critical' WHEN primary_type = 'update' AND confidence_score >= 0.8 THEN 'important'
