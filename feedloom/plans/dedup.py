@@ -6,25 +6,38 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ux
+from feedloom.operators.joins import one_per_key
 from feedloom.plans.similar import near_duplicates
+from feedloom.session import cut_lineage
 
 c = F.col
 
 
-def _layer(batch: DataFrame, known: DataFrame, key: Column, known_key: Column, reason: str) -> DataFrame:
+def _stored_or(df: DataFrame, column: str, value: Column) -> Column:
+    """The stored hash where the table has it, computed only where it is missing."""
+    return F.coalesce(c(column), value) if column in df.columns else value
+
+
+def _keys(df: DataFrame, *keep: str) -> DataFrame:
+    """Narrow rows: no text and no vector goes through the joins below."""
+    return df.select(
+        *keep, _stored_or(df, "url_hash", ux.url_hash(c("url"))).alias("url_key"),
+        _stored_or(df, "content_hash", tx.content_fingerprint(c("content"))).alias("text_key"),
+    )
+
+
+def _layer(rows: DataFrame, known: DataFrame, key: str, reason: str) -> DataFrame:
     """Adds the reason to rows whose key is known already, or held by an earlier row (published, id) of the batch.
 
-    Keys are reduced to one row each before they meet the batch again, so both joins are many-to-one; a key shared by a
+    Keys are reduced to one row each before they meet the batch again, so the joins are many-to-one; a key shared by a
     third of the batch is split by the adaptive skew join.
     """
-    b = batch.withColumn("_key", key)
-    open_rows = b.where(c("reason").isNull() & c("_key").isNotNull())
-    first = open_rows.groupBy("_key").agg(F.min(F.struct("published_at", "id")).alias("_first"))
-    seen = known.select(known_key.alias("_key")).where(c("_key").isNotNull()).distinct().withColumn("_known", F.lit(True))
-    j = b.join(first, "_key", "left").join(seen, "_key", "left")
-    duplicate = c("_known").isNotNull() | (c("_first.id") != c("id"))
-    out = j.withColumn("reason", F.when(c("reason").isNull() & F.coalesce(duplicate, F.lit(False)), F.lit(reason)).otherwise(c("reason")))
-    return out.drop("_key", "_first", "_known")
+    first = rows.where(c("reason").isNull() & c(key).isNotNull()).groupBy(key).agg(F.min(F.struct("published_at", "id")).alias("_first"))
+    seen = known.select(key).where(c(key).isNotNull()).distinct().withColumn("_known", F.lit(True))
+    facts = first.join(seen, key, "left")
+    j = rows.join(facts, key, "left")
+    duplicate = c("reason").isNull() & F.coalesce(c("_known") | (c("_first.id") != c("id")), c("_first.id") != c("id"), F.lit(False))
+    return j.withColumn("reason", F.when(duplicate, F.lit(reason)).otherwise(c("reason"))).select(*rows.columns)
 
 
 def dedup_items(
@@ -32,19 +45,22 @@ def dedup_items(
 ) -> DataFrame:
     """Every batch row with ``reason``: url_hash, content_fingerprint, embedding_similarity or null (keep it).
 
-    Cheapest layer first; a later layer only looks at rows the earlier ones let through. The vector layer compares with
-    known items of the last days only.
+    Cheapest layer first, on narrow rows with one row per id; a later layer only looks at rows the earlier ones let
+    through. The vector layer compares with known items of the last days only. Known items bring their stored hashes
+    (url_hash, content_hash) where they have them.
     """
-    b = batch.withColumn("reason", F.lit(None).cast("string"))
-    b = _layer(b, known, ux.url_hash(c("url")), ux.url_hash(c("url")), "url_hash")
-    b = _layer(b, known, tx.content_fingerprint(c("content")), tx.content_fingerprint(c("content")), "content_fingerprint")
-    if not vectors:
-        return b
-    left = b.where(c("reason").isNull())
-    near = near_duplicates(left, known, as_of=as_of, threshold=threshold, days=days).select(
-        c("query_id").alias("id"), F.lit("embedding_similarity").alias("_near")
-    )
-    return b.join(near, "id", "left").withColumn("reason", F.coalesce("reason", "_near")).drop("_near")
+    old = _keys(known)
+    rows = _keys(one_per_key(batch, "id", c("published_at"), c("url")), "id", "published_at").withColumn("reason", F.lit(None).cast("string"))
+    rows = _layer(rows, old, "url_key", "url_hash")
+    rows = _layer(rows, old, "text_key", "content_fingerprint").select("id", "reason")
+    if vectors:
+        rows = cut_lineage(rows)  # the vector join reads it several times
+        left = batch.join(rows.where(c("reason").isNull()), "id", "left_semi")
+        near = near_duplicates(left, known, as_of=as_of, threshold=threshold, days=days).select(
+            c("query_id").alias("id"), F.lit("embedding_similarity").alias("_near")
+        )
+        rows = rows.join(near, "id", "left").select("id", F.coalesce("reason", "_near").alias("reason"))
+    return batch.join(rows, "id")
 
 
 def keep_new(batch: DataFrame, known: DataFrame, **kwargs) -> DataFrame:
