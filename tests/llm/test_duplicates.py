@@ -188,3 +188,12 @@ def test_small_repeats_in_crowded_buckets(spark, monkeypatch, chunk):
 
 def test_repeats_of_nothing(nothing):
     assert suffixes.drop_repeats(nothing).count() == 0
+
+
+def test_vectors_equal_their_oracle(spark):
+    from feedloom.llm.queries import ORACLES, QUERIES
+    from workload.check import compare, duck
+
+    folder = "/root/testdata/sf0.001"
+    status, rows, _, note = compare("op3_near_vectors", spark, duck(folder), folder, QUERIES, ORACLES)
+    assert status == "ok" and rows > 0, note
