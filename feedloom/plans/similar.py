@@ -29,11 +29,11 @@ def similar_by_id(items: DataFrame, *, item_id: str, radius: float = 0.45, limit
     return similar_by_vector(items.where(c("id") != item_id), vec=found[0], radius=radius, limit=limit)
 
 
-def watchlist_matches(items: DataFrame, watchlists: DataFrame, *, limit: int = 20) -> DataFrame:
+def watchlist_matches(items: DataFrame, watchlists: DataFrame, *, limit: int = 20, **tuning) -> DataFrame:
     """Best items of every active watchlist at once, each with its own similarity threshold."""
     w = watchlists.where("is_active").select("id", c("concept_embedding").alias("vec"), (1.0 - c("similarity_threshold")).alias("r"))
     base = items.where(fl.processed()).select("id", c("embedding").alias("vec"))
-    m = nearest_within(w, base, k=limit, radius=c("r"), exclude_self=False, inclusive=True)
+    m = nearest_within(w, base, k=limit, radius=c("r"), exclude_self=False, inclusive=True, **tuning)
     return m.select(c("query_id").alias("watchlist_id"), "id", sc.stable(1.0 - c("distance")).alias("match_score"), "rn")
 
 

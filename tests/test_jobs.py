@@ -151,3 +151,19 @@ def test_alert_rules_without_keywords_or_cooldown(spark):
     assert [(r.rule_id, r.item_id) for r in al.fired_alerts(items, rules).collect()] == [("r", "i")]
     m = al.match_rules(items, rules).collect()
     assert [(r.rule_id, r.keyword, r.by_significance) for r in m] == [("r", None, True)]
+
+
+def test_zero_cooldown_ends():
+    import numpy as np
+
+    from feedloom.operators.cooldown import fire_seconds
+
+    assert fire_seconds(np.array([1, 2, 5]), 0, 0) == ([1, 2, 5], 6)
+
+
+def test_one_per_key(spark):
+    from feedloom.operators.joins import one_per_key
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "x"), (None, 1, "z")], "k string, n int, v string")
+    got = {(r.k, r.n, r.v) for r in one_per_key(rows, "k", F.desc("n"), F.col("v")).collect()}
+    assert got == {("a", 2, "x"), (None, 1, "z")}

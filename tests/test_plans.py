@@ -20,6 +20,7 @@ PYTHON = {
     "unicode_nfc", "gate_scores", "gate_stage", "gate_scores_by_join", "watchlist_matches", "nearest_neighbours", "near_duplicate_vectors",
     "related_entries", "dedup_three_layers", "alert_matches_many_keywords", "fired_alerts", "alert_deliveries", "unalerted_items",
     "alert_status", "poll_cooldown", "alert_matches", "fired_alerts_zero_cooldown",
+    "watchlist_matches_with_pivots", "nearest_neighbours_with_pivots", "related_entries_with_pivots",
 }
 
 

@@ -8,6 +8,7 @@ from feedloom.functions import scores as sc
 from feedloom.functions import text as tx
 from feedloom.operators import filters as fl
 from feedloom.operators import joins as jn
+from feedloom.operators import skew as sk
 from feedloom.plans import briefing as br
 from feedloom.plans import dedup as dd
 from feedloom.plans import graduation as gr
@@ -622,3 +623,29 @@ def _(t: Tables):
 
     d = t.raw("conversations").withColumn("pos", c("turn"))
     return pack_budget(d, F.length("text"), 1500, ["conv_id"]).select("conv_id", "turn", "running_chars")
+
+
+# ---- ordered computations over hot keys, with buckets cut by range -----------------------
+
+CUT = 200  # rows per bucket: every event type holds far more
+
+
+@query("running_totals_cut", "A22", "SELECT event_id, sum(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id)::BIGINT AS total FROM events")
+def _(t: Tables):
+    e = t.raw("events").select("event_id", "event_type", "ts")
+    out = sk.running_totals(e, ["event_type"], F.date_trunc("year", "ts"), [F.asc("ts"), F.asc("event_id")], {"total": c("event_id")}, max_rows=CUT)
+    return out.select("event_id", "total")
+
+
+@query("previous_values_cut", "E01 T06", "SELECT event_id, lag(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS previous FROM events")
+def _(t: Tables):
+    e = t.raw("events").select("event_id", "event_type", "ts")
+    out = sk.previous_in_bucketed_order(e, ["event_type"], F.date_trunc("year", "ts"), ["ts", "event_id"], ["event_id"], max_rows=CUT)
+    return out.select("event_id", c("prev_event_id").alias("previous"))
+
+
+@query("row_numbers_cut", "W03", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM events")
+def _(t: Tables):
+    e = t.raw("events").select("event_id", "ts")
+    out = sk.global_row_number(e, [F.desc("ts"), F.asc("event_id")], -F.unix_seconds(F.date_trunc("year", "ts")), "n", max_rows=CUT)
+    return out.select("event_id", c("n").cast("long").alias("n"))

@@ -252,6 +252,17 @@ def _(t: Tables):
     return sm.watchlist_matches(t.items(vectors=True), t.watchlists())
 
 
+@query(
+    "watchlist_matches_with_pivots", "Q07 J06",
+    sql("vitems watchlists", """SELECT watchlist_id, id, round(1 - d, 6) AS match_score, rn FROM (SELECT w.id AS watchlist_id, i.id,
+        round(1 - list_cosine_similarity(i.embedding, w.concept_embedding), 6) + 0 AS d, w.similarity_threshold AS thr,
+        row_number() OVER (PARTITION BY w.id ORDER BY round(1 - list_cosine_similarity(i.embedding, w.concept_embedding), 6), i.id) AS rn
+      FROM vitems i JOIN watchlists w ON w.is_active WHERE i.status = 'processed' AND i.embedding IS NOT NULL) WHERE d <= 1 - thr AND rn <= 20"""),
+)
+def _(t: Tables):
+    return sm.watchlist_matches(t.items(vectors=True), t.watchlists(), pivots=16, block_rows=256)
+
+
 NN = f"""pairs AS (SELECT u.id, n.id AS nid, round(1 - list_cosine_similarity(u.embedding, n.embedding), 6) + 0 AS d FROM vitems u JOIN vitems n ON n.id <> u.id
   WHERE u.status = 'processed' AND u.cluster_id IS NULL AND u.created_at >= {AS_OF} - INTERVAL {{days}} DAY AND n.status = 'processed'),
 near AS MATERIALIZED (SELECT id, nid, d FROM pairs WHERE d < {{thr}} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, nid) = 1)"""
@@ -265,6 +276,14 @@ def _(t: Tables):
     return sm.nearest_neighbours(t.items(vectors=True), as_of=as_of(), threshold=0.7, days=30).select("query_id", "id", "distance")
 
 
+@query(
+    "nearest_neighbours_with_pivots", "J07",
+    sql("vitems", "SELECT id AS query_id, nid AS id, d AS distance FROM near", NN.format(days=30, thr=0.7)),
+)
+def _(t: Tables):
+    return sm.nearest_neighbours(t.items(vectors=True), as_of=as_of(), threshold=0.7, days=30, pivots=16, block_rows=256).select("query_id", "id", "distance")
+
+
 @query(
     "cluster_items", "B09 J07",
     sql("vitems", """SELECT id, cluster_id FROM (SELECT w.id, coalesce(e.have, e.label) AS cluster_id FROM walked w JOIN ends e ON e.fin = w.fin
@@ -301,6 +320,16 @@ def _(t: Tables):
     return sm.related_entries(t.library(vectors=True), min_similarity=0.3)
 
 
+@query(
+    "related_entries_with_pivots", "Q18 J04",
+    sql("library", """SELECT slug, related_slug, round(1 - d, 4) AS relevance, rn FROM (SELECT a.slug, b.slug AS related_slug,
+        round(1 - list_cosine_similarity(a.embedding, b.embedding), 6) + 0 AS d, row_number() OVER (PARTITION BY a.slug ORDER BY round(1 - list_cosine_similarity(a.embedding, b.embedding), 6) + 0, b.slug) AS rn
+      FROM library a JOIN library b ON a.slug <> b.slug AND a.is_current AND b.is_current) WHERE rn <= 3 AND d <= 0.7"""),
+)
+def _(t: Tables):
+    return sm.related_entries(t.library(vectors=True), min_similarity=0.3, pivots=16, block_rows=256)
+
+
 @query(
     "rank_fusion", "J14 W03",
     """SELECT 'd' || doc_id AS id, round(0.5::DOUBLE / (60 + row_number() OVER (ORDER BY n_chars DESC, doc_id))
