@@ -8,8 +8,8 @@ with the least hash starts a sampled suffix, so equal strings sample the same of
 2. A bucket is refined by the bucket identifier of the bytes around the suffix: all ``MIN_LENGTH``-byte strings that
    can have this suffix as their sample lie in a context of fixed size. Suffixes that agree in it are done: all of their
    strings repeat, whatever the number of copies, and one of them stands for all in the next step.
-3. What remains are buckets with different contexts. There every string gets the bucket identifiers of its two halves
-   at their offsets and is sorted on them inside the bucket; strings that meet their equal are repeated. A crowded bucket
+3. What remains are buckets with different contexts. There every string, offset by offset, gets an identifier that is
+   updated from that of the offset before, and the bucket is sorted on it; strings that meet their equal are repeated. A crowded bucket
    is refined in parts, and the strings that met no equal in their part meet in a shuffle by string.
 
 Identifiers are 64-bit hashes, compared only inside the bucket of an earlier identifier (two independent ones decide
@@ -34,7 +34,7 @@ from feedloom.llm.common import stored, table, with_columns
 from feedloom.llm.graph import by_group
 
 MIN_LENGTH, Q = 200, 48
-PART = 4096  # suffixes of a bucket that are refined together
+PART = 100_000  # contexts of a bucket that are refined together
 CHUNK = 1 << 21  # bytes hashed at a time; a limit of memory, texts are covered whole
 _TABLES = np.random.default_rng(20240611).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
@@ -164,50 +164,63 @@ def contexts(asked: DataFrame, length: int, q: int) -> DataFrame:
             for a, b, raw, wanted in zip(batch["a"], batch["b"], batch["raw"], batch["wanted"]):
                 for w in wanted:
                     left = min(w["pos"], length - q)
-                    rows.append((w["h"], w["part"], w["parts"], a, b, w["pos"] - left, w["own"], bytes(raw[w["pos"] - left : w["pos"] + length])))
-            yield pd.DataFrame(rows, columns=["h", "part", "parts", "a", "b", "start", "own", "raw"])
+                    rows.append((w["h"], w["part"], w["parts"], a, b, w["pos"], left, w["own"], bytes(raw[w["pos"] - left : w["pos"] + length])))
+            yield pd.DataFrame(rows, columns=["h", "part", "parts", "a", "b", "pos", "left", "own", "raw"])
 
-    return asked.mapInPandas(run, "h long, part int, parts int, a long, b long, start long, own boolean, raw binary")
+    return asked.mapInPandas(run, "h long, part int, parts int, a long, b long, pos long, left int, own boolean, raw binary")
 
 
-def _refine(length: int):
-    half = length // 2
+def _refine(length: int, q: int):
+    most = length - q  # the largest offset of a string before its sample
+
+    def string_ids(columns: np.ndarray) -> Iterator[np.ndarray]:
+        """Identifiers of the strings that begin 0, 1, … bytes before the sample, from one to the next."""
+        values = [(_TABLES[w], _FACTORS[w], np.uint64(pow(int(_FACTORS[w]), length - 1, 2**64))) for w in (0, 1)]
+        h = [np.zeros(columns.shape[1], np.uint64) for _ in values]
+        for col in columns[most:][::-1]:
+            for k, (value, factor, _) in enumerate(values):
+                h[k] = h[k] * factor + value[col]
+        yield h
+        for j in range(1, most + 1):
+            first, gone = columns[most - j], columns[most - j + length]
+            for k, (value, factor, top) in enumerate(values):
+                h[k] = (h[k] - value[gone] * top) * factor + value[first]
+            yield h
 
     def work(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        raws = frame["raw"].to_list()
-        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-        raw = np.frombuffer(b"".join(raws), np.uint8)
-        n = np.maximum(sizes - length + 1, 0)
-        row = np.repeat(np.arange(len(raws)), n)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(np.cumsum(sizes) - sizes, n) + offset
-        one, two = Hasher(raw), Hasher(raw, 1)
-        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(raws)]))[row]
-        # bucket identifiers of both halves at their offsets give that of the string
-        x = one(at, at + half) * np.uint64(0x9FB21C651E98DF25) + one(at + half, at + length)
-        y = two(at, at + half) * np.uint64(0xD6E8FEB86659FD93) + two(at + half, at + length)
-        a, b, own = (frame[c].to_numpy()[row] for c in ("a", "b", "own"))
-        start = frame["start"].to_numpy()[row] + offset
-        several = frame["parts"].to_numpy()[row] > 1
-        mixed = x + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        order = np.lexsort((start, b, a, y, mixed))
-        fresh = np.r_[True, (mixed[order][1:] != mixed[order][:-1]) | (y[order][1:] != y[order][:-1])] if len(order) else np.zeros(0, bool)
-        place = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (start[order][1:] != start[order][:-1])] | fresh if len(order) else fresh
-        string = np.cumsum(fresh) - 1
-        met = np.zeros(len(order), bool)
-        met[order] = np.bincount(string, place)[string] > 1 if len(order) else False
-        # runs of repeated strings of one suffix become one span
-        hit = met & own
-        begin = hit & ~np.r_[False, hit[:-1] & (row[1:] == row[:-1])]
-        end = hit & ~np.r_[hit[1:] & (row[1:] == row[:-1]), False]
-        head = np.zeros(len(order), bool)
-        head[order[fresh]] = True
-        pending = several & (head | ~met)  # one of each string of this part, to meet the other parts
-        spans = pd.DataFrame({"x": 0, "y": 0, "a": a[begin], "b": b[begin], "start": start[begin], "stop": start[end] + length, "open": False, "done": True})
-        rest = pd.DataFrame({
-            "x": x[pending].view(np.int64), "y": y[pending].view(np.int64), "a": a[pending], "b": b[pending], "start": start[pending],
-            "stop": start[pending] + length, "open": True, "done": (met | ~own)[pending]})
-        return pd.concat([spans, rest], ignore_index=True)
+        n = len(frame)
+        a, b, pos, left, own = (frame[c].to_numpy() for c in ("a", "b", "pos", "left", "own"))
+        several = frame["parts"].to_numpy() > 1
+        columns = np.zeros((most + length, n), np.uint8)  # the sample begins in row ``most``
+        size = np.zeros(n, np.int64)
+        for k, raw in enumerate(frame["raw"]):
+            columns[most - left[k] : most - left[k] + len(raw), k] = np.frombuffer(raw, np.uint8)
+            size[k] = len(raw)
+        group = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.r_[starts, n])) * np.uint64(0x9E3779B97F4A7C15)
+        met = np.zeros((most + 2, n), bool)  # by offset, with an empty row at the end
+        pending = []
+        for j, (x, y) in enumerate(string_ids(columns)):
+            there = np.flatnonzero((left >= j) & (size - left >= length - j))
+            if not len(there):
+                continue
+            key = (x + group)[there]
+            order = np.argsort(key)
+            key, at = key[order], there[order]
+            same = np.r_[False, (key[1:] == key[:-1]) & (y[at][1:] == y[at][:-1])]
+            hit = same | np.r_[same[1:], False]
+            met[j, at[hit]] = True
+            keep = several[at] & ~same  # one of each string of this part, to meet the other parts
+            if keep.any():
+                k = at[keep]
+                pending.append(pd.DataFrame({
+                    "x": x[k].view(np.int64), "y": y[k].view(np.int64), "a": a[k], "b": b[k], "start": pos[k] - j, "stop": pos[k] - j + length,
+                    "open": True, "done": hit[keep] | ~own[k]}))
+        # runs of offsets whose strings are repeated become one span
+        met &= own
+        row, last = np.nonzero((met[:-1] & ~met[1:]).T)
+        row_, first = np.nonzero((met & ~np.vstack([np.zeros((1, n), bool), met[:-1]])).T)
+        spans = pd.DataFrame({"x": 0, "y": 0, "a": a[row], "b": b[row], "start": pos[row] - last, "stop": pos[row] - first + length, "open": False, "done": True})
+        return pd.concat([spans, *pending], ignore_index=True)
 
     return work
 
@@ -216,17 +229,19 @@ def repeated_spans(keyed: DataFrame, length: int = MIN_LENGTH, q: int = Q, part:
     """(a, b, start, stop): byte ranges whose union is what repeats. ``keyed``: (a, b, raw), one key per row."""
     table_ = stored(suffixes(keyed, length, q), "suffixes")
     crowd = table_.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
-    crowd = stored(crowd.select("h", "n", (F.col("low") != F.col("high")).alias("open")), "buckets")
+    crowd = stored(crowd.select("h", (F.col("low") != F.col("high")).alias("open")), "buckets")
     left = stored(table_.join(crowd, "h").withColumn("o", F.xxhash64("a", "b", "pos")), "bucketed")
     same = stored(left.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min("o").alias("first")), "refined")
     known = left.join(same, ["h", "c"])
     done = known.where("m > 1").select("a", "b", F.greatest(F.col("pos") - (length - q), F.lit(0)).alias("start"), (F.col("pos") + length).alias("stop"))
-    wanted = known.where("open and (m = 1 or o = first)").withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
+    wanted = known.where("open and (m = 1 or o = first)")
+    crowded = same.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")).where("parts > 1")
+    wanted = wanted.join(crowded, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     wanted = wanted.withColumn("part", F.pmod(F.xxhash64("o"), F.col("parts")).cast("int"))
     asked = wanted.groupBy("a", "b").agg(F.collect_list(F.struct("pos", "h", "part", "parts", (F.col("m") == 1).alias("own"))).alias("wanted"))
     around = contexts(keyed.join(asked.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "raw", "wanted"), length, q)
     grouped = around.withColumn("group", F.struct("h", "part")).withColumn("side", F.lit(0)).drop("h", "part")
-    found = stored(by_group(grouped, _refine(length), "x long, y long, a long, b long, start long, stop long, open boolean, done boolean"), "strings")
+    found = stored(by_group(grouped, _refine(length, q), "x long, y long, a long, b long, start long, stop long, open boolean, done boolean"), "strings")
     across = found.where("open").groupBy("x", "y").agg(F.collect_set(F.struct("a", "b", "start", "stop")).alias("at"), F.collect_set(F.when(~F.col("done"), F.struct("a", "b", "start", "stop"))).alias("need"))
     across = across.where(F.size("at") > 1).select(F.explode("need").alias("s")).select("s.a", "s.b", "s.start", "s.stop")
     near = found.where("not open").select("a", "b", "start", "stop").unionByName(across)
