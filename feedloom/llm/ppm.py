@@ -11,7 +11,8 @@ A context holds up to 5 bytes, so that a window packs into one integer.
 
 Documents are dealt into batches of about ``BATCH_BYTES``. A batch gathers its distinct windows (context and byte) and
 words once; these meet the corpus counts in shuffles and come back to the batch, where the documents are scored. So the
-shuffles carry distinct windows and words per batch, not occurrences.
+shuffles carry distinct windows and words per batch, not occurrences. Texts that are alike should share batches: the
+caller may give a column (a language, say) that is equal for such texts; it changes no result.
 
 Edge cases: a null or empty text is the end mark alone; without training documents every byte has probability 1/256;
 repeated rows are scored each on its own; words are identified by their 64-bit hash; result columns replace input columns
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import fold, stored, table, text_bytes
 
 ORDER = 5
-BATCH_BYTES = 32 << 20
-FEWEST_BATCHES = 12
+BATCH_BYTES = 16 << 20
+GROUPS = 64  # at most so many groups of texts that share batches
 END = b"\n"
-CHUNK = 4 << 20  # bytes windowed at a time; whole documents, memory only
+CHUNK = 1 << 20  # bytes windowed at a time; whole documents, memory only
 WINDOW, WORD = 0, 1
 
 
@@ -130,12 +131,14 @@ def _score(order: int):
             return pd.DataFrame(columns=["row", "n_tokens", "n_known", "counted", "score"])
         seqs = _unpacked(docs["z"])
         kind = tables["kind"].to_numpy()
-        keys, values = tables["key"].to_numpy(), tables["value"].to_numpy()
-        w = kind == WINDOW
-        at = np.argsort(keys[w])
-        window, logs = keys[w][at], values[w][at]
-        at = np.argsort(keys[~w])
-        word, count = keys[~w][at], values[~w][at]
+        keys, n, value = (tables[c].to_numpy() for c in ("key", "n", "value"))
+        w = np.flatnonzero(kind == WINDOW)
+        w = w[np.argsort(keys[w])]
+        window, logs = keys[w], value[w].astype(np.float64)
+        w = np.flatnonzero(kind == WORD)
+        w = w[np.argsort(keys[w])]
+        word, count = keys[w], n[w]
+        del tables, keys, n, value, w, kind
         number: dict[bytes, int] = {}
         tokens = []
         for s in seqs:
@@ -157,17 +160,19 @@ def _score(order: int):
     return score
 
 
-_NUMBERS: dict[str, tuple[np.ndarray, list[int]]] = {}
+_NUMBERS: list[np.ndarray] = []
 
 
-def _dense(values: np.ndarray, which: str) -> np.ndarray:
+def _dense(values: np.ndarray) -> np.ndarray:
     """Small numbers for 24-bit values, the same throughout a worker."""
-    number, used = _NUMBERS.setdefault(which, (np.full(1 << 24, -1, np.int32), [0]))
+    if not _NUMBERS:
+        _NUMBERS.extend((np.full(1 << 24, -1, np.int32), np.zeros(1, np.int64)))
+    number, used = _NUMBERS
     out = number[values]
     if (out < 0).any():
         new = np.unique(values[out < 0])
         number[new] = np.arange(used[0], used[0] + len(new))
-        used[0] += len(new)
+        used += len(new)
         out = number[values]
     return out.astype(np.int64)
 
@@ -178,8 +183,7 @@ def _inverse(packed: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     room = max(1, len(packed).bit_length())
     small = packed
     if order > 2:
-        high, tail = _dense(packed >> 24, "high"), _dense(packed & 0xFFFFFF, "tail")
-        small = high << 20 | tail if max(high.max(), tail.max()) < 1 << 20 and order < 6 else packed
+        small = _dense(packed >> 24) << 24 | packed & 0xFFFFFF
     if int(small.max()).bit_length() + room > 63:
         return np.unique(packed, return_inverse=True)
     both = np.sort(small << room | np.arange(len(packed)))
@@ -237,9 +241,9 @@ def window_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return known.unionByName(x.select("key", total.alias("value")))
 
 
-def score_texts(docs: DataFrame, train: Column, text: str = "text", order: int = ORDER, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score. ``train``: which rows teach."""
-    spark = docs.sparkSession
+def score_texts(docs: DataFrame, train: Column, text: str = "text", order: int = ORDER, batch_bytes: int = BATCH_BYTES, alike: Column | None = None) -> DataFrame:
+    """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score. ``train``: which rows teach;
+    ``alike``: equal for texts that should share batches."""
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -249,19 +253,26 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", order: int =
         for texts in batches:
             yield pd.Series([z.compress(sequence(t)) for t in texts], dtype=object)
 
-    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    batches = max(FEWEST_BATCHES, math.ceil(size / batch_bytes))
+    group = F.pmod(F.xxhash64(alike if alike is not None else F.lit(0)), F.lit(GROUPS)).cast("int")
+    sizes = docs.groupBy(group.alias("g")).agg(F.sum(F.octet_length(text)).alias("b")).collect()  # at most GROUPS rows
+    first, many, batches = {}, {}, 0
+    for r in sorted(sizes, key=lambda r: r["g"]):
+        first[r["g"]], many[r["g"]] = batches, max(1, math.ceil((r["b"] or 0) / batch_bytes))
+        batches += many[r["g"]]
+    from_, count = (F.coalesce(F.get(F.array(*[F.lit(x.get(g, d)) for g in range(GROUPS)]), group), F.lit(d)) for x, d in ((first, 0), (many, 1)))
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     others = [c for c in docs.columns if c != text and c not in results]
-    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(train, F.lit(False)).alias("train"), F.pmod(F.xxhash64(text, *others), F.lit(batches)).cast("int").alias("batch"), packed(F.col(text)).alias("z"))
+    batch = (from_ + F.pmod(F.xxhash64(text, *others), count)).cast("int")
+    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(train, F.lit(False)).alias("train"), batch.alias("batch"), packed(F.col(text)).alias("z"))
     gathered = rows.select("batch", "train", "z").groupBy("batch").applyInPandas(_gather(order), "batch int, kind int, key long, n int")
     corpus = stored(gathered.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("batch").alias("batches")), "corpus")
     word = corpus.where(F.col("kind") == WORD)
     totals = word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("types")).first()
     scores = window_scores(corpus.where(F.col("kind") == WINDOW).select("key", "n"), order)
-    back = corpus.where(F.col("kind") == WINDOW).join(scores, "key").select("kind", "key", "value", "batches")
-    back = back.unionByName(word.select("kind", "key", F.col("n").cast("double").alias("value"), "batches"))
-    back = back.select(F.explode("batches").alias("batch"), "kind", "key", "value")
+    zero = F.lit(0)
+    back = corpus.where(F.col("kind") == WINDOW).join(scores, "key").select("kind", "key", zero.cast("long").alias("n"), F.col("value").cast("float").alias("value"), "batches")
+    back = back.unionByName(word.select("kind", "key", "n", zero.cast("float").alias("value"), "batches"))
+    back = back.select(F.explode("batches").alias("batch"), "kind", "key", "n", "value")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, counted double, score double"
     scored = rows.select("batch", "row", "z").groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(_score(order), schema)
     base = F.col("counted") - F.col("n_tokens") * F.lit(math.log10(totals["tokens"] + totals["types"] + 1))
@@ -269,7 +280,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", order: int =
 
 
 def op5_ppm(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold(F.col("doc_id"), 7) == 2
-    out = score_texts(docs.withColumn("held_out", held), ~held)
+    out = score_texts(docs.withColumn("held_out", held), ~held, alike=F.col("lang"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
