@@ -126,8 +126,10 @@ class Codec:
     """Encoder and decoder of one rank file, with a bounded memory of chunks and pre-tokens."""
 
     def __init__(self, path: str, pattern: str):
+        import public_tokenizers
         import regex
 
+        self.chunked = pattern == public_tokenizers.PATTERN  # other patterns may match across chunks
         self.ranks = rank_table(path)
         self.merge = RankQueue(self.ranks).merge
         self.split = regex.compile(pattern).findall
@@ -155,7 +157,7 @@ class Codec:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        parts = chunks(text)
+        parts = chunks(text) if self.chunked else None
         if parts is None:
             return self._chunk(text)
         first = self._chunk(parts[0])
@@ -170,7 +172,8 @@ class Codec:
                     part = parts[k]
                     g = known.get(part)
                     if g is None:
-                        g = self._chunk(as_chunk(part))
+                        # letters after a space are one match of the pattern
+                        g = self._piece(" " + part) if part.isalpha() else self._chunk(as_chunk(part))
                         if len(part) <= 64:
                             known[part] = g
                     got[k] = g
