@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import fold, stored, table, text_bytes
 
 ORDER = 5
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 10 << 20
 GROUPS = 64  # at most so many groups of texts that share batches
 END = b"\n"
 CHUNK = 1 << 20  # bytes windowed at a time; whole documents, memory only
