@@ -29,6 +29,7 @@ from feedloom.llm.vocab import MEMO, as_chunk, chunks, rank_table, vocabulary_pa
 LEAF = 8  # bits of a rank inside one leaf word
 LOW = (1 << LEAF) - 1
 BIT = [1 << k for k in range(1 << LEAF)]
+PARTS = 3 * MEMO // 2  # remembered chunks of a worker
 
 
 class RankQueue:
@@ -139,12 +140,14 @@ class Codec:
         for b, r in self.ranks.items():
             self.token[r] = b
 
+    def _ids(self, piece: str) -> bytes:
+        return array("i", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            got = array("i", self.merge(raw)).tobytes()
-            if len(raw) <= 64:
+            got = self._ids(piece)
+            if len(piece) <= 64:
                 if len(self.pieces) >= MEMO:
                     self.pieces.clear()
                 self.pieces[piece] = got
@@ -165,15 +168,15 @@ class Codec:
         known = self.parts
         got = list(map(known.get, parts))
         if None in got:
-            if len(known) >= MEMO:
+            if len(known) >= PARTS:
                 known.clear()
             for k, g in enumerate(got):
                 if g is None:
                     part = parts[k]
                     g = known.get(part)
                     if g is None:
-                        # letters after a space are one match of the pattern
-                        g = self._piece(" " + part) if part.isalpha() else self._chunk(as_chunk(part))
+                        # letters after a space are one match of the pattern, remembered here alone
+                        g = self._ids(" " + part) if part.isalpha() else self._chunk(as_chunk(part))
                         if len(part) <= 64:
                             known[part] = g
                     got[k] = g
