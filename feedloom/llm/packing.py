@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import stored, table
-from feedloom.llm.vocab import MEMO, as_chunk, chunks, json_tokenizer, rank_table, vocabulary_path
+from feedloom.llm.vocab import as_chunk, chunks, json_tokenizer, rank_table, vocabulary_path
 
 CAPACITY = 1024
 END = 2
+MEMO = 150_000  # remembered chunks per worker
 _MEMO: dict[str, dict[str, bytes]] = {}
 
 

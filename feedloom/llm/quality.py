@@ -185,11 +185,10 @@ def size_stratum() -> Column:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", limit: float = 0.02, error: float = 0.05) -> DataFrame:
-    """``docs`` with the counts, ``base_failed`` and ``kept``. The labelled documents are measured once for the cutoffs and
-    again with all others for the verdict, so that no text is shuffled or stored."""
-    marks = labels.select(F.col(id_col).alias("__l")).distinct()
-    held = measure(docs.join(marks, docs[id_col] == marks["__l"], "left_semi"), text).drop(text)
-    return judge(measure(docs, text), risk_cutoffs(held, labels, size_stratum(), id_col, limit, error), size_stratum())
+    """``docs`` with the counts, ``base_failed`` and ``kept``. Documents are measured once for the cutoffs, where only counts
+    meet the labels, and again for the verdict, so that no text is shuffled or stored."""
+    cuts = risk_cutoffs(measure(docs, text).drop(text), labels, size_stratum(), id_col, limit, error)
+    return judge(measure(docs, text), cuts, size_stratum())
 
 
 def op8_quality_rules(spark, sf_dir) -> DataFrame:

@@ -35,7 +35,7 @@ from feedloom.llm.graph import by_group
 
 MIN_LENGTH, Q = 200, 48
 PART = 100_000  # contexts of a bucket that are refined together
-CHUNK = 1 << 21  # bytes hashed at a time; a limit of memory, texts are covered whole
+CHUNK = 1 << 20  # bytes hashed at a time; a limit of memory, texts are covered whole
 _TABLES = np.random.default_rng(20240611).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _INVERSES = tuple(np.uint64(pow(int(f), -1, 2**64)) for f in _FACTORS)
