@@ -3,7 +3,7 @@
 Each vector is normalised; a table quantises ``PROJECTIONS`` Gaussian projections into cells of width ``WIDTH`` and the
 cells together name a bucket. On unit vectors cosine 0.93 is the Euclidean distance 0.374, at which one projection keeps
 a pair together with probability 0.851 and a table with 0.104; ``TABLES`` tables miss such a pair with probability
-0.5 %, one of cosine 0.97 with 2e-7, while unrelated vectors meet with 4e-5 per table. All vectors of a bucket are compared by
+0.5 %, one of cosine 0.97 with 2e-6, while unrelated vectors meet with 4e-5 per table. All vectors of a bucket are compared by
 exact cosine in double precision. Equal vectors are one class beforehand; a pair that shares several buckets counts in
 the first of them; large buckets are dealt into pairs of blocks.
 
