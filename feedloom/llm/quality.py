@@ -136,13 +136,11 @@ def risk_cutoffs(measured: DataFrame, labels: DataFrame, stratum: Column, id_col
     names = list(rules)
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.min("quality") > 0).alias("good"))
 
-    @F.pandas_udf("array<int>")
-    def above(*values: pd.Series) -> pd.Series:
-        """For each rule, how many grid points the value exceeds."""
-        at = [np.searchsorted(grid(n), v.to_numpy(), "left") for n, v in zip(names, values)]
-        return pd.Series(list(np.stack(at, axis=1).astype("int32")))
+    # for each rule, how many grid points the value exceeds; no second Python worker beside the one that measures
+    def above(name: str, value: Column) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(g) for g in grid(name)]), lambda g: g < value))
 
-    base = measured.where(~F.col("base_failed")).select(F.col(id_col).alias("__id"), stratum.alias("stratum"), above(*rules.values()).alias("__above"))
+    base = measured.where(~F.col("base_failed")).select(F.col(id_col).alias("__id"), stratum.alias("stratum"), F.array(*[above(n, x) for n, x in rules.items()]).alias("__above"))
     cells = base.join(marks, "__id").select("stratum", "good", F.posexplode("__above").alias("rule", "above"))
     found = cells.groupBy("stratum", "good", "rule", "above").agg(F.count(F.lit(1)).alias("n")).collect()
     tally: dict = defaultdict(lambda: np.zeros(GRID_POINTS + 1, np.int64))
