@@ -30,9 +30,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays, once."""
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
+    """Of each group of linked texts (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays, once."""
+    parts = simhash.similar_texts(docs)
+    groups = docs.select("doc_id", simhash.text_key(F.col("text")).alias("node")).groupBy("node").agg(F.min("doc_id").alias("low"))
+    groups = groups.join(parts, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("low").alias("__first"))
+    first = groups.select("__first").distinct()
     kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["__first"]), "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(docs.columns)
 

@@ -9,6 +9,13 @@ of blocks; a task returns a spanning forest of its links, never all pairs.
 Edge cases: a text without words (null, empty, white space) has fingerprint zero and links like any other; one or two
 words are one shingle; repeated rows share a fingerprint; an empty table gives an empty result; a result column replaces
 an input column of the same name.
+
+``similar_texts`` is the same index for word shingles of any width and a Jaccard similarity that 3 of 64 bits do not reach
+(0.8 is 9.7 of 64 on average): 256 bits over the set of shingles, 32 byte positions, postings under pairs of positions (a
+covering design: each 5 positions contain one of the pairs), bits counted on 128, then the exact similarity of the shingle
+sets inside each component of candidates. Nothing below the similarity is linked; what is missed is a pair without a common
+posting or with more than ``TALLY`` bits (at 0.8 about 1.1 % and 0.1 % by binomial estimate, less above it). Texts and
+shingles are told apart by 64-bit hashes; all texts without words are one.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import stored, table, text_bytes, with_columns
@@ -113,3 +120,122 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def op6_simhash(spark, sf_dir) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", "fingerprint", "component_id")
+
+
+WIDE, GROUPS, TALLY, NODES = 32, 4, 32, 256
+
+
+def pairs_of_positions(n: int = WIDE, groups: int = GROUPS) -> list[tuple[int, int]]:
+    """2-sets of which each ``groups`` + 1 positions contain at least one: all pairs inside ``groups`` equal classes."""
+    return [p for p in combinations(range(n), 2) if p[0] % groups == p[1] % groups]
+
+
+def text_key(text: Column) -> Column:
+    """64-bit key of a text; texts of nothing but white space and null are one."""
+    return F.xxhash64(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit("")))
+
+
+def shingle_set(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles; a text of fewer words is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = text_bytes(text).lower().split()
+    if not words:
+        return np.zeros(0, "<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.r_[0, ends[:-1]][: max(len(words) - width, 0) + 1].tolist()
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[min(width, len(words)) - 1 :] - 1).tolist())], "<u8"))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of 4 x 64 bits; the words beyond the first are mixed from the same hashes (SplitMix64)."""
+    votes = []
+    for k in range(4):
+        x = shingles + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+        votes.append(np.unpackbits(x.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(axis=0, dtype=np.int64))
+    return np.packbits(np.concatenate(votes) * 2 > len(shingles), bitorder="little").view("<i8")
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, key: str, spread: str) -> DataFrame:
+    """As ``graph.blocked``, with ``sizes`` (key, __n) of only those keys that need more than one part."""
+    sized = rows.join(sizes, key, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    sized = sized.withColumn("__b", F.pmod(F.xxhash64(F.lit(key), spread), F.col("__n")).cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda j: F.struct(
+        F.xxhash64(key, F.least("__b", j), F.greatest("__b", j)).alias("group"),
+        F.when(F.col("__b") == j, 0).when(F.col("__b") < j, 1).otherwise(2).cast("byte").alias("side"))))
+    return sized.withColumn("__m", meets).withColumn("group", F.col("__m.group")).withColumn("side", F.col("__m.side")).drop("__n", "__b", "__m", key)
+
+
+def _crowded(rows: DataFrame, key: str, block: int) -> DataFrame:
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
+    return stored(sizes.withColumn("__n", F.ceil(F.col("__n") / block).cast("int")), "sizes")
+
+
+def _near_pairs(frame: pd.DataFrame, starts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    f = [frame[c].to_numpy() for c in ("f0", "f1")]
+    for i, j in pairs_in(starts, len(frame), frame["side"].to_numpy()):
+        bits = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in f)
+        near = bits <= most
+        yield i[near], j[near], bits[near]
+
+
+def _candidates(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    node = frame["node"].to_numpy()
+    found = [forest(node[i], node[j]) for i, j, _ in _near_pairs(frame, starts, TALLY)]
+    a, b = forest(*(np.concatenate(x) for x in zip(*found))) if found else (node[:0], node[:0])
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _verified(similarity: float):
+    def work(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        node, sets = frame["node"].to_numpy(), [np.frombuffer(x, "<u8") for x in frame["shingles"]]
+        root, links = np.arange(len(frame)), []
+        for i, j, bits in _near_pairs(frame, starts, TALLY):
+            order = np.argsort(bits, kind="stable")
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if root[x] == root[y]:
+                    continue
+                a, b = sets[x], sets[y]
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+                    links.append((node[x], node[y]))
+                    root[root == root[y]] = root[x]
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return work
+
+
+def similar_texts(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(node, component) of every text (by ``text_key``) that is linked to another one by shingle sets of Jaccard similarity
+    ``similarity`` or more; ``component`` is one of the group's own keys. A text without links may be absent."""
+    texts = docs.select(text_key(F.col(text)).alias("node"), F.col(text).alias("text"))
+
+    @F.pandas_udf("array<long>")
+    def printed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([wide_fingerprint(shingle_set(t, width)) for t in batch])
+
+    @F.pandas_udf("binary")
+    def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingle_set(t, width).tobytes() for t in batch])
+
+    prints = texts.select("node", printed("text").alias("f")).groupBy("node").agg(F.any_value("f").alias("f"))
+    prints = stored(prints.select("node", *[F.col("f")[k].alias(f"f{k}") for k in range(4)]), "wide")
+    byte = [F.shiftrightunsigned(f"f{k // BYTES}", 8 * (k % BYTES)).bitwiseAND(F.lit(255)) for k in range(WIDE)]
+    keys = [(F.lit(n * 65536) + byte[x] * 256 + byte[y]).cast("int") for n, (x, y) in enumerate(pairs_of_positions())]
+    posted = prints.select(F.explode(F.array(*keys)).alias("key"), "node", "f0", "f1")
+    dealt = _dealt(posted, _crowded(posted, "key", block), "key", "node")
+    found = components(by_group(dealt, _candidates, "a long, b long"))
+    # a root is not listed: it is a member too
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    found = stored(found.join(prints.select("node", "f0", "f1"), "node"), "candidates")
+    held = texts.groupBy("node").agg(F.any_value("text").alias("text")).join(found, "node").withColumn("shingles", shingled("text")).drop("text")
+    held = _dealt(held, _crowded(found, "component", NODES), "component", "node")
+    return components(by_group(held, _verified(similarity), "a long, b long"))
