@@ -2,8 +2,8 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over all documents that the stage before kept; its result is
 written as Parquet and read again. All but the last return the columns of ``documents``. Edge cases are those of the
-operators: null texts have no words and fail the quality rules; rows that repeat an id are one document for the near-
-duplicate stage; a document whose whole text repeats stays with an empty text and packs its end id.
+operators: null texts have no words and fail the quality rules; the near-duplicate stage goes by texts, whatever the ids:
+rows of different groups stay also with equal or null ids; a document whose whole text repeats stays with an empty text and packs its end id.
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays, once."""
+    """Of each group of linked texts (five-word shingles, Jaccard 0.8 or more) one row stays, that with the smallest id."""
     parts = simhash.similar_texts(docs)
-    groups = docs.select("doc_id", simhash.text_key(F.col("text")).alias("node")).groupBy("node").agg(F.min("doc_id").alias("low"))
-    groups = groups.join(parts, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("low").alias("__first"))
-    first = groups.select("__first").distinct()
-    kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["__first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+    keyed = with_columns(docs, {"__node": simhash.text_key(F.col("text")), "__row": F.xxhash64(*docs.columns)})
+    # a row without an id is last; rows of one __row are equal in every column
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row", "__node")).alias("low")
+    nodes = keyed.groupBy("__node").agg(low).join(parts, F.col("__node") == F.col("node"), "left")
+    first = nodes.groupBy(F.coalesce("component", "__node")).agg(F.min("low").alias("low")).select("low.__node", "low.__row")
+    return keyed.join(first.hint("shuffle_hash"), ["__node", "__row"], "left_semi").dropDuplicates(["__node", "__row"]).select(docs.columns)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

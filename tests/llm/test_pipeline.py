@@ -57,3 +57,20 @@ def test_near_copies_leave_the_stage(spark, copies):
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
     want = roots(range(len(copies)), [(i, j) for i, j in combinations(range(len(copies)), 2) if alike(copies[i], copies[j])])
     assert kept == set(want.values())
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, copies):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3, i + 10]), t) for i, t in enumerate(copies)]
+    rows += [(None, words(rng, 80)) for _ in range(5)] + [(1, words(rng, 80)) for _ in range(5)]
+    rows += [(5, copies[0]), (5, copies[0]), (None, copies[0]), (None, None)] + [rows[-1]] * 3
+    docs = spark.createDataFrame([(i, t, "xx", "", "", "") for i, t in rows], SCHEMA).repartition(3)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    want = roots(range(len(rows)), [(i, j) for i, j in combinations(range(len(rows)), 2) if alike(rows[i][1], rows[j][1])])
+    at = {(i, t): want[k] for k, (i, t) in enumerate(rows)}
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(want[k], []).append(i)
+    kept = {at[r["doc_id"], r["text"]]: r["doc_id"] for r in got}
+    assert len(got) == len(kept) == len(ids)
+    assert all(kept[g] == min((i for i in x if i is not None), default=None) for g, x in ids.items())
