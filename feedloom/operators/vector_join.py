@@ -168,6 +168,34 @@ def nearest_within(
     return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("query_id", "id", "distance", "rn")
 
 
+def _block_first(bdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+    if not len(bdf) or not len(qdf):
+        return pd.DataFrame({"vkey": [], "id": []}, dtype=object)
+    bdf = bdf.sort_values("id", kind="stable")
+    ok = cosine_distances(unit_rows(qdf["vec"]), unit_rows(bdf["vec"])) < qdf["radius"].to_numpy(dtype=float)[:, None]
+    some = ok.any(axis=1)
+    return pd.DataFrame({"vkey": qdf["vkey"].to_numpy()[some], "id": bdf["id"].to_numpy()[ok.argmax(axis=1)[some]]})
+
+
+def first_within(
+    queries: DataFrame, base: DataFrame, *, radius: float, pivots: int | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(query_id, first): the smallest base id, not the closest, within the radius of every query that has one."""
+    q = queries.where(F.col("vec").isNotNull()).select(
+        F.col("id").alias("query_id"), vector_key(F.col("vec")).alias("vkey"), F.lit(float(radius)).alias("radius"), "vec"
+    )
+    b = base.where(F.col("vec").isNotNull()).select("id", vector_key(F.col("vec")).alias("vkey"), "vec")
+    groups = b.groupBy("vkey").agg(F.min("id").alias("id"), F.any_value("vec").alias("vec"))
+    asked = q.groupBy("vkey").agg(F.any_value("radius").alias("radius"), F.any_value("vec").alias("vec"))
+    centres = None
+    if pivots is not None or not _fits_one_cell(b):
+        centres = choose_pivots(b, pivots)
+    bb, qq = _blocks(_cells(groups, centres, False), _cells(asked, centres, True), block_rows)
+    keys = ["cell", "bs", "qs"]
+    hits = bb.groupBy(*keys).cogroup(qq.groupBy(*keys)).applyInPandas(_block_first, "vkey string, id string")
+    return q.select("query_id", "vkey").join(hits.groupBy("vkey").agg(F.min("id").alias("first")), "vkey").drop("vkey")
+
+
 def _fits_one_cell(base: DataFrame) -> bool:
     """True when there are at most ROWS_PER_CELL base rows (stops counting just beyond that)."""
     return base.select("id").limit(ROWS_PER_CELL + 1).count() <= ROWS_PER_CELL

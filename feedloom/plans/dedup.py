@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ux
+from feedloom.operators import filters as fl
 from feedloom.operators.joins import one_per_key
+from feedloom.operators.vector_join import first_within
 from feedloom.plans.similar import near_duplicates
 from feedloom.session import cut_lineage
 
@@ -40,13 +42,39 @@ def _layer(rows: DataFrame, known: DataFrame, key: str, reason: str) -> DataFram
     return j.withColumn("reason", F.when(duplicate, F.lit(reason)).otherwise(c("reason"))).select(*rows.columns)
 
 
+def inside_batch_copies(rows: DataFrame, *, as_of: Column, threshold: float, days: int, **tuning) -> DataFrame:
+    """(id) of the rows that would be refused if ``rows`` (one per id) were stored one by one by (published, id).
+
+    A row is refused when an earlier row that was stored itself, and is recent, is closer than the threshold. Rounds: rows
+    without an earlier open neighbour are stored, and open rows near one that was just stored are refused.
+    """
+    order = F.concat(F.coalesce(F.lpad((F.unix_micros("published_at") + F.lit(2**62)).cast("string"), 19, "0"), F.lit("")), F.lit(" "), c("id"))  # null first
+    with_vec = rows.where(c("embedding").isNotNull())
+    open_ = cut_lineage(with_vec.select(order.alias("id"), c("id").alias("_item"), c("embedding").alias("vec"),
+                                        F.coalesce(fl.recent(as_of, days, c("created_at")), F.lit(False)).alias("_recent")))
+    refused = open_.select(c("_item").alias("id")).limit(0)
+    while not open_.isEmpty():
+        first = first_within(open_, open_.where("_recent"), radius=threshold, **tuning)
+        marked = open_.join(first.withColumnRenamed("query_id", "id"), "id", "left")
+        marked = cut_lineage(marked.withColumn("_stored", F.coalesce(c("first") >= c("id"), F.lit(True))).drop("first"))
+        rest = marked.where(~c("_stored")).drop("_stored")
+        near = first_within(rest, marked.where("_stored AND _recent"), radius=threshold, **tuning)
+        rest = rest.join(near.withColumnRenamed("query_id", "id"), "id", "left")
+        rest = cut_lineage(rest.withColumn("_refused", F.coalesce(c("first") < c("id"), F.lit(False))).drop("first"))
+        refused = refused.unionByName(rest.where("_refused").select(c("_item").alias("id")))
+        open_ = rest.where(~c("_refused")).drop("_refused")
+    return refused
+
+
 def dedup_items(
-    batch: DataFrame, known: DataFrame, *, as_of: Column, threshold: float = 0.08, days: int = 7, vectors: bool = True
+    batch: DataFrame, known: DataFrame, *, as_of: Column, threshold: float = 0.08, days: int = 7, vectors: bool = True,
+    inside_batch: bool = False,
 ) -> DataFrame:
     """Every batch row with ``reason``: url_hash, content_fingerprint, embedding_similarity or null (keep it).
 
     Cheapest layer first, on narrow rows with one row per id; a later layer only looks at rows the earlier ones let
-    through. The vector layer compares with known items of the last days only. Known items bring their stored hashes
+    through. The vector layer compares with known items of the last days, and with ``inside_batch`` also with the batch's
+    own rows as they are stored one by one. Known items bring their stored hashes
     (url_hash, content_hash) where they have them.
     """
     old = _keys(known)
@@ -60,8 +88,14 @@ def dedup_items(
             c("query_id").alias("id"), F.lit("embedding_similarity").alias("_near")
         )
         rows = rows.join(near, "id", "left").select("id", F.coalesce("reason", "_near").alias("reason"))
+        if inside_batch:
+            rows = cut_lineage(rows)
+            left = one_per_key(batch, "id", c("published_at"), c("url")).join(rows.where(c("reason").isNull()), "id", "left_semi")
+            copies = inside_batch_copies(left, as_of=as_of, threshold=threshold, days=days)
+            copies = copies.withColumn("_near", F.lit("embedding_similarity"))
+            rows = rows.join(copies, "id", "left").select("id", F.coalesce("reason", "_near").alias("reason"))
     return batch.join(rows, "id")
 
 
-def keep_new(batch: DataFrame, known: DataFrame, **kwargs) -> DataFrame:
-    return dedup_items(batch, known, **kwargs).where(c("reason").isNull()).drop("reason")
+def keep_new(batch: DataFrame, known: DataFrame, *, inside_batch: bool = True, **kwargs) -> DataFrame:
+    return dedup_items(batch, known, inside_batch=inside_batch, **kwargs).where(c("reason").isNull()).drop("reason")

@@ -61,6 +61,23 @@ def _(t: Tables):
     return dd.dedup_items(batch, known, as_of=as_of(), threshold=0.6, days=60).select("id", "reason")
 
 
+STORED = f"""o AS (SELECT *, row_number() OVER (ORDER BY published_at NULLS FIRST, id) AS n FROM l2 WHERE r1 IS NULL AND r2 IS NULL AND NOT EXISTS (SELECT 1 FROM k
+    WHERE k.created_at >= {AS_OF} - INTERVAL 60 DAY AND round(1 - list_cosine_similarity(l2.embedding, k.embedding), 6) + 0 < 0.6)),
+e AS (SELECT a.n, a.id, (SELECT coalesce(list(z.id), []) FROM o z WHERE z.n < a.n AND z.created_at >= {AS_OF} - INTERVAL 60 DAY
+    AND round(1 - list_cosine_similarity(a.embedding, z.embedding), 6) + 0 < 0.6) AS near FROM o a)"""
+
+
+@query(
+    "dedup_inside_batch", "B01 J08",
+    sql("vitems", f"""SELECT id, coalesce(r1, r2, CASE WHEN id NOT IN (SELECT unnest(stored) FROM (
+      WITH RECURSIVE s AS (SELECT 0 AS n, []::VARCHAR[] AS stored UNION ALL SELECT e.n, CASE WHEN list_has_any(s.stored, e.near) THEN s.stored ELSE list_append(s.stored, e.id) END
+        FROM s JOIN e ON e.n = s.n + 1) SELECT stored FROM s ORDER BY n DESC LIMIT 1)) THEN 'embedding_similarity' END) AS reason FROM l2""", LAYERS.replace("{src}", "vitems") + ",\n" + STORED),
+)
+def _(t: Tables):
+    batch, known = split_batch(t, True)
+    return dd.dedup_items(batch, known, as_of=as_of(), threshold=0.6, days=60, inside_batch=True).select("id", "reason")
+
+
 @query(
     "fingerprint_groups", "J10 F03",
     """SELECT fp, count(*) AS copies, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g')) AS fp FROM documents)
