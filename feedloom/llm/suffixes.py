@@ -1,4 +1,7 @@
-"""Repeated substrings across a corpus by bucket-pointer refinement of sampled suffixes.
+"""Repeated substrings across a corpus by sampled suffixes and context hashes, in place of bucket-pointer refinement.
+
+The dealt method, refining each bucket by the bucket identifiers of later offsets round by round, is not what runs: it
+needs all suffixes, by estimate a shuffle of some twenty times the text. Only steps 1 to 3 below are done.
 
 A byte is removed if a ``MIN_LENGTH``-byte string that covers it also starts anywhere else, in the same document or
 another. Suffixes are sampled so that no such string is missed: of each ``MIN_LENGTH`` consecutive bytes, the ``Q``-gram
