@@ -6,17 +6,19 @@ from feedloom.llm.merkle import op11_merkle
 from feedloom.llm.packing import op9_best_fit
 from feedloom.llm.ppm import op5_ppm
 from feedloom.llm.quality import op8_quality_rules
+from feedloom.llm.secret_scan import op13_secrets
 from feedloom.llm.simhash import op6_simhash
 from feedloom.llm.suffixes import op10_suffix_array
 from feedloom.llm.token_counts import op7_token_counts
 from feedloom.llm.toxicity import op4_toxicity
 from feedloom.llm.vectors import op3_near_vectors
+from feedloom.llm.whitening import op12_whitening
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_byte_bpe, op3_near_vectors, op4_toxicity, op5_ppm, op6_simhash, op7_token_counts, op8_quality_rules, op9_best_fit,
-        op10_suffix_array, op11_merkle,
+        op10_suffix_array, op11_merkle, op12_whitening, op13_secrets,
     )
 }
 ORACLES: dict[str, str] = {
