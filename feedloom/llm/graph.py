@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import stored
@@ -22,8 +22,10 @@ SALTS = 16
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: ids of one orderable type, null-free; loops are ignored).
-    ``component`` is the smallest id reachable. Nodes without a link do not appear."""
-    pairs = links.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p")).where("c <> p").distinct()
+    ``component`` is the smallest id reachable. Nodes without a link do not appear. The links are stored before the first
+    round, so every round reads the same ones even where two evaluations of ``links`` differ."""
+    pairs = stored(links.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p")).where("c <> p").distinct(), "links")
+    before = None
     while True:
         low = pairs.groupBy("c").agg(F.min("p").alias("m"))
         hooked = pairs.join(low, "c").select(F.explode(F.array(F.struct("c", F.col("m").alias("p")), F.struct(F.col("p").alias("c"), F.col("m").alias("p")))).alias("x"))
@@ -34,8 +36,11 @@ def components(links: DataFrame) -> DataFrame:
         salted = pairs.withColumn("s", F.pmod(F.hash("c"), F.lit(SALTS)))
         pairs = salted.join(up, ["p", "s"], "left").select("c", F.coalesce("m", "p").alias("p"), F.col("m").isNotNull().alias("moved"))
         pairs = stored(pairs.groupBy("c", "p").agg(F.max("moved").alias("moved")), "stars")
-        state = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if("moved").alias("moved")).first()
+        state = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if("moved").alias("moved"), F.bit_xor(F.xxhash64("c", "p")).alias("print")).first()
         pairs = pairs.select("c", "p")
+        if state == before:
+            raise RuntimeError("components: a round has changed nothing and the links are no stars")
+        before = state
         if not state["moved"] and not pairs.groupBy("c").count().where("count > 1").limit(1).count():
             return pairs.select(F.col("c").alias("node"), F.col("p").alias("component"))
 
@@ -53,10 +58,15 @@ def blocked(rows: DataFrame, key: str, spread: str, block: int) -> DataFrame:
     return out.withColumn("group", F.struct(F.col(key), F.col("__m.i"), F.col("__m.j"))).withColumn("side", F.col("__m.side")).drop("__n", "__b", "__m", key)
 
 
-def by_group(rows: DataFrame, work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """``work(frame, starts)`` over whole groups: rows are shuffled and sorted by ``group``; every call gets consecutive
-    groups (``starts``: where each begins) of at least one Arrow batch, the last group of a batch waits for the next."""
-    dealt = rows.withColumn("__g", F.xxhash64("group")).repartition("group").sortWithinPartitions("group")
+def by_group(rows: DataFrame, work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, order: list[str] | None = None) -> DataFrame:
+    """``work(frame, starts)`` over whole groups: rows are shuffled and sorted by ``group`` (and ``order``, so that a result
+    that depends on it repeats); every call gets consecutive groups (``starts``: where each begins) of at least one Arrow
+    batch, the last group of a batch waits for the next. With ``order`` lone rows go before they reach Python."""
+    dealt = rows.withColumn("__g", F.xxhash64("group")).repartition("group")
+    if order:
+        whole = Window.partitionBy("group").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        dealt = dealt.withColumn("__n", F.count(F.lit(1)).over(whole)).where("__n > 1").drop("__n")
+    dealt = dealt.sortWithinPartitions("group", *(order or []))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []

@@ -256,8 +256,9 @@ def with_key(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.withColumns({"__a": F.coalesce(F.xxhash64(id_col), F.lit(0)), "__b": F.xxhash64(raw), "__raw": raw})
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = MIN_LENGTH, q: int = Q) -> DataFrame:
-    """``docs`` with ``kept_bytes`` (what remains), ``n_bytes``, ``n_removed`` and ``n_spans``."""
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = MIN_LENGTH, q: int = Q, whole_characters: bool = False) -> DataFrame:
+    """``docs`` with ``kept_bytes`` (what remains), ``n_bytes``, ``n_removed`` and ``n_spans``. With ``whole_characters`` a
+    character that the border of a span splits goes with it, so that what remains is UTF-8."""
 
     @F.pandas_udf("kept binary, bytes long, removed long, spans long")
     def cut(raws: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
@@ -273,6 +274,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
             begin, end = start[first], stop[np.r_[first[1:] - 1, len(start) - 1]]
             pieces, at = [], 0
             for s, e in zip(begin.tolist(), end.tolist()):
+                if whole_characters:
+                    while 0 < s < n and raw[s] & 0xC0 == 0x80:
+                        s -= 1
+                    while e < n and raw[e] & 0xC0 == 0x80:
+                        e += 1
                 pieces.append(raw[at:s])
                 at = e
             pieces.append(raw[at:])

@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -38,6 +39,21 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_links_that_differ_between_evaluations(spark):
+    """Each evaluation gives another spanning tree of the same groups."""
+
+    def trees(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            for g in batch["g"]:
+                order = rng.permutation(60) + 100 * g
+                yield pd.DataFrame({"a": order[1:], "b": [order[rng.integers(0, k)] for k in range(1, 60)]})
+
+    links = spark.createDataFrame([(g,) for g in range(20)], "g long").mapInPandas(trees, "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.components(links).collect()}
+    assert got == {100 * g + k: 100 * g for g in range(20) for k in range(1, 60)}
+
+
 def test_forest():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 200, 150), rng.integers(0, 200, 150)
