@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import packing, quality, simhash, suffixes, toxicity
-from feedloom.llm.common import fold, table, with_columns
+from feedloom.llm.common import fold, stored, table, with_columns
 from feedloom.session import ensure_checkpoint_dir
 
 
@@ -34,17 +34,19 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     parts = simhash.similar_texts(docs)
     keyed = with_columns(docs, {"__node": simhash.text_key(F.col("text")), "__row": F.xxhash64(*docs.columns)})
     # a row without an id is last; rows of one __row are equal in every column
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row", "__node")).alias("low")
-    nodes = keyed.groupBy("__node").agg(low).join(parts, F.col("__node") == F.col("node"), "left")
-    first = nodes.groupBy(F.coalesce("component", "__node")).agg(F.min("low").alias("low")).select("low.__node", "low.__row")
-    return keyed.join(first.hint("shuffle_hash"), ["__node", "__row"], "left_semi").dropDuplicates(["__node", "__row"]).select(docs.columns)
+    each = keyed.groupBy("__node", "__row").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row", "__node", "n")).alias("low")
+    nodes = each.groupBy("__node").agg(low).join(parts, F.col("__node") == F.col("node"), "left")
+    first = nodes.groupBy(F.coalesce("component", "__node")).agg(F.min("low").alias("low")).select("low.__node", "low.__row", "low.n")
+    first = stored(first, "kept")
+    kept = [keyed.join(first.where(one).hint("shuffle_hash"), ["__node", "__row"], "left_semi") for one in ("n = 1", "n > 1")]
+    return kept[0].unionByName(kept[1].dropDuplicates(["__node", "__row"])).select(docs.columns)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that occur more than once go; characters that a cut has split go with them."""
-    cut = suffixes.drop_repeats(docs)
-    whole = F.replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), F.lit("�"), F.lit(""))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(whole)
+    cut = suffixes.drop_repeats(docs, whole_characters=True)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_bytes").cast("string"))
     return with_columns(cut, {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))}).select(docs.columns)
 
 
