@@ -72,10 +72,11 @@ def within_radius(vec, radius: float, column: str = "embedding") -> Column:
     return F.col(column).isNotNull() & (vx.distance_to(F.col(column), vec) < radius)
 
 
-def search_hygiene(min_quality: float = 0.40, min_chars: int = 100) -> Column:
+def search_hygiene(min_quality: float = 0.40, min_chars: int = 100, chars: Column | None = None) -> Column:
+    """``chars``: the content's length where it is stored beside the text."""
     return all_of(
         ~F.coalesce(F.col("summary"), F.lit("")).contains("unavailable"),
-        F.length(F.coalesce(F.col("content"), F.lit(""))) >= min_chars,
+        (F.length(F.coalesce(F.col("content"), F.lit(""))) if chars is None else chars) >= min_chars,
         F.coalesce(F.col("quality_score"), F.lit(0.0)) >= min_quality,
     )
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedloom.operators import filters as fl
 from feedloom.operators import rank as rk
 from feedloom.operators import text_match as tm
+from feedloom.operators.text_index import TextIndex
 from feedloom.plans import search as se
 from feedloom.plans import similar as sm
+from feedloom.session import ensure_checkpoint_dir
 from workload.adapter import Tables, as_of
 from workload.oracle import AS_OF, EVENT_TS, age_days, decay, sql
 from workload.registry import query
@@ -86,6 +90,29 @@ def _(t: Tables):
     return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
 
 
+def text_index(t: Tables, batches: int = 1) -> TextIndex:
+    """The index of the items, written in ``batches`` parts; with several, earlier ones hold old versions of later items."""
+    index = TextIndex(t.spark, f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/text-index-{uuid.uuid4().hex}")
+    items = t.items()
+    part = F.pmod(F.xxhash64("id"), F.lit(batches))
+    for k in range(batches):
+        old = items.where(part > k).withColumns({f: F.reverse(c(f)) for f in ("title", "excerpt", "content")})
+        index.append(items.where(part == k).unionByName(old), k)
+    return index
+
+
+@query(
+    "fulltext_phrase_index", "P09 P10 P11",
+    sql("items", "SELECT id, every, round(" + rank_sql() + ", 6) AS rank FROM (SELECT *, (" + " OR ".join(phrase(f, TERMS) for f in WEIGHTS)
+        + f") AND NOT {has('nicht')} AS every FROM tok) WHERE {MATCH_ANY}", TOKENS.replace("{src}", "items")),
+)
+def _(t: Tables):
+    """A phrase without an excluded word, from posting lists with positions; the rank is that of the phrase's words."""
+    index = text_index(t)
+    exact = index.hits(f'"{Q}" -nicht').select("id", "every")
+    return index.hits(Q).select("id", F.round("score", 6).alias("rank")).join(exact, "id")
+
+
 BLEND = f"{decay(EVENT_TS)} * (0.5 + 0.5 * coalesce(quality_score, 0.5))"
 
 
@@ -123,6 +150,43 @@ def _(t: Tables):
     return se.text_search(t.items(), q="erenst there", as_of=as_of()).select("id", "rank", "pos")
 
 
+TEXT_SEARCH = sql("items", "SELECT id, url, rank, pos FROM done ORDER BY pos LIMIT 20", TOKENS.replace("{src}", "items") + ", " + text_page_sql(MATCH_ALL, MATCH_ANY, 60, rank_sql()) + FINISH)
+
+
+@query("text_search_indexed", "Q03 P09 P10 P12 L02 W04 W06", TEXT_SEARCH)
+def _(t: Tables):
+    return se.text_search(t.items(), q=Q, as_of=as_of(), index=text_index(t)).select("id", "url", "rank", "pos")
+
+
+@query("text_search_indexed_batches", "Q03 P09 P10", TEXT_SEARCH)
+def _(t: Tables):
+    """The index was extended twice; the first two batches hold outdated texts of the items that follow."""
+    return se.text_search(t.items(), q=Q, as_of=as_of(), index=text_index(t, 3)).select("id", "url", "rank", "pos")
+
+
+@query(
+    "text_search_fallback_indexed", "Q03 P10 U02",
+    sql("items", "SELECT id, rank, pos FROM done ORDER BY pos LIMIT 20",
+        TOKENS.replace("{src}", "items") + ", " + text_page_sql(has("erenst") + " AND " + has("there"), f"({has('erenst')} OR {has('there')})", 60, rank_sql(RARE)) + FINISH),
+)
+def _(t: Tables):
+    return se.text_search(t.items(), q="erenst there", as_of=as_of(), index=text_index(t)).select("id", "rank", "pos")
+
+
+@query(
+    "text_search_low_confidence", "Q03 A31",
+    sql("items", """SELECT q, count(DISTINCT id) AS rows, coalesce(bool_or(weak), false) AS weak FROM (SELECT 'now' AS q, id, mean < 0.3 AS weak FROM shown, (SELECT avg(coalesce(relevance_score, 0)) AS mean FROM shown)
+        WHERE (SELECT max(rank) FROM shown WHERE pos = (SELECT min(pos) FROM shown)) >= 0.001
+      UNION ALL SELECT 'later', id, false FROM shown WHERE (SELECT max(rank) FROM shown WHERE pos = (SELECT min(pos) FROM shown)) * pow(0.5, 100 / 7.0) >= 0.001) GROUP BY q""",
+        TOKENS.replace("{src}", "items") + ", " + text_page_sql(MATCH_ALL, MATCH_ANY, 60, rank_sql()) + FINISH + ", shown AS (SELECT * FROM done ORDER BY pos LIMIT 20)"),
+)
+def _(t: Tables):
+    """The page of today, and the empty one of a hundred days later, when even the first row ranks below the floor."""
+    later = as_of() + F.expr("INTERVAL 100 DAYS")
+    pages = [se.text_search(t.items(), q=Q, as_of=at).withColumn("q", F.lit(q)) for q, at in (("now", as_of()), ("later", later))]
+    return pages[0].unionByName(pages[1]).groupBy("q").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bool_or("out_of_scope"), F.lit(False)).alias("weak"))
+
+
 @query(
     "text_search_total", "Q03",
     sql("items", f"""SELECT CASE WHEN a < 3 THEN b ELSE a END AS total FROM (SELECT count(*) FILTER (relevance_score >= 0.60 AND {MATCH_ALL}) AS a,
@@ -132,6 +196,15 @@ def _(t: Tables):
     return se.text_total(t.items(), q=Q, as_of=as_of())
 
 
+@query(
+    "text_search_total_indexed", "Q03 P09 P10",
+    sql("items", f"""SELECT CASE WHEN a < 3 THEN b ELSE a END AS total FROM (SELECT count(*) FILTER (relevance_score >= 0.60 AND {MATCH_ALL}) AS a,
+      count(*) FILTER ((relevance_score >= 0.60 AND {MATCH_ALL}) OR (relevance_score >= 0.65 AND {MATCH_ANY})) AS b FROM tok WHERE status = 'processed' AND {HYGIENE})""", TOKENS.replace("{src}", "items")),
+)
+def _(t: Tables):
+    return se.text_total(t.items(), q=Q, as_of=as_of(), index=text_index(t))
+
+
 ACCENTS = ["für", "être", "ció", "nicht"]
 
 
@@ -187,6 +260,17 @@ def _(t: Tables):
     return out.select("id", "url", "rank", "pos")
 
 
+@query(
+    "hybrid_search_indexed", "Q02 P09 J13 J14 U01",
+    sql("vitems", f"""SELECT id, url, rank, pos FROM shown WHERE (SELECT count(*) FROM tok WHERE status = 'processed' AND {MATCH_ALL}) >= 3
+      AND (SELECT avg(relevance_score) FROM (SELECT relevance_score FROM shown ORDER BY pos LIMIT 5)) >= 0.60""",
+        TOKENS.replace("{src}", "vitems") + ", " + hybrid_sql("true", rank_sql(), MATCH_ALL) + FINISH + ", shown AS (SELECT * FROM done ORDER BY pos LIMIT 20)"),
+)
+def _(t: Tables):
+    out = se.hybrid_search(t.items(vectors=True), q=Q, query_vec=query_vector(t), as_of=as_of(), index=text_index(t))
+    return out.select("id", "url", "rank", "pos")
+
+
 @query(
     "hybrid_candidates", "Q02 U01",
     sql("vitems", "SELECT count(*) AS total FROM cand", TOKENS.replace("{src}", "vitems") + ", " + hybrid_sql("true", rank_sql(), MATCH_ALL)),
@@ -214,6 +298,22 @@ def _(t: Tables):
     return se.routed_search(t.items(), q="with migrate", as_of=as_of()).select("id", "rank", "pos")
 
 
+@query(
+    "routed_search_indexed", "Q04 F43 P09",
+    sql("items", "SELECT id, rank, pos FROM done ORDER BY pos LIMIT 20",
+        TOKENS.replace("{src}", "items") + f""", nofilter AS (SELECT *, round({rank_sql(['with', 'migrate'])} * coalesce(relevance_score, 0.5) * {BLEND}, 6) AS rank FROM tok
+          WHERE status = 'processed' AND relevance_score >= 0.60 AND {HYGIENE} AND {has('with')} AND {has('migrate')}),
+        narrow0 AS (SELECT * FROM nofilter WHERE significance = 'breaking'),
+        wide0 AS (SELECT *, round({rank_sql(['with', 'migrate'])} * {BLEND}, 6) AS rank FROM tok WHERE status = 'processed' AND significance = 'breaking'
+          AND relevance_score >= 0.65 AND {HYGIENE} AND ({has('with')} OR {has('migrate')}) AND (SELECT count(*) FROM narrow0) < 3),
+        narrow AS (SELECT * FROM (SELECT *, 0 AS branch FROM narrow0 UNION ALL SELECT *, 1 FROM wide0 WHERE id NOT IN (SELECT id FROM narrow0)) ORDER BY branch, rank DESC, id LIMIT 60),
+        page AS (SELECT *, row_number() OVER (ORDER BY branch, rank DESC, id) AS pos FROM (SELECT * FROM narrow WHERE (SELECT count(*) FROM narrow) >= 3
+          UNION ALL SELECT *, 0 FROM nofilter WHERE (SELECT count(*) FROM narrow) < 3))""" + FINISH),
+)
+def _(t: Tables):
+    return se.routed_search(t.items(), q="with migrate", as_of=as_of(), index=text_index(t)).select("id", "rank", "pos")
+
+
 @query(
     "library_hits", "Q05 P14",
     sql("library", """SELECT slug, score AS match_score FROM (SELECT slug, """ + " + ".join(
