@@ -26,11 +26,14 @@ def with_source(items: DataFrame, sources: DataFrame, default_tier: str, columns
 
 
 def unseen_by_url(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows whose normalised url is unknown; within the batch the first row per url (by published, id) stays."""
+    """Rows whose normalised url is unknown; within the batch the first row per url (by published, id) stays. Rows without
+    a url are unseen; ids may be null."""
     b = batch.withColumn("_h", ux.url_hash(F.col("url")))
-    first = b.groupBy("_h").agg(F.min(F.struct("published_at", "id")).alias("_first")).select("_h", F.col("_first.id").alias("id"))
-    hashes = known.select(ux.url_hash(F.col("url")).alias("_h")).distinct()
-    return b.join(first.join(hashes, "_h", "left_anti"), ["_h", "id"], "left_semi").drop("_h")
+    first = F.row_number().over(Window.partitionBy("_h").orderBy("published_at", "id"))
+    hashes = known.select(ux.url_hash(F.col("url")).alias("_h")).where(F.col("_h").isNotNull()).distinct()
+    # the rank limit is applied inside the map tasks: a url of a third of the batch shuffles one row per task
+    once = b.where(F.col("_h").isNotNull()).withColumn("_nth", first).where("_nth = 1").drop("_nth")
+    return once.join(hashes, "_h", "left_anti").select(*batch.columns).unionByName(b.where(F.col("_h").isNull()).select(*batch.columns))
 
 
 def without_delivery(items: DataFrame, deliveries: DataFrame) -> DataFrame:

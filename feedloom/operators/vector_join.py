@@ -196,6 +196,30 @@ def first_within(
     return q.select("query_id", "vkey").join(hits.groupBy("vkey").agg(F.min("id").alias("first")), "vkey").drop("vkey")
 
 
+def _block_all(bdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+    if not len(bdf) or not len(qdf):
+        return pd.DataFrame({"vkey": [], "other": []}, dtype=object)
+    near = cosine_distances(unit_rows(qdf["vec"]), unit_rows(bdf["vec"])) < qdf["radius"].to_numpy(dtype=float)[:, None]
+    i, j = np.nonzero(near)
+    return pd.DataFrame({"vkey": qdf["vkey"].to_numpy()[i], "other": bdf["vkey"].to_numpy()[j]})
+
+
+def pairs_within(queries: DataFrame, base: DataFrame, *, radius: float, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, id): all base rows within the radius of each query. Its size is the number of links, so it is for rows
+    whose dense groups were settled before."""
+    def keyed(df):
+        return df.where(F.col("vec").isNotNull()).select("id", vector_key(F.col("vec")).alias("vkey"), "vec")
+
+    q, b = keyed(queries), keyed(base)
+    centres = choose_pivots(b, pivots) if pivots is not None or not _fits_one_cell(b) else None
+    groups, asked = (df.groupBy("vkey").agg(F.any_value("vec").alias("vec")) for df in (b, q))
+    bb, qq = _blocks(_cells(groups, centres, False), _cells(asked.withColumn("radius", F.lit(float(radius))), centres, True), block_rows)
+    keys = ["cell", "bs", "qs"]
+    links = bb.groupBy(*keys).cogroup(qq.groupBy(*keys)).applyInPandas(_block_all, "vkey string, other string").distinct()
+    out = links.join(q.select(F.col("id").alias("query_id"), "vkey"), "vkey")
+    return out.join(b.select("id", F.col("vkey").alias("other")), "other").select("query_id", "id")
+
+
 def _fits_one_cell(base: DataFrame) -> bool:
     """True when there are at most ROWS_PER_CELL base rows (stops counting just beyond that)."""
     return base.select("id").limit(ROWS_PER_CELL + 1).count() <= ROWS_PER_CELL

@@ -90,13 +90,13 @@ def cluster_items(
 
 
 def near_duplicates(
-    batch: DataFrame, known: DataFrame, *, as_of: Column, threshold: float = 0.08, days: int = 7, **tuning
+    batch: DataFrame, known: DataFrame, *, as_of: Column, threshold: float = 0.08, days: int = 7, k: int = 1, **tuning
 ) -> DataFrame:
-    """The closest recent known item below the threshold, per batch row."""
+    """The closest recent known item (or ``k`` of them) below the threshold, per batch row."""
     base = known.where(c("embedding").isNotNull() & fl.recent(as_of, days, c("created_at")))
     return nearest_within(
         batch.select("id", c("embedding").alias("vec")), base.select("id", c("embedding").alias("vec")),
-        k=1, radius=threshold, **tuning,
+        k=k, radius=threshold, **tuning,
     )
 
 

@@ -13,8 +13,10 @@ from feedloom import vocab
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ux
 from feedloom.operators import filters as fl
+from feedloom.plans import dedup as dd
 from feedloom.plans.alerts import active_keywords, cooldown_seconds, keyword_finder
-from feedloom.session import ensure_checkpoint_dir
+from feedloom.session import cut_lineage, ensure_checkpoint_dir
+from feedloom.sources.history import KeyedHistory
 
 c = F.col
 
@@ -77,6 +79,36 @@ def append_unseen(path: str, key: Callable[[Column], Column] = ux.url_hash) -> C
     return handle
 
 
+def append_unseen_keys(history: KeyedHistory, path: str, key: Callable[[Column], Column] = ux.url_hash) -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler as ``append_unseen``, on a bucketed history: a batch opens only the key files whose filter may
+    hold one of its keys. Rows without a key are added as they are. Rows are written before their keys are committed, so
+    a batch that failed half way writes the same rows again."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        b = cut_lineage(batch.withColumn("key", key(c("url"))))
+        row = F.struct(*[c(x) for x in b.columns])
+        first = b.where(c("key").isNotNull()).groupBy("key").agg(F.min_by(row, F.struct("created_at", "id")).alias("r")).select("r.*")
+        new = first.join(history.known(b.select("key").where(c("key").isNotNull()), skip=batch_id), "key", "left_anti")
+        target = f"{path}/batch={batch_id}"
+        new.select(*b.columns).unionByName(b.where(c("key").isNull())).write.mode("overwrite").parquet(target)
+        history.add(b.sparkSession.read.schema(b.schema).parquet(target).select("key").where(c("key").isNotNull()), batch_id)
+
+    return handle
+
+
+def append_new_items(history: KeyedHistory, path: str, *, as_of: Column, **settings) -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler: items that repeat no url and no text of the history or of their batch are added to it."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        b = cut_lineage(batch)
+        new = dd.dedup_items(b, b.where(F.lit(False)), as_of=as_of, vectors=False, history=history, skip=batch_id, **settings)
+        target = f"{path}/batch={batch_id}"
+        new.where(c("reason").isNull()).drop("reason").write.mode("overwrite").parquet(target)
+        history.add(dd.history_keys(b.sparkSession.read.schema(b.schema).parquet(target)), batch_id)
+
+    return handle
+
+
 def drain_batches(stream: DataFrame, handle, *, checkpoint: str) -> None:
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

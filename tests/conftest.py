@@ -31,3 +31,11 @@ def spark():
     s = make_session()
     yield s
     s.stop()
+
+
+def files_read(df) -> int:
+    """Files that the scans of ``df`` (a plan without exchanges) open."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    scans = [leaves.apply(i).metrics() for i in range(leaves.size())]
+    return sum(m.apply("numFiles").value() for m in scans if m.contains("numFiles"))

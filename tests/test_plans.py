@@ -14,7 +14,8 @@ from workload.registry import QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 EAGER = {
     "alert_stream", "breaking_notices", "repo_event_stream", "stream_url_dedup", "stream_history_dedup", "replay_guard", "cluster_items",
-    "alert_stream_many_keywords", "items_round_trip", "log_append",
+    "alert_stream_many_keywords", "items_round_trip", "log_append", "text_search_indexed_batches", "text_search_fallback_indexed", "text_search_total_indexed",
+    "routed_search_indexed",
 }
 PYTHON = {
     "unicode_nfc", "gate_scores", "gate_stage", "gate_scores_by_join", "watchlist_matches", "nearest_neighbours", "near_duplicate_vectors",

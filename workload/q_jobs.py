@@ -58,7 +58,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     batch, known = split_batch(t, True)
-    return dd.dedup_items(batch, known, as_of=as_of(), threshold=0.6, days=60).select("id", "reason")
+    return dd.dedup_items(batch, known, as_of=as_of(), threshold=0.6, days=60, inside_batch=False).select("id", "reason")
 
 
 STORED = f"""o AS (SELECT *, row_number() OVER (ORDER BY published_at NULLS FIRST, id) AS n FROM l2 WHERE r1 IS NULL AND r2 IS NULL AND NOT EXISTS (SELECT 1 FROM k
@@ -67,6 +67,14 @@ e AS (SELECT a.n, a.id, (SELECT coalesce(list(z.id), []) FROM o z WHERE z.n < a.
     AND round(1 - list_cosine_similarity(a.embedding, z.embedding), 6) + 0 < 0.6) AS near FROM o a)"""
 
 
+def first_load(t: Tables):
+    return t.items(vectors=True).where(fl.recent(as_of(), 14, c("created_at"))).withColumn("url", F.concat(F.lit("https://first.org/"), "id")).withColumn("content", c("id"))
+
+
+CHAIN = f"""b AS (SELECT * FROM vitems WHERE created_at >= {AS_OF} - INTERVAL 14 DAY), o AS (SELECT *, row_number() OVER (ORDER BY published_at NULLS FIRST, id) AS n FROM b WHERE embedding IS NOT NULL),
+e AS (SELECT a.n, a.id, (SELECT coalesce(list(z.id), []) FROM o z WHERE z.n < a.n AND round(1 - list_cosine_similarity(a.embedding, z.embedding), 6) + 0 < 0.55) AS near FROM o a)"""
+
+
 @query(
     "dedup_inside_batch", "B01 J08",
     sql("vitems", f"""SELECT id, coalesce(r1, r2, CASE WHEN id NOT IN (SELECT unnest(stored) FROM (
@@ -75,7 +83,19 @@ e AS (SELECT a.n, a.id, (SELECT coalesce(list(z.id), []) FROM o z WHERE z.n < a.
 )
 def _(t: Tables):
     batch, known = split_batch(t, True)
-    return dd.dedup_items(batch, known, as_of=as_of(), threshold=0.6, days=60, inside_batch=True).select("id", "reason")
+    return dd.dedup_items(batch, known, as_of=as_of(), threshold=0.6, days=60).select("id", "reason")
+
+
+@query(
+    "dedup_inside_batch_chain", "B01 J08",
+    sql("vitems", f"""SELECT id, CASE WHEN id NOT IN (SELECT unnest(stored) FROM (
+      WITH RECURSIVE s AS (SELECT 0 AS n, []::VARCHAR[] AS stored UNION ALL SELECT e.n, CASE WHEN list_has_any(s.stored, e.near) THEN s.stored ELSE list_append(s.stored, e.id) END
+        FROM s JOIN e ON e.n = s.n + 1) SELECT stored FROM s ORDER BY n DESC LIMIT 1)) THEN 'embedding_similarity' END AS reason FROM b""", CHAIN),
+)
+def _(t: Tables):
+    """A first load: nothing is known, and each text and url is its own, so only near copies inside the batch are refused."""
+    batch = first_load(t)
+    return dd.dedup_items(batch, batch.where(F.lit(False)), as_of=as_of(), threshold=0.55, days=60).select("id", "reason")
 
 
 @query(

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom.functions import text as tx
 from feedloom.operators import joins as jn
 from feedloom.plans import alerts as al
 from feedloom.plans import repo_events as re_
 from feedloom.plans import reports as rp
 from feedloom.plans import source_jobs as sj
+from feedloom.sources.history import KeyedHistory
 from feedloom.streaming import jobs as st
 from workload.adapter import Tables, as_of
 from workload.oracle import AS_OF, EVENT_TS, sql, ts_text
@@ -225,6 +227,47 @@ def _(t: Tables):
     return t.spark.read.parquet(path).select("id")
 
 
+def in_files(t: Tables, rows, n: int = 4):
+    """The rows as a stream of ``n`` micro-batches."""
+    path = st.scratch(t.spark, "input")
+    rows.repartition(n).write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(
+    "stream_history_bucketed", "T02 J09",
+    sql("items", "SELECT DISTINCT sha256(regexp_replace(split_part(url, '#', 1), '/+$', '')) AS key FROM items"),
+)
+def _(t: Tables):
+    path = st.scratch(t.spark, "rows")
+    history = KeyedHistory(t.spark, st.scratch(t.spark, "keys"), buckets=8)
+    handle = st.append_unseen_keys(history, path)
+
+    def compacting(batch, batch_id):
+        if batch_id == 2:
+            history.compact(most_files=1)
+        handle(batch, batch_id)
+
+    st.drain_batches(in_files(t, t.items().select("id", "url", "created_at")), compacting, checkpoint=st.scratch(t.spark, "keys-cp"))
+    return t.spark.read.parquet(path).select("key")
+
+
+@query(
+    "stream_history_items", "T02 J09 J10 B01",
+    sql("items", """SELECT count(*) AS n, count(*) AS urls, count(DISTINCT f) AS texts FROM (
+      SELECT regexp_replace(lower(content), '[^\p{L}\p{N}_]+', '', 'g') AS f FROM items
+      QUALIFY row_number() OVER (PARTITION BY f ORDER BY id) = 1)"""),
+)
+def _(t: Tables):
+    """Items whose url is their text's: each text stays once, whichever micro-batch brings it."""
+    path = st.scratch(t.spark, "rows")
+    history = KeyedHistory(t.spark, st.scratch(t.spark, "keys"), buckets=8)
+    items = t.items().select("id", "content", "created_at", "published_at").withColumn("url", F.concat(F.lit("https://e.org/"), F.sha2(c("content"), 256)))
+    st.drain_batches(in_files(t, items, 3), st.append_new_items(history, path, as_of=as_of()), checkpoint=st.scratch(t.spark, "keys-cp"))
+    kept = t.spark.read.parquet(path)
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"), F.countDistinct(tx.content_fingerprint(c("content"))).alias("texts"))
+
+
 @query(
     "replay_guard", "T03",
     "SELECT DISTINCT user_id || '-' || event_type AS token FROM events",
