@@ -25,6 +25,34 @@ def fire_seconds(seconds: np.ndarray, cooldown: int, ready_at: int) -> tuple[lis
     return out, ready_at
 
 
+def attempt_seconds(seconds: np.ndarray, delivered: np.ndarray, cooldown: int, ready_at: int) -> tuple[list[np.ndarray], int]:
+    """Attempts within one sorted run of seconds where only a delivery (``delivered``: those seconds with one) starts the
+    cooldown: all seconds from the first allowed one up to the next delivery, then those after its cooldown."""
+    out, cooldown = [], max(cooldown, 1)
+    while True:
+        a = int(np.searchsorted(seconds, ready_at))
+        d = int(np.searchsorted(delivered, ready_at))
+        if d == len(delivered):
+            out.append(seconds[a:])
+            return out, ready_at
+        out.append(seconds[a : int(np.searchsorted(seconds, delivered[d], "right"))])
+        ready_at = int(delivered[d]) + cooldown
+
+
+def _set_bits(bits: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"))
+
+
+def _fold_attempts(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("bucket")
+    ready, tried = -(2**62), []
+    for bucket, bits, good, cooldown in zip(pdf["bucket"], pdf["bits"], pdf["delivered"], pdf["cooldown_seconds"]):
+        base = (int(bucket) - 1) * BITS + 1
+        got, ready = attempt_seconds(base + _set_bits(bits), base + _set_bits(good), int(cooldown), ready)
+        tried += got
+    return pd.DataFrame({"key": pdf["key"].iloc[0], "second": np.concatenate(tried).astype("int64")})
+
+
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("bucket")
     ready, fired = -(2**62), []
@@ -54,3 +82,23 @@ def greedy_cooldown(events: DataFrame) -> DataFrame:
     )
     fires = maps.groupBy("key").applyInPandas(_fold, "key string, second long")
     return e.join(fires, ["key", "second"])
+
+
+def cooldown_after_delivery(events: DataFrame) -> DataFrame:
+    """(key string, ts, id, cooldown_seconds, delivered) -> the events that are tried, in order of (ts, id).
+
+    A failed delivery starts no cooldown, so the next event of the key is tried at once; after a delivery nothing is tried
+    for ``cooldown_seconds`` (one at least). Seconds with events and seconds with deliveries are bitmaps of a key's time;
+    inside a second everything up to its first delivery is tried.
+    """
+    e = events.select("key", "ts", "id", "delivered", F.greatest("cooldown_seconds", F.lit(1)).alias("cooldown_seconds"), F.unix_seconds("ts").alias("second"))
+    good = F.min(F.when(F.col("delivered"), F.struct("ts", "id"))).alias("_good")
+    seconds = e.groupBy("key", "second").agg(good, F.max("cooldown_seconds").alias("cooldown_seconds"))
+    place = F.bitmap_bit_position("second")
+    maps = seconds.groupBy("key", F.bitmap_bucket_number("second").alias("bucket")).agg(
+        F.bitmap_construct_agg(place).alias("bits"), F.bitmap_construct_agg(F.when(F.col("_good").isNotNull(), place)).alias("delivered"),
+        F.max("cooldown_seconds").alias("cooldown_seconds"),
+    )
+    tried = maps.groupBy("key").applyInPandas(_fold_attempts, "key string, second long").join(seconds.select("key", "second", "_good"), ["key", "second"])
+    out = e.join(tried, ["key", "second"]).where(F.col("_good").isNull() | (F.struct("ts", "id") <= F.col("_good")))
+    return out.select("key", "ts", "id", "delivered")

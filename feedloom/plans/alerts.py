@@ -12,7 +12,7 @@ from feedloom.functions import scores as sc
 from feedloom.functions import text as tx
 from feedloom.operators import filters as fl
 from feedloom.operators import joins as jn
-from feedloom.operators.cooldown import greedy_cooldown
+from feedloom.operators.cooldown import cooldown_after_delivery, greedy_cooldown
 
 c = F.col
 DEFAULT_COOLDOWN_MINUTES = 60
@@ -107,6 +107,17 @@ def fired_alerts(items: DataFrame, rules: DataFrame) -> DataFrame:
     return f.select(c("key").alias("rule_id"), c("id").alias("item_id"), "ts")
 
 
+def tried_alerts(items: DataFrame, rules: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(rule_id, item_id, ts, delivered): the deliveries that are tried when a rule's cooldown starts only after one that
+    succeeded. ``outcomes`` (rule_id, item_id, delivered) are the results; an attempt without one counts as failed."""
+    results = outcomes.groupBy("rule_id", "item_id").agg(F.bool_or("delivered").alias("delivered"))
+    wait = rules.where("is_active").select(c("id").alias("rule_id"), cooldown_seconds().alias("cooldown_seconds"))
+    hits = match_rules(items, rules).select("rule_id", "item_id").join(items.select(c("id").alias("item_id"), c("created_at").alias("ts")), "item_id")
+    events = hits.join(wait, "rule_id").join(results, ["rule_id", "item_id"], "left")
+    tried = cooldown_after_delivery(events.select(c("rule_id").alias("key"), "ts", c("item_id").alias("id"), "cooldown_seconds", F.coalesce("delivered", F.lit(False)).alias("delivered")))
+    return tried.select(c("key").alias("rule_id"), c("id").alias("item_id"), "ts", "delivered")
+
+
 def delivery_rows(fired: DataFrame, items: DataFrame, channel: str = "chat") -> DataFrame:
     """Outbox rows of fired alerts; ids are derived, so a repeated run writes the same rows."""
     facts = items.select(

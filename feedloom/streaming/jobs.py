@@ -151,8 +151,76 @@ def _cooldown_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
         yield pd.DataFrame(out, columns=["rule_id", "item_id", "ts"])
 
 
+def _delivery_state(patience_ms: int):
+    """State of a rule: the second it may fire again, the alert under way, those that wait behind it, and results known."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ready, current, waiting, results = state.get if state.exists else (-(2**62), None, [], [])
+        queue = [tuple(w) for w in waiting]
+        known = {r[0]: bool(r[1]) for r in results}
+        tried = [] if current is None else [tuple(current)]
+        out = []
+        now = state.getCurrentWatermarkMs()
+        for pdf in batches if not state.hasTimedOut else ():
+            for kind, item, us, wait, good in zip(pdf["kind"], pdf["item_id"], pdf["ts_us"], pdf["cooldown_seconds"], pdf["delivered"]):
+                if kind == "result":
+                    known[item] = known.get(item, False) or bool(good)
+                else:
+                    queue.append((int(us), item, int(wait)))
+        queue.sort()
+        while True:
+            if tried:
+                us, item, wait = tried[0]
+                late = now > 0 and us // 1000 + patience_ms <= now
+                if item not in known and not late:
+                    break  # the result is still to come
+                if known.pop(item, False):
+                    ready = us // 1_000_000 + max(wait, 1)
+                tried = []
+            while queue and queue[0][0] // 1_000_000 < ready:
+                known.pop(queue.pop(0)[1], None)
+            if not queue:
+                break
+            tried = [queue.pop(0)]
+            out.append((key[0], tried[0][1], pd.Timestamp(tried[0][0], unit="us")))
+        state.update((int(ready), tried[0] if tried else None, queue, sorted(known.items())))
+        if tried:
+            state.setTimeoutTimestamp(max(tried[0][0] // 1000 + patience_ms, now) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["rule_id", "item_id", "ts"])
+
+    return run
+
+
+def delivery_stream(items: DataFrame, rules: DataFrame, outcomes: DataFrame, *, delay: str = "0 seconds", patience: float = 600.0) -> DataFrame:
+    """(rule_id, item_id, ts): deliveries to try, where only one that succeeded starts the rule's cooldown.
+
+    ``outcomes`` is the stream of results (rule_id, item_id, delivered, ts) that comes back from the channels. A rule has
+    one alert under way; later matches wait for its result. After a failure the next one is tried at once, after a
+    delivery those inside the cooldown are dropped. An alert without a result ``patience`` seconds of event time after it
+    counts as failed (an event-time timer releases those behind it). Matches come in order of event time.
+    """
+    sides = rule_hits(items, rules).select(
+        "rule_id", "item_id", "ts", F.lit("match").alias("kind"), "cooldown_seconds", F.lit(False).alias("delivered")
+    ).distinct(), outcomes.select("rule_id", "item_id", "ts", F.lit("result").alias("kind"), F.lit(0).cast("long").alias("cooldown_seconds"), "delivered")
+    both = sides[0].withWatermark("ts", delay).unionByName(sides[1].withWatermark("ts", delay)).withColumn("ts_us", F.unix_micros("ts"))
+    return both.groupBy("rule_id").applyInPandasWithState(
+        _delivery_state(int(patience * 1000)), "rule_id string, item_id string, ts timestamp",
+        "ready long, current struct<us:long,item:string,wait:long>, waiting array<struct<us:long,item:string,wait:long>>, results array<struct<item:string,good:boolean>>",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def alert_stream(items: DataFrame, rules: DataFrame) -> DataFrame:
     """Streamed items against static rules with a cooldown per rule, in order of event time within a batch."""
+    hits = rule_hits(items, rules).withColumn("second", F.unix_seconds("ts"))
+    return hits.groupBy("rule_id").applyInPandasWithState(
+        _cooldown_state, "rule_id string, item_id string, ts timestamp", "ready long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def rule_hits(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule_id, item_id, ts, cooldown_seconds): streamed items that match static rules; once for each matching trigger."""
     active = rules.where("is_active")
     kw = active.select(c("id").alias("rule_id"), F.explode("keywords").alias("_k")).select("rule_id", F.lower("_k").alias("trigger")).where(c("trigger") != "")
     sig = active.select(c("id").alias("rule_id"), F.explode("significance_trigger").alias("_s")).select(
@@ -164,12 +232,7 @@ def alert_stream(items: DataFrame, rules: DataFrame) -> DataFrame:
     found = keyword_finder(words)(F.lower(fl.alert_haystack())) if words else F.array().cast("array<string>")
     marks = F.concat(found, F.array(F.concat(F.lit("significance:"), F.coalesce("significance", F.lit("")))))
     e = items.select(c("id").alias("item_id"), c("created_at").alias("ts"), F.explode(marks).alias("trigger"))
-    hits = e.join(triggers, "trigger").select(
-        "rule_id", "item_id", "ts", F.unix_seconds("ts").alias("second"), "cooldown_seconds"
-    )
-    return hits.groupBy("rule_id").applyInPandasWithState(
-        _cooldown_state, "rule_id string, item_id string, ts timestamp", "ready long", "append", GroupStateTimeout.NoTimeout
-    )
+    return e.join(triggers, "trigger").select("rule_id", "item_id", "ts", "cooldown_seconds")
 
 
 # ---- repositories ------------------------------------------------------------------------

@@ -73,6 +73,36 @@ def _(t: Tables):
     return al.fired_alerts(t.items(), t.alert_rules().withColumn("cooldown_minutes", F.lit(0))).select("rule_id", "item_id", ts("ts"))
 
 
+AFTER = """, ev AS MATERIALIZED (SELECT rule_id, item_id, created_at AS t, CAST(epoch(created_at) AS BIGINT) AS s, CAST(substr(item_id, 2) AS INT) % 3 = 0 AS ok,
+  CASE WHEN coalesce(cooldown_minutes, 0) = 0 THEN 60 ELSE cooldown_minutes END * 60 AS cd FROM hit),
+good AS MATERIALIZED (SELECT rule_id, s, min({'t': t, 'i': item_id}) AS f, max(cd) AS cd FROM ev WHERE ok GROUP BY 1, 2),
+sent(rule_id, s) AS (SELECT rule_id, min(s) FROM good GROUP BY 1 UNION ALL SELECT f.rule_id, min(g.s) FROM sent f JOIN good o ON o.rule_id = f.rule_id AND o.s = f.s JOIN good g ON g.rule_id = f.rule_id AND g.s >= f.s + o.cd GROUP BY f.rule_id),
+done AS MATERIALIZED (SELECT g.* FROM sent JOIN good g USING (rule_id, s))"""
+TRIED = "SELECT rule_id, item_id, " + ts_text("ev.t") + """ AS ts, ok AS delivered FROM ev WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.rule_id = ev.rule_id AND d.s <= ev.s AND ev.s < d.s + d.cd
+  AND (ev.s > d.s OR {'t': ev.t, 'i': ev.item_id} > d.f))"""
+
+
+def outcomes(t: Tables):
+    """Deliveries of every third item succeed, the others fail."""
+    hits = al.match_rules(t.items(), t.alert_rules()).select("rule_id", "item_id")
+    return hits.withColumn("delivered", F.expr("int(substr(item_id, 2)) % 3 = 0"))
+
+
+@query("fired_alerts_after_failures", "T04 J17", sql("items alert_rules", TRIED, MATCH + AFTER))
+def _(t: Tables):
+    return al.tried_alerts(t.items(), t.alert_rules(), outcomes(t)).select("rule_id", "item_id", ts("ts"), "delivered")
+
+
+@query("alert_stream_after_failures", "T04", sql("items alert_rules", TRIED.replace(", ok AS delivered", ""), MATCH + AFTER))
+def _(t: Tables):
+    """The items come as a stream, and so do the results, in micro-batches of their own."""
+    times = t.items().select(c("id").alias("item_id"), c("created_at").alias("ts"))
+    results = in_files(t, outcomes(t).join(times, "item_id"), 2)
+    s = st.delivery_stream(t.items(docs=t.stream("documents")), t.alert_rules(), results, patience=1e9)
+    out = st.drain(s, path=st.scratch(t.spark, "tried"), checkpoint=st.scratch(t.spark, "tried-cp"))
+    return out.select("rule_id", "item_id", ts("ts"))
+
+
 @query(
     "alert_deliveries", "F29 F31 S28",
     sql("items alert_rules", f"""SELECT rule_id AS alert_rule_id, item_id AS intel_item_id, CASE WHEN primary_type = 'update' AND ({BREAK_SQL}) THEN 'critical' WHEN primary_type = 'update' AND confidence_score >= 0.8 THEN 'important'
