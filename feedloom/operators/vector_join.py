@@ -93,7 +93,7 @@ def _blocks(base: DataFrame, queries: DataFrame, block_rows: int) -> tuple[DataF
     """Number the blocks of every cell on both sides and send each row to the block pairs it takes part in."""
     nb = base.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nb"))
     nq = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("nq"))
-    sizes = F.broadcast(nb.join(nq, "cell"))  # one row per cell, at most MAX_PIVOTS
+    sizes = F.broadcast(nb.join(nq, "cell"))  # one row per cell: at most MAX_PIVOTS, or the leaves of an index
     slot = F.xxhash64("vkey")
     b = base.join(sizes, "cell").withColumn("bs", F.pmod(slot, "nb")).withColumn("qs", _slots("nq"))
     q = queries.join(sizes, "cell").withColumn("qs", F.pmod(slot, "nq")).withColumn("bs", _slots("nb"))
@@ -120,13 +120,10 @@ def _block_pairs(k: int, inclusive: bool):
             row, col, dist = row[order], col[order], dist[order]
             nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
             keep = nth <= k
-            ids, keys, radii = bdf["ids"].to_numpy(), qdf["vkey"].to_numpy(), qdf["radius"].to_numpy()
-            for i, j, x in zip(row[keep], col[keep], dist[keep]):
-                for member in ids[j]:
-                    out["vkey"].append(keys[i])
-                    out["radius"].append(radii[i])
-                    out["id"].append(member)
-                    out["distance"].append(x)
+            ids, row, col, dist = bdf["ids"].to_numpy(), row[keep], col[keep], dist[keep]
+            size = np.fromiter((len(x) for x in ids), np.int64, len(ids))[col]
+            out["vkey"], out["radius"] = np.repeat(qdf["vkey"].to_numpy()[row], size), np.repeat(qdf["radius"].to_numpy()[row], size)
+            out["id"], out["distance"] = [x for j in col for x in ids[j]], np.repeat(dist, size)
         return pd.DataFrame(out).astype({"vkey": object, "radius": float, "id": object, "distance": float})
 
     return run
@@ -146,16 +143,25 @@ def nearest_within(
         F.col("id").alias("query_id"), vector_key(F.col("vec")).alias("vkey"), r.cast("double").alias("radius"), "vec"
     )
     b = base.where(F.col("vec").isNotNull()).select("id", vector_key(F.col("vec")).alias("vkey"), "vec")
-    # equal vectors: k + 1 smallest ids each, cut inside the map tasks
-    heads = top_per_group(b, ["vkey"], [F.asc("id")], k + 1)
-    groups = heads.groupBy("vkey").agg(
-        F.array_sort(F.collect_list("id")).alias("ids"), F.any_value("vec").alias("vec")
-    )
+    groups = copies(b, k)
     asked = q.groupBy("vkey", "radius").agg(F.any_value("vec").alias("vec"))
     centres = None
     if pivots is not None or not _fits_one_cell(b):
         centres = choose_pivots(b, pivots)
-    bb, qq = _blocks(_cells(groups, centres, False), _cells(asked, centres, True), block_rows)
+    return answers(q, _cells(groups, centres, False), _cells(asked, centres, True), k=k, exclude_self=exclude_self, inclusive=inclusive, block_rows=block_rows)
+
+
+def copies(base: DataFrame, k: int, more: list[str] | None = None) -> DataFrame:
+    """Equal vectors as one row: the k + 1 smallest ids each, cut inside the map tasks."""
+    heads = top_per_group(base, ["vkey"], [F.asc("id")], k + 1)
+    return heads.groupBy("vkey").agg(
+        F.array_sort(F.collect_list("id")).alias("ids"), F.any_value("vec").alias("vec"), *[F.any_value(c).alias(c) for c in more or ()]
+    )
+
+
+def answers(q: DataFrame, base: DataFrame, asked: DataFrame, *, k: int, exclude_self: bool, inclusive: bool, block_rows: int) -> DataFrame:
+    """Neighbours of the queries ``q`` from base rows and query rows that were sent to their cells."""
+    bb, qq = _blocks(base, asked, block_rows)
     keys = ["cell", "bs", "qs"]
     hits = bb.groupBy(*keys).cogroup(qq.groupBy(*keys)).applyInPandas(
         _block_pairs(k, inclusive), "vkey string, radius double, id string, distance double"

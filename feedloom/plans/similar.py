@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedloom.functions import scores as sc
 from feedloom.functions import vectors as vx
 from feedloom.operators import filters as fl
+from feedloom.operators.vector_index import VectorIndex
 from feedloom.operators.vector_join import nearest_within
 from feedloom.session import cut_lineage
 
@@ -29,24 +30,27 @@ def similar_by_id(items: DataFrame, *, item_id: str, radius: float = 0.45, limit
     return similar_by_vector(items.where(c("id") != item_id), vec=found[0], radius=radius, limit=limit)
 
 
-def watchlist_matches(items: DataFrame, watchlists: DataFrame, *, limit: int = 20, **tuning) -> DataFrame:
-    """Best items of every active watchlist at once, each with its own similarity threshold."""
+def watchlist_matches(items: DataFrame, watchlists: DataFrame, *, limit: int = 20, index: VectorIndex | None = None, **tuning) -> DataFrame:
+    """Best items of every active watchlist at once, each with its own similarity threshold. ``index``: the stored vectors
+    of the processed items."""
     w = watchlists.where("is_active").select("id", c("concept_embedding").alias("vec"), (1.0 - c("similarity_threshold")).alias("r"))
     base = items.where(fl.processed()).select("id", c("embedding").alias("vec"))
-    m = nearest_within(w, base, k=limit, radius=c("r"), exclude_self=False, inclusive=True, **tuning)
+    how = {"k": limit, "radius": c("r"), "exclude_self": False, "inclusive": True, **tuning}
+    m = nearest_within(w, base, **how) if index is None else index.nearest(w, **how)
     return m.select(c("query_id").alias("watchlist_id"), "id", sc.stable(1.0 - c("distance")).alias("match_score"), "rn")
 
 
 def nearest_neighbours(
-    items: DataFrame, *, as_of: Column, threshold: float = 0.15, days: int = 7, **tuning
+    items: DataFrame, *, as_of: Column, threshold: float = 0.15, days: int = 7, index: VectorIndex | None = None, **tuning
 ) -> DataFrame:
-    """(query_id, id, distance): the nearest processed item of every recent item that has no thread yet."""
+    """(query_id, id, distance): the nearest processed item of every recent item that has no thread yet. ``index``: the
+    stored vectors of the processed items; only the recent items' vectors are read besides."""
     base = items.where(fl.processed() & c("embedding").isNotNull())
     fresh = base.where(c("cluster_id").isNull() & fl.recent(as_of, days, c("created_at")))
-    return nearest_within(
-        fresh.select("id", c("embedding").alias("vec")), base.select("id", c("embedding").alias("vec")),
-        k=1, radius=threshold, **tuning,
-    )
+    asked = fresh.select("id", c("embedding").alias("vec"))
+    if index is not None:
+        return index.nearest(asked, k=1, radius=threshold, **tuning)
+    return nearest_within(asked, base.select("id", c("embedding").alias("vec")), k=1, radius=threshold, **tuning)
 
 
 def cluster_items(

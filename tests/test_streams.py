@@ -111,3 +111,58 @@ def test_append_log_and_stream_sink(spark, items, tmp_path):
     stream = files_in_time_order(spark, rows, "created_at", str(tmp_path / "in"), 2)
     tb.append_stream(stream, str(tmp_path / "s"), str(tmp_path / "s-cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "s")).count() == rows.count()
+
+
+def tried_one_by_one(events):
+    """(key, item) of the deliveries that are tried: a success starts the cooldown, a failure does not."""
+    out, ready = [], {}
+    for ts, item, key, wait, good in sorted(events):
+        if ts >= ready.get(key, -1):
+            out.append((key, item))
+            if good:
+                ready[key] = ts + max(wait, 1)
+    return sorted(out)
+
+
+def test_cooldown_starts_after_a_delivery(spark):
+    import random
+
+    from feedloom.operators.cooldown import cooldown_after_delivery
+
+    rng = random.Random(8)
+    events = [(rng.randint(0, 90_000), f"i{k:04d}", rng.choice("ab"), 600, rng.random() < 0.3) for k in range(900)]
+    events += [(50_000, f"s{k}", "c", 0, k % 3 == 2) for k in range(7)] + [(50_001, "t", "c", 0, True)] + [(k, f"n{k:05d}", "none", 60, False) for k in range(300)]
+    rows = spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), i, w, g) for s, i, k, w, g in events], "key string, ts timestamp, id string, cooldown_seconds long, delivered boolean")
+    got = sorted((r["key"], r["id"]) for r in cooldown_after_delivery(rows).collect())
+    want = tried_one_by_one(events)
+    assert got == want and 350 < len(want) < len(events)
+
+
+def delivery_inputs(spark, path, matches, results):
+    """Streams of items (all of one rule) and of results, one file for each list."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    item = "id string, title string, content string, tags array<string>, significance string, created_at timestamp"
+    for part in matches:
+        spark.createDataFrame([(i, "alpha", "", [], "minor", at(s)) for i, s in part], item).coalesce(1).write.mode("append").parquet(f"{path}/items")
+    result = "rule_id string, item_id string, delivered boolean, ts timestamp"
+    for part in results:
+        spark.createDataFrame([("r", i, g, at(s)) for i, g, s in part], result).coalesce(1).write.mode("append").parquet(f"{path}/results")
+    rules = spark.createDataFrame([("r", True, ["alpha"], [], 1)], "id string, is_active boolean, keywords array<string>, significance_trigger array<string>, cooldown_minutes int")
+    read = spark.readStream.option("maxFilesPerTrigger", 1)
+    return read.schema(item).parquet(f"{path}/items"), rules, read.schema(result).parquet(f"{path}/results")
+
+
+def test_deliveries_wait_for_results_that_come_later(spark, tmp_path):
+    # a fails, b is tried at once and succeeds, c is inside the cooldown, d is behind it
+    matches = [[("a", 0), ("b", 10)], [("c", 30), ("d", 80)], [("e", 85)]]
+    results = [[("x", True, 0)], [("a", False, 5)], [("b", True, 12), ("d", True, 81)]]
+    out = st.drain(st.delivery_stream(*delivery_inputs(spark, tmp_path, matches, results), patience=1e6), path=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"))
+    assert sorted(r["item_id"] for r in out.collect()) == ["a", "b", "d"]
+
+
+def test_an_alert_without_a_result_is_given_up(spark, tmp_path):
+    matches = [[("a", 0), ("b", 10)], [("far", 5000)], [("further", 9000)], [("end", 20000)]]
+    results = [[("x", True, k * 4000)] for k in range(4)]
+    out = st.drain(st.delivery_stream(*delivery_inputs(spark, tmp_path, matches, results), patience=60), path=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"))
+    assert {"a", "b", "far"} <= {r["item_id"] for r in out.collect()}

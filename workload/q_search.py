@@ -10,6 +10,7 @@ from feedloom.operators import filters as fl
 from feedloom.operators import rank as rk
 from feedloom.operators import text_match as tm
 from feedloom.operators.text_index import TextIndex
+from feedloom.operators.vector_index import VectorIndex
 from feedloom.plans import search as se
 from feedloom.plans import similar as sm
 from feedloom.session import ensure_checkpoint_dir
@@ -341,6 +342,16 @@ def _(t: Tables):
     return sm.similar_by_vector(t.items(vectors=True), vec=query_vector(t), radius=0.8).select("id", "similarity")
 
 
+def vector_index(t: Tables) -> VectorIndex:
+    """The vectors of the processed items, stored in three appends."""
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/vector-index-{uuid.uuid4().hex}"
+    vectors = t.items(vectors=True).where(fl.processed()).select("id", c("embedding").alias("vec"))
+    index = VectorIndex(t.spark, path, tops=8, leaves=16).create(vectors)
+    for k in range(3):
+        index.append(vectors.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k), k)
+    return index
+
+
 @query(
     "watchlist_matches", "Q07 J06",
     sql("vitems watchlists", """SELECT watchlist_id, id, round(1 - d, 6) AS match_score, rn FROM (SELECT w.id AS watchlist_id, i.id,
@@ -363,6 +374,17 @@ def _(t: Tables):
     return sm.watchlist_matches(t.items(vectors=True), t.watchlists(), pivots=16, block_rows=256)
 
 
+@query(
+    "watchlist_matches_indexed", "Q07 J06",
+    sql("vitems watchlists", """SELECT watchlist_id, id, round(1 - d, 6) AS match_score, rn FROM (SELECT w.id AS watchlist_id, i.id,
+        round(1 - list_cosine_similarity(i.embedding, w.concept_embedding), 6) + 0 AS d, w.similarity_threshold AS thr,
+        row_number() OVER (PARTITION BY w.id ORDER BY round(1 - list_cosine_similarity(i.embedding, w.concept_embedding), 6), i.id) AS rn
+      FROM vitems i JOIN watchlists w ON w.is_active WHERE i.status = 'processed' AND i.embedding IS NOT NULL) WHERE d <= 1 - thr AND rn <= 20"""),
+)
+def _(t: Tables):
+    return sm.watchlist_matches(t.items(vectors=True), t.watchlists(), index=vector_index(t))
+
+
 NN = f"""pairs AS (SELECT u.id, n.id AS nid, round(1 - list_cosine_similarity(u.embedding, n.embedding), 6) + 0 AS d FROM vitems u JOIN vitems n ON n.id <> u.id
   WHERE u.status = 'processed' AND u.cluster_id IS NULL AND u.created_at >= {AS_OF} - INTERVAL {{days}} DAY AND n.status = 'processed'),
 near AS MATERIALIZED (SELECT id, nid, d FROM pairs WHERE d < {{thr}} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, nid) = 1)"""
@@ -384,6 +406,14 @@ def _(t: Tables):
     return sm.nearest_neighbours(t.items(vectors=True), as_of=as_of(), threshold=0.7, days=30, pivots=16, block_rows=256).select("query_id", "id", "distance")
 
 
+@query(
+    "nearest_neighbours_indexed", "J07",
+    sql("vitems", "SELECT id AS query_id, nid AS id, d AS distance FROM near", NN.format(days=30, thr=0.7)),
+)
+def _(t: Tables):
+    return sm.nearest_neighbours(t.items(vectors=True), as_of=as_of(), threshold=0.7, days=30, index=vector_index(t)).select("query_id", "id", "distance")
+
+
 @query(
     "cluster_items", "B09 J07",
     sql("vitems", """SELECT id, cluster_id FROM (SELECT w.id, coalesce(e.have, e.label) AS cluster_id FROM walked w JOIN ends e ON e.fin = w.fin
