@@ -13,9 +13,11 @@ from feedloom.functions import text as tx
 from feedloom.operators import filters as fl
 from feedloom.operators import joins as jn
 from feedloom.operators.cooldown import cooldown_after_delivery, greedy_cooldown
+from feedloom.operators.keyword_join import contained_keywords
 
 c = F.col
 DEFAULT_COOLDOWN_MINUTES = 60
+MOST_KEYWORDS = 50_000  # that one automaton may hold
 
 
 def cooldown_seconds() -> Column:
@@ -48,26 +50,34 @@ def keyword_finder(words: list[str]):
 
 
 def active_keywords(rules: DataFrame) -> list[str]:
-    """The distinct keywords of the active rules. Rules are settings that people write; their words, not the items, are
-    what every task gets, at about a hundred bytes each."""
-    return sorted(r[0] for r in _keywords(rules).select("keyword").distinct().collect())
+    """The distinct keywords of the active rules, where there are few: every task gets them, at about a hundred bytes each."""
+    found = sorted(r[0] for r in _keywords(rules).select("keyword").distinct().limit(MOST_KEYWORDS + 1).collect())
+    if len(found) > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords: match micro-batches with match_rules, which joins them")
+    return found
 
 
-def keyword_hits(items: DataFrame, rules: DataFrame, *, keep: list[str]) -> DataFrame:
+def keyword_hits(items: DataFrame, rules: DataFrame, *, keep: list[str], most: int = MOST_KEYWORDS) -> DataFrame:
     """(keep..., keyword): keywords of any active rule found in the item's text, case-insensitively, as substrings.
 
-    One pass over the texts for any number of keywords.
+    Up to ``most`` distinct keywords are one automaton, which passes over each text once; more of them are joined with the
+    texts' grams (``keyword_join``), so that no task holds them all. Both give the same rows.
     """
-    words = active_keywords(rules)
+    distinct = _keywords(rules).select("keyword").distinct()
     rows = items.select(*keep, F.lower(fl.alert_haystack()).alias("_text"))
+    if distinct.limit(most + 1).count() > most:
+        name = F.struct(*keep).alias("_keep")
+        found = contained_keywords(rows.select(name, c("_text").alias("text")), distinct, key="_keep")
+        return found.select("_keep.*", "keyword")
+    words = sorted(r[0] for r in distinct.collect())
     if not words:
         return rows.where(F.lit(False)).select(*keep, F.lit("").alias("keyword"))
     return rows.select(*keep, F.explode(keyword_finder(words)(c("_text"))).alias("keyword"))
 
 
-def match_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(items: DataFrame, rules: DataFrame, *, most_keywords: int = MOST_KEYWORDS) -> DataFrame:
     """(rule_id, item_id, keyword, by_significance): every match of every active rule; keyword is the rule's first hit."""
-    hits = keyword_hits(items, rules, keep=["id"])
+    hits = keyword_hits(items, rules, keep=["id"], most=most_keywords)
     worded = hits.join(_keywords(rules), "keyword").groupBy("rule_id", c("id").alias("item_id")).agg(
         F.min_by("keyword", "place").alias("keyword")
     )

@@ -73,6 +73,15 @@ def _(t: Tables):
     return al.fired_alerts(t.items(), t.alert_rules().withColumn("cooldown_minutes", F.lit(0))).select("rule_id", "item_id", ts("ts"))
 
 
+@query("alert_matches_distributed", "J17 F30", sql("items alert_rules", "SELECT rule_id, item_id, keyword, by_significance FROM hit", MATCH))
+def _(t: Tables):
+    """More than 100,000 keywords, joined; those of the rules occur, the others do not."""
+    rules = t.alert_rules()
+    each = rules.agg((F.floor(F.lit(100_000) / F.count(F.lit(1))) + 1).cast("int")).scalar()
+    more = F.transform(F.sequence(F.lit(1), "each"), lambda k: F.concat(F.lit("zq#"), "id", F.lit("#"), k))
+    return al.match_rules(t.items(), rules.withColumn("each", each).withColumn("keywords", F.concat("keywords", more)).drop("each"), most_keywords=0)
+
+
 AFTER = """, ev AS MATERIALIZED (SELECT rule_id, item_id, created_at AS t, CAST(epoch(created_at) AS BIGINT) AS s, CAST(substr(item_id, 2) AS INT) % 3 = 0 AS ok,
   CASE WHEN coalesce(cooldown_minutes, 0) = 0 THEN 60 ELSE cooldown_minutes END * 60 AS cd FROM hit),
 good AS MATERIALIZED (SELECT rule_id, s, min({'t': t, 'i': item_id}) AS f, max(cd) AS cd FROM ev WHERE ok GROUP BY 1, 2),
