@@ -8,7 +8,7 @@ from feedloom import vocab
 from feedloom.functions import scores as sc
 from feedloom.functions import text as tx
 from feedloom.operators import filters as fl
-from feedloom.operators.skew import exact_median
+from feedloom.operators.order_stats import exact_quantiles
 
 c = F.col
 HOUR_US = 3_600_000_000
@@ -18,8 +18,19 @@ def _age(ts: Column, as_of: Column, unit_us: int) -> Column:
     return (F.unix_micros(as_of) - F.unix_micros(ts)) / F.lit(float(unit_us))
 
 
+def queue_ages(items: DataFrame, as_of: Column, quantiles: list[float]) -> list[float | None]:
+    """Quantiles of the seconds that items under way have waited."""
+    return exact_quantiles(items.where(c("status").isin(*vocab.IN_FLIGHT)), _age(c("created_at"), as_of, 1_000_000), quantiles)
+
+
+def sla_percentiles(items: DataFrame, *, as_of: Column, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(quantile, queue_age_seconds), all from the same passes."""
+    values = queue_ages(items, as_of, list(quantiles))
+    return items.sparkSession.createDataFrame(list(zip(map(float, quantiles), values)), "quantile double, queue_age_seconds double")
+
+
 def sla(items: DataFrame, sources: DataFrame, *, as_of: Column) -> DataFrame:
-    """Freshness and source health in one row: one pass over each table, and one for the median queue age."""
+    """Freshness and source health in one row: one pass over each table, and a few for the exact median queue age."""
     made, done = c("created_at"), fl.processed()
     a = items.agg(
         sc.stable(_age(F.max(F.when(done, made)), as_of, HOUR_US)).alias("newest_item_age_hours"),
@@ -27,8 +38,7 @@ def sla(items: DataFrame, sources: DataFrame, *, as_of: Column) -> DataFrame:
         F.count_if(done & fl.recent(as_of, 7, made)).alias("items_last_7d"),
         F.count_if((c("status") == "failed") & fl.recent(as_of, 1, made)).alias("failed_items_last_24h"),
     )
-    lag = exact_median(items.where(c("status").isin(*vocab.IN_FLIGHT)), _age(made, as_of, 1_000_000), 3600.0)
-    a = a.withColumn("queue_age_seconds", lag.scalar())
+    a = a.withColumn("queue_age_seconds", F.lit(queue_ages(items, as_of, [0.5])[0]).cast("double"))
     h = sources.agg(
         F.count_if(c("is_active") & (c("consecutive_errors") == 0)).alias("healthy"),
         F.count_if(c("consecutive_errors") >= 3).alias("degraded"), F.count_if(~c("is_active")).alias("dead"),

@@ -14,6 +14,15 @@ from workload.registry import query
 c = F.col
 
 
+@query(
+    "sla_percentiles", "Q20 A14",
+    sql("items", f"""SELECT q AS quantile, round(v, 6) AS queue_age_seconds FROM (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS q,
+      unnest(quantile_cont(({AS_OF_US} - epoch_us(created_at))::DOUBLE / 1000000, [0.5, 0.95, 0.99]) FILTER (status IN ('raw','embedded','queued','processing'))) AS v FROM items)"""),
+)
+def _(t: Tables):
+    return rp.sla_percentiles(t.items(), as_of=as_of()).select("quantile", F.round("queue_age_seconds", 6).alias("queue_age_seconds"))
+
+
 @query(
     "sla", "Q20 A14",
     sql("items sources", f"""SELECT * FROM (SELECT round(({AS_OF_US} - epoch_us(max(created_at) FILTER (status = 'processed')))::DOUBLE / 3600000000, 6) AS newest_item_age_hours,
