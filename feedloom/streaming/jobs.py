@@ -240,31 +240,72 @@ def rule_hits(items: DataFrame, rules: DataFrame) -> DataFrame:
 
 def _repo_state(milestones: list[int], threshold: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        had = state.exists
-        stars, commits, described, text = state.get if had else (0, 0, "", "")
-        out = []
+        last = (None, *state.get) if state.exists else None
         rows = pd.concat(list(batches)).sort_values("ts")
-        for ts, s, n, d, f in zip(rows["ts"], rows["stars"], rows["commits"], rows["description_hash"], rows["file_hash"]):
-            out += [(key[0], ts, "star_milestone", str(m)) for m in milestones if stars < m <= s]
-            if n > threshold and n > commits * 2:
-                out.append((key[0], ts, "commit_burst", str(int(n))))
-            if had and d != described:
-                out.append((key[0], ts, "description_changed", d))
-            if had and f != text:
-                out.append((key[0], ts, "file_changed", f))
-            stars, commits, described, text, had = int(s), int(n), d, f, True
-        state.update((stars, commits, described, text))
+        polls = list(zip(rows["ts"], rows["stars"], rows["commits"], rows["description_hash"], rows["file_hash"]))
+        out = _events(key[0], polls, last, milestones, threshold)
+        _, s, n, d, f = polls[-1]
+        state.update((int(s), int(n), d, f))
         if out:
             yield pd.DataFrame(out, columns=["repo", "ts", "event", "detail"])
 
     return run
 
 
-def repo_event_stream(snapshots: DataFrame, *, milestones=vocab.STAR_MILESTONES, threshold: int = 20) -> DataFrame:
+def _events(key: str, rows: list[tuple], last: tuple | None, milestones: list[int], threshold: int) -> list[tuple]:
+    """Events of snapshots (ts, stars, commits, description, file) in order of time after the snapshot ``last``."""
+    out = []
+    for ts, s, n, d, f in rows:
+        stars, commits = (last[1], last[2]) if last else (0, 0)
+        out += [(key, ts, "star_milestone", str(m)) for m in milestones if stars < m <= s]
+        if n > threshold and n > commits * 2:
+            out.append((key, ts, "commit_burst", str(int(n))))
+        if last and d != last[3]:
+            out.append((key, ts, "description_changed", d))
+        if last and f != last[4]:
+            out.append((key, ts, "file_changed", f))
+        last = (ts, s, n, d, f)
+    return out
+
+
+def _buffered_repo_state(milestones: list[int], threshold: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = state.get if state.exists else (None, [])
+        last, held = tuple(last) if last else None, [tuple(h) for h in held]
+        for pdf in batches if not state.hasTimedOut else ():
+            held += [(int(t), int(s), int(n), d, f) for t, s, n, d, f in zip(pdf["ts_us"], pdf["stars"], pdf["commits"], pdf["description_hash"], pdf["file_hash"])]
+        mark = state.getCurrentWatermarkMs() * 1000
+        # what the watermark has passed is complete; a snapshot that is older than one released before comes too late
+        due = sorted(h for h in held if h[0] <= mark and (last is None or h[0] > last[0]))
+        held = [h for h in held if h[0] > mark]
+        out = _events(key[0], due, last, milestones, threshold)
+        state.update((due[-1] if due else last, held))
+        if held:
+            state.setTimeoutTimestamp(max(min(h[0] for h in held) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            frame = pd.DataFrame(out, columns=["repo", "ts", "event", "detail"])
+            yield frame.assign(ts=pd.to_datetime(frame["ts"], unit="us"))
+
+    return run
+
+
+def repo_event_stream(snapshots: DataFrame, *, milestones=vocab.STAR_MILESTONES, threshold: int = 20, delay: str | None = None) -> DataFrame:
     """(repo, ts, event, detail) with the last snapshot of each repository as state.
 
-    A batch holds one poll per repository, so the rows of one key in one batch are few.
+    A batch holds one poll per repository, so the rows of one key in one batch are few. With ``delay`` snapshots may come
+    out of order by as much: they wait in the state until the watermark has passed them, and are then taken in order of
+    time (an event-time timer releases the last ones). Without it they are taken in the order of the batches.
     """
+    if delay is not None:
+        s = snapshots.withWatermark("ts", delay).select(
+            "repo", "ts", F.unix_micros("ts").alias("ts_us"), "stars", "commits", tx.short_hash(c("description")).alias("description_hash"),
+            F.substring(F.sha2("file_text", 256), 1, 8).alias("file_hash"),
+        )
+        row = "struct<ts:long,stars:long,commits:long,description:string,file:string>"
+        return s.groupBy("repo").applyInPandasWithState(
+            _buffered_repo_state(list(milestones), threshold), "repo string, ts timestamp, event string, detail string",
+            f"last {row}, held array<{row}>", "append", GroupStateTimeout.EventTimeTimeout,
+        )
     s = snapshots.select(
         "repo", "ts", "stars", "commits", tx.short_hash(c("description")).alias("description_hash"),
         F.substring(F.sha2("file_text", 256), 1, 8).alias("file_hash"),
@@ -275,21 +316,39 @@ def repo_event_stream(snapshots: DataFrame, *, milestones=vocab.STAR_MILESTONES,
     )
 
 
-def silence_stream(heartbeats: DataFrame, *, hours: float = 4.0) -> DataFrame:
-    """(source_id, last_seen): a source whose watermark moved ``hours`` past its last heartbeat (source_id, ts)."""
+def silence_stream(heartbeats: DataFrame, *, hours: float = 4.0, delay: str = "0 seconds") -> DataFrame:
+    """(source_id, last_seen): each silence of more than ``hours`` after a heartbeat (source_id, ts), once: as soon as the
+    watermark has moved that far past it, or when the next heartbeat tells of it."""
+    gap = int(hours * 3_600_000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = state.get if state.exists else (None, False)
+        out = []
         if state.hasTimedOut:
-            last = pd.Timestamp(state.get[0], unit="ms")
-            state.remove()
-            yield pd.DataFrame({"source_id": [key[0]], "last_seen": [last]})
-            return
-        newest = max(int(pdf["ts_ms"].max()) for pdf in batches)
-        newest = max(newest, state.get[0] if state.exists else 0)
-        state.update((newest,))
-        state.setTimeoutTimestamp(max(newest + int(hours * 3_600_000), state.getCurrentWatermarkMs() + 1))
-
-    h = heartbeats.withWatermark("ts", "0 seconds").select("source_id", "ts", F.unix_millis("ts").alias("ts_ms"))
+            out, told = [last], True
+        else:
+            for ms in sorted({int(x) for pdf in batches for x in pdf["ts_ms"]}):
+                if last is not None and ms <= last:
+                    continue
+                if last is not None and ms - last > gap and not told:
+                    out.append(last)
+                last, told = ms, False
+        state.update((last, told))
+        if not told:
+            state.setTimeoutTimestamp(max(last + gap + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame({"source_id": [key[0]] * len(out), "last_seen": pd.to_datetime(out, unit="ms")})
+
+    h = heartbeats.withWatermark("ts", delay).select("source_id", "ts", F.unix_millis("ts").alias("ts_ms"))
     return h.groupBy("source_id").applyInPandasWithState(
-        run, "source_id string, last_seen timestamp", "ms long", "append", GroupStateTimeout.EventTimeTimeout
+        run, "source_id string, last_seen timestamp", "ms long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def sessions(events: DataFrame, *, keys: list[str], gap: str, ts: str = "ts", delay: str | None = None) -> DataFrame:
+    """(keys, session_start, session_end, events): runs of events of a key no further apart than ``gap``; the end is the
+    last event's time plus the gap. Batch and stream: with ``delay`` rows that come later than the watermark are left out,
+    and a session appears once the watermark has passed its end."""
+    rows = events if delay is None else events.withWatermark(ts, delay)
+    g = rows.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    return g.select(*keys, c("w.start").alias("session_start"), c("w.end").alias("session_end"), "events")

@@ -21,6 +21,24 @@ from workload.registry import query
 c = F.col
 LOW = "lower(title || ' ' || content || ' ' || array_to_string(tags, ' '))"
 
+def in_time_order(t: Tables, rows, at, n: int, *more):
+    """The rows as a stream of files that follow each other by ``at`` (and are then without a column ``_at``), then ``more``."""
+    path = st.scratch(t.spark, "ordered")
+    ends = rows.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    cuts = [ends["a"] + (ends["b"] - ends["a"]) * k / n for k in range(n + 1)]
+    parts = [rows.where((at >= a) & ((at < b) if k < n - 1 else F.lit(True))).drop("_at") for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    for part in (*parts, *more):
+        part.coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def in_files(t: Tables, rows, n: int = 4):
+    """The rows as a stream of ``n`` micro-batches."""
+    path = st.scratch(t.spark, "input")
+    rows.repartition(n).write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 MATCH = f"""low AS MATERIALIZED (SELECT id, created_at, significance, {LOW} AS low FROM items),
 m AS MATERIALIZED (SELECT r.id AS rule_id, i.id AS item_id, i.created_at, r.cooldown_minutes, list_filter(r.keywords, lambda k: contains(i.low, k))[1] AS keyword,
   coalesce(list_contains(r.significance_trigger, i.significance), false) AS by_significance FROM (SELECT * FROM alert_rules WHERE is_active) r CROSS JOIN low i),
@@ -220,6 +238,25 @@ def _(t: Tables):
     return out.groupBy("repo", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "repo_event_stream_shuffled", "E01 E02 E03 E04 T09",
+    sql("repo_snapshots", f"""SELECT repo, event, count(*) AS n FROM (
+      SELECT repo, 'star_milestone' AS event FROM (SELECT repo, stars, coalesce({LAG.format('stars')}, 0) AS prev FROM repo_snapshots), (SELECT unnest([100,500,1000,5000,10000]) AS m) WHERE prev < m AND m <= stars
+      UNION ALL SELECT repo, 'commit_burst' FROM (SELECT repo, commits, coalesce({LAG.format('commits')}, 0) AS prev FROM repo_snapshots) WHERE commits > 20 AND commits > 2 * prev
+      UNION ALL SELECT repo, 'description_changed' FROM (SELECT repo, description AS d, {LAG.format('description')} AS prev FROM repo_snapshots) WHERE prev IS NOT NULL AND d <> prev
+      UNION ALL SELECT repo, 'file_changed' FROM (SELECT repo, file_text AS d, {LAG.format('file_text')} AS prev FROM repo_snapshots) WHERE prev IS NOT NULL AND d <> prev) GROUP BY 1, 2"""),
+)
+def _(t: Tables):
+    """Snapshots arrive up to three days out of order, over several micro-batches; a last poll far ahead closes the stream."""
+    snaps = t.repo_snapshots()
+    late = snaps.withColumn("_at", F.unix_seconds("ts") + F.pmod(F.xxhash64("repo", "ts"), F.lit(3 * 86400)))
+    end = snaps.limit(1).withColumn("repo", F.lit("~end")).withColumn("ts", c("ts") + F.expr("INTERVAL 9000 DAYS")).withColumns({"stars": F.lit(0).cast("long"), "commits": F.lit(0).cast("long")})
+    src = in_time_order(t, late, c("_at"), 3, end.select(*snaps.columns))
+    s = st.repo_event_stream(src, delay="4 days")
+    out = st.drain(s, path=st.scratch(t.spark, "repo"), checkpoint=st.scratch(t.spark, "repo-cp"))
+    return out.groupBy("repo", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "silence_gaps", "T06",
     f"""SELECT {ts_text('prev')} AS silent_from, {ts_text('s')} AS silent_to, round(epoch(s - prev) / 3600, 4) AS hours FROM
@@ -229,6 +266,41 @@ def _(t: Tables):
     return re_.silence_gaps(t.raw("events"), hours=0.4).select(ts("silent_from"), ts("silent_to"), "hours")
 
 
+@query(
+    "silence_stream", "T06",
+    f"""SELECT CAST(user_id AS VARCHAR) AS source_id, {ts_text('prev')} AS last_seen FROM (SELECT user_id, s AS prev, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS nxt, max(s) OVER () AS top
+      FROM (SELECT DISTINCT user_id, date_trunc('milliseconds', ts) AS s FROM events)) WHERE epoch_ms(coalesce(nxt, top)) - epoch_ms(prev) > 86400000""",
+)
+def _(t: Tables):
+    """Silences of more than a day, source by source, over micro-batches that follow each other in time."""
+    beats = t.raw("events").select(c("user_id").cast("string").alias("source_id"), "ts")
+    s = st.silence_stream(in_time_order(t, beats, F.unix_millis("ts"), 4), hours=24)
+    out = st.drain(s, path=st.scratch(t.spark, "silence"), checkpoint=st.scratch(t.spark, "silence-cp"))
+    return out.select("source_id", ts("last_seen"))
+
+
+SESSIONS = f"""SELECT user_id, {ts_text('min(ts)')} AS session_start, {ts_text("max(ts) + INTERVAL 6 HOUR")} AS session_end, count(*) AS events FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM (
+    SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, n"""
+
+
+@query("event_sessions", "T09", SESSIONS)
+def _(t: Tables):
+    out = st.sessions(t.raw("events"), keys=["user_id"], gap="6 hours")
+    return out.select("user_id", ts("session_start"), ts("session_end"), "events")
+
+
+@query("event_sessions_stream", "T09", SESSIONS)
+def _(t: Tables):
+    """The same sessions from micro-batches whose rows come up to two hours out of order; an event far ahead closes the last ones."""
+    e = t.raw("events").select("user_id", "ts")
+    late = e.withColumn("_at", F.unix_seconds("ts") + F.pmod(F.xxhash64("user_id", "ts"), F.lit(7200)))
+    end = e.limit(1).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), (c("ts") + F.expr("INTERVAL 9000 DAYS")).alias("ts"))
+    s = st.sessions(in_time_order(t, late, c("_at"), 4, end), keys=["user_id"], gap="6 hours", delay="3 hours")
+    out = st.drain(s, path=st.scratch(t.spark, "sessions"), checkpoint=st.scratch(t.spark, "sessions-cp"))
+    return out.where("user_id >= 0").select("user_id", ts("session_start"), ts("session_end"), "events")
+
+
 @query(
     "silence_by_source", "T06",
     f"""SELECT user_id, {ts_text('prev')} AS silent_from, round(epoch(s - prev) / 3600, 4) AS hours FROM
@@ -266,13 +338,6 @@ def _(t: Tables):
     return t.spark.read.parquet(path).select("id")
 
 
-def in_files(t: Tables, rows, n: int = 4):
-    """The rows as a stream of ``n`` micro-batches."""
-    path = st.scratch(t.spark, "input")
-    rows.repartition(n).write.parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query(
     "stream_history_bucketed", "T02 J09",
     sql("items", "SELECT DISTINCT sha256(regexp_replace(split_part(url, '#', 1), '/+$', '')) AS key FROM items"),
