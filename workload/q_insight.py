@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedloom.plans import feed as fd
 from feedloom.plans import insight as ins
 from feedloom.plans import signals as sg
 from feedloom.plans import threads as th
+from feedloom.session import ensure_checkpoint_dir
+from feedloom.sources.snapshots import KeyedTable
 from workload.adapter import Tables, as_of
 from workload.oracle import AS_OF, EVENT_TS, SIG, half_up, sql, ts_text
 from workload.q_feed import CAND, INTEREST, PROFILE
@@ -270,6 +274,20 @@ def _(t: Tables):
     return t.signals().select("item_id", "api_key_id", "action", ts("created_at"))
 
 
+@query("signal_merge", "W10 B21 S27", sql("signals", f"SELECT item_id, api_key_id, action, {ts_text('created_at')} AS created_at FROM signals"))
+def _(t: Tables):
+    """The signals as a stored table, merged in three parts of the log."""
+    table = KeyedTable(t.spark, f"{ensure_checkpoint_dir(t.spark)}/signals-{uuid.uuid4().hex}", ("item_id", "api_key_id"), buckets=8)
+    log = t.signal_log()
+    edges = log.agg(F.min(F.unix_micros("created_at")).alias("a"), F.max(F.unix_micros("created_at")).alias("b")).first()
+    span = (edges["b"] - edges["a"]) // 3 + 1
+    rows = log.withColumn("part", F.floor((F.unix_micros("created_at") - edges["a"]) / span))
+    for k in range(3):
+        table.merge(sg.upsert_signals(rows.where(c("part") == k)), k)
+    schema = sg.upsert_signals(log).schema
+    return table.read(schema).select("item_id", "api_key_id", "action", ts("created_at"))
+
+
 @query("signal_counts", "A10", sql("signal_counts", "SELECT * FROM signal_counts"))
 def _(t: Tables):
     return sg.signal_counts(t.signals())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedloom.functions import scores as sc
@@ -15,6 +17,8 @@ from feedloom.plans import graduation as gr
 from feedloom.plans import library as li
 from feedloom.plans import source_jobs as sj
 from feedloom.plans import stages as st
+from feedloom.session import ensure_checkpoint_dir
+from feedloom.sources.snapshots import KeyedTable
 from workload.adapter import Tables, as_of
 from workload.oracle import AS_OF, AS_OF_US, EVENT_TS, SIG, age_days, decay, half_up, sql, ts_text
 from workload.q_functions import AUTH, FRESH, HEURISTIC, NOISE, RAW_TYPES, SIGNALS, TYPE_SQL, label_payload
@@ -481,6 +485,26 @@ def _(t: Tables):
     return out.where(c("id").startswith("syn-")).select("slug", "version", "body")
 
 
+@query(
+    "library_merge", "S27 W11",
+    """WITH v AS (SELECT 'e' || user_id AS slug, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events)
+    SELECT slug, event_id, version, back = 1 AS is_current FROM v WHERE version % 5 <> 0 OR back = 1""",
+)
+def _(t: Tables):
+    """The versions of all entries as a stored table: a first load of the older half, a merge of the newer half with the
+    older rows it changes, and a merge that takes every fifth version away unless it is current."""
+    log = t.raw("events").select(F.concat(F.lit("e"), "user_id").alias("slug"), "event_id", "ts")
+    mid = log.agg(F.expr("timestamp_micros(cast((min(unix_micros(ts)) + max(unix_micros(ts))) / 2 AS long))").alias("m")).first()["m"]
+    table = KeyedTable(t.spark, f"{ensure_checkpoint_dir(t.spark)}/library-{uuid.uuid4().hex}", ("slug", "event_id"), buckets=8)
+    cols = ["slug", "event_id", "version", "is_current"]
+    old = gr.number_versions(log.where(c("ts") < F.lit(mid)), order=["ts", "event_id"]).select(*cols)
+    table.merge(old, 0)
+    new = gr.number_versions(log, order=["ts", "event_id"]).select(*cols)
+    table.merge(new.join(table.read(old.schema), cols, "left_anti"), 1)
+    table.merge(table.read(old.schema).where("version % 5 = 0 AND NOT is_current").withColumn("gone", F.lit(True)), 2, deleted="gone")
+    return table.read(old.schema)
+
+
 @query(
     "library_versions", "W11",
     """SELECT 'e' || user_id AS slug, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version,
