@@ -13,6 +13,7 @@ from feedloom.operators import joins as jn
 from feedloom.operators import skew as sk
 from feedloom.plans import briefing as br
 from feedloom.plans import dedup as dd
+from feedloom.plans import overlap as ov
 from feedloom.plans import graduation as gr
 from feedloom.plans import library as li
 from feedloom.plans import source_jobs as sj
@@ -123,6 +124,32 @@ def _(t: Tables):
     return jn.unseen_by_url(p, none).select("page_id")
 
 
+GRAMS = """b AS MATERIALIZED (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS t FROM benchmark),
+d AS MATERIALIZED (SELECT min(doc_id) AS doc_id, regexp_extract_all(lower(coalesce(any_value(text), '')), '[\\p{L}\\p{N}]+') AS t FROM documents GROUP BY sha256(text)),
+bg AS MATERIALIZED (SELECT item_id, i, array_to_string(list_slice(t, i + 1, i + 8), ' ') AS g FROM (SELECT item_id, t, unnest(range(len(t) - 7)) AS i FROM b WHERE len(t) >= 8)),
+dg AS MATERIALIZED (SELECT doc_id, j, g FROM (SELECT doc_id, j, array_to_string(list_slice(t, j + 1, j + 8), ' ') AS g FROM (SELECT doc_id, t, unnest(range(len(t) - 7)) AS j FROM d WHERE len(t) >= 8)) WHERE g IN (SELECT g FROM bg))"""
+
+
+@query(
+    "eval_passage_overlap", "J23",
+    f"""WITH {GRAMS}, h AS (SELECT item_id, i, least(8, coalesce(i - lag(i) OVER (PARTITION BY item_id ORDER BY i), 8)) AS new FROM bg WHERE g IN (SELECT g FROM dg))
+    SELECT b.item_id, len(b.t) AS words, greatest(len(b.t) - 7, 0) AS grams, count(h.i) AS hits, coalesce(sum(new), 0)::BIGINT AS covered,
+      CASE WHEN len(b.t) > 0 THEN round(coalesce(sum(new), 0)::DOUBLE / len(b.t), 6) ELSE 0 END AS coverage FROM b LEFT JOIN h ON h.item_id = b.item_id GROUP BY b.item_id, b.t""",
+)
+def _(t: Tables):
+    return ov.passage_coverage(t.raw("benchmark"), t.raw("documents"))
+
+
+@query(
+    "eval_passage_runs", "J23",
+    f"""WITH {GRAMS}, p AS (SELECT DISTINCT item_id, doc_id, i, j FROM bg JOIN dg USING (g)),
+    r AS (SELECT *, i - row_number() OVER (PARTITION BY item_id, doc_id, j - i ORDER BY i) AS s FROM p)
+    SELECT item_id, doc_id, min(i) AS item_from, min(j) AS doc_from, count(*) + 7 AS words FROM r GROUP BY item_id, doc_id, j - i, s HAVING count(*) + 7 >= 12""",
+)
+def _(t: Tables):
+    return ov.passage_runs(t.raw("benchmark"), t.raw("documents"), least=12)
+
+
 @query(
     "eval_overlap", "J23",
     sql("items", f"SELECT id FROM items WHERE external_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) AND {UH} IN (SELECT {UH} FROM items WHERE external_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels))"),
