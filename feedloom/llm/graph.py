@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stored
+from feedloom.llm.common import released, stored
 
 SALTS = 16
 
@@ -28,8 +28,9 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         low = pairs.groupBy("c").agg(F.min("p").alias("m"))
-        hooked = pairs.join(low, "c").select(F.explode(F.array(F.struct("c", F.col("m").alias("p")), F.struct(F.col("p").alias("c"), F.col("m").alias("p")))).alias("x"))
-        pairs = stored(hooked.select("x.c", "x.p").where("c <> p").distinct(), "stars")
+        # every parent and the node itself point at the smallest parent
+        hooked = pairs.join(low, "c").where("p <> m").select(F.col("p").alias("c"), F.col("m").alias("p")).distinct()
+        pairs = stored(hooked.unionByName(low.select("c", F.col("m").alias("p"))).distinct(), "stars")
         # parents that have a parent themselves: few, and fewer each round
         up = pairs.groupBy("c").agg(F.min("p").alias("m")).join(pairs.select(F.col("p").alias("c")).distinct(), "c", "left_semi")
         up = up.select(F.col("c").alias("p"), "m", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("s"))
@@ -70,7 +71,7 @@ def by_group(rows: DataFrame, work: Callable[[pd.DataFrame, np.ndarray], pd.Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
-        for batch in batches:
+        for batch in released(batches):
             if not len(batch):
                 continue
             if kept and (batch["__g"].to_numpy() == kept[0]["__g"].iloc[-1]).all():

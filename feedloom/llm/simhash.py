@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stored, table, text_bytes, with_columns
+from feedloom.llm.common import released, stored, table, text_bytes, with_columns
 from feedloom.llm.graph import blocked, by_group, components, forest, pairs_in
 
 BYTES, DISTANCE, WIDTH = 8, 3, 4
@@ -73,7 +73,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "__fp") -> DataFrame:
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in released(batches):
             yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
     return with_columns(docs, {name: hashed(F.col(text))})
@@ -206,7 +206,7 @@ def _near_pairs(frame: pd.DataFrame, starts: np.ndarray, most: int) -> Iterator[
 
 
 def _candidates(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-    """Links of all near pairs of the lists (a spanning forest, bits 255) and each row's nearest partner with its bits."""
+    """Links of all near pairs of the lists (a spanning forest, without bits) and each row's nearest partner with its bits."""
     node = frame["node"].to_numpy()
     best = np.full(len(node), 1 << 62)
     found_a, found_b = [node[:0]], [node[:0]]
@@ -219,7 +219,8 @@ def _candidates(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
     a, b = forest(np.concatenate(found_a), np.concatenate(found_b))
     has = np.flatnonzero(best < 1 << 62)
     bits = np.r_[np.full(len(a), 255), best[has] >> 40]
-    return pd.DataFrame({"a": np.r_[a, node[has]], "b": np.r_[b, node[best[has] & (1 << 40) - 1]], "bits": bits.astype(np.int16)})
+    link = np.r_[np.ones(len(a), bool), np.zeros(len(has), bool)]
+    return pd.DataFrame({"a": np.r_[a, node[has]], "b": np.r_[b, node[best[has] & (1 << 40) - 1]], "bits": bits.astype(np.int16), "link": link})
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -248,8 +249,8 @@ def _verified(similarity: float):
 
 
 def candidate_links(prints: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(a, b, bits): a spanning forest (bits 255) of the texts' pairs that share a posting list and differ in at most
-    ``TALLY`` of 128 bits, and nearest partners. In a list of more than ``block`` texts those near to its first one are
+    """(a, b, bits, link): pairs of texts that share a posting list and differ in at most ``TALLY`` of 128 bits. Those with
+    ``link`` connect all such pairs (a spanning forest of each list); the others are each text's nearest partner in a list. In a list of more than ``block`` texts those near to its first one are
     linked through that one; only the others are compared with all."""
     byte = [F.shiftrightunsigned(f"f{k // BYTES}", 8 * (k % BYTES)).bitwiseAND(F.lit(255)) for k in range(WIDE)]
     chosen = pairs_of_positions()
@@ -261,9 +262,10 @@ def candidate_links(prints: DataFrame, similarity: float, block: int) -> DataFra
     first = stored(held.groupBy("key").agg(F.min(F.struct("node", "f0", "f1")).alias("hub")), "hubs")
     starred = stored(held.join(first, "key").withColumn("bits", _bits("hub")).select("key", "node", "f0", "f1", F.col("hub.node").alias("hub"), "bits", (F.col("bits") <= TALLY).alias("major")), "starred")
     stars = starred.where("major and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("bits").cast("short"))
+    stars = stars.groupBy("a", "b").agg(F.min("bits").alias("bits")).withColumn("link", F.lit(True))
     light = posted.join(many, "key", "left_anti").withColumn("major", F.lit(False))
     dealt = _dealt(light.unionByName(starred.drop("hub", "bits")), _parts(starred, "key", block), "key", "node")
-    return by_group(dealt.drop("major"), _candidates, "a long, b long, bits short", ["node"]).unionByName(stars.groupBy("a", "b").agg(F.min("bits").alias("bits")))
+    return by_group(dealt.drop("major"), _candidates, "a long, b long, bits short, link boolean", ["node"]).unionByName(stars)
 
 
 def similar_texts(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8, block: int = BLOCK, nodes: int = NODES) -> DataFrame:
@@ -277,7 +279,7 @@ def similar_texts(docs: DataFrame, text: str = "text", width: int = 5, similarit
 
     @F.pandas_udf("array<long>")
     def printed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for t in batch:
                 found = shingle_set(t, width)
@@ -286,7 +288,7 @@ def similar_texts(docs: DataFrame, text: str = "text", width: int = 5, similarit
 
     @F.pandas_udf("binary")
     def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in released(batches):
             yield pd.Series([shingle_set(t, width).tobytes() for t in batch])
 
     @F.pandas_udf("boolean")
@@ -300,7 +302,7 @@ def similar_texts(docs: DataFrame, text: str = "text", width: int = 5, similarit
     prints = texts.select("node", printed("text").alias("f")).groupBy("node").agg(F.any_value("f").alias("f"))
     prints = stored(prints.select("node", *[F.col("f")[k].alias(f"f{k}") for k in range(4)], F.col("f")[4].alias("size")), "wide")
     near = stored(candidate_links(prints, similarity, block), "near")
-    found = components(near.select("a", "b"))
+    found = components(near.where("link").select("a", "b"))
     # a root is not listed: it is a member too
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     found = stored(found.join(prints.select("node", "f0", "f1"), "node"), "candidates")
