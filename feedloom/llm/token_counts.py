@@ -5,7 +5,7 @@ content (null as empty, outer spaces dropped, neither of which this tokenizer co
 made unique, only one document for each of them is encoded, and the new counts are appended. The tokenizer's version is
 the digest of its file, so a changed file never meets old counts.
 
-Edge cases: empty texts count zero tokens; repeated rows and copies share one encoding; an empty table appends nothing;
+Edge cases: null and empty texts count zero tokens; texts of any length are counted whole; rows with null ids are rows of their own; repeated rows and copies share one encoding; an empty table appends nothing;
 columns named like a result are replaced. Words are remembered inside a worker (bounded), which changes no count:
 white space ends every match of this tokenizer's pattern.
 """
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stored, table, with_columns
+from feedloom.llm.common import released, stored, table, with_columns
 from feedloom.llm.vocab import MEMO, json_tokenizer, vocabulary_path
 from feedloom.session import ensure_checkpoint_dir
 
@@ -44,7 +44,7 @@ def counter(path: str):
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = json_tokenizer(path).encode_batch_fast
         known = _KNOWN.setdefault(path, {})
-        for texts in batches:
+        for texts in released(batches):
             totals = []
             for start in range(0, len(texts), 200):
                 rows = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[start : start + 200]]
@@ -62,12 +62,14 @@ def counter(path: str):
 
 
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame | None:
-    """Counts stored for this version; None where the folder has no table yet."""
+    """Counts stored for this version, one row per digest also where a job that failed after its append, or two jobs at once,
+    have stored a digest twice (equal counts); None where the folder has no table yet."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return None
-    return spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("version") == version).select("digest", "n_tokens")
+    rows = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("version") == version)
+    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, cache: str, id_col: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json") -> DataFrame:
