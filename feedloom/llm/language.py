@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import fold, stored, table, with_columns
+from feedloom.llm.common import fold, released, stored, table, with_columns
 from feedloom.llm.vocab import vocabulary_path
 
 SAMPLE_CHARS = 3_000_000  # characters of labelled text per language used for fitting
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     chosen = labelled.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < share * F.lit(1 << 30)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in released(batches):
             tally: Counter = Counter()
             for name, t in zip(b["lang"], b["text"]):
                 tally.update((name, w) for w in words_of(t))
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
 
         def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v, total = pieces(path), 0
-            for b in batches:
+            for b in released(batches):
                 if len(b):
                     total = total + expected(list(b["word"]), np.stack(b["counts"].to_list()), v, shared.value)
             if not np.isscalar(total):
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = Scorer(shared.value)
-        for texts in batches:
+        for texts in released(batches):
             rows = list(texts)
             out = [x for k in range(0, len(rows), 100) for x in score(rows[k : k + 100])]
             yield pd.DataFrame(out, columns=["lang_pred", "score"]).astype({"score": "float64"})

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import fold, stored, table, text_bytes
+from feedloom.llm.common import fold, released, stored, table, text_bytes
 
 ORDER = 5
 BATCH_BYTES = 10 << 20
@@ -250,7 +250,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", order: int =
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for texts in batches:
+        for texts in released(batches):
             yield pd.Series([z.compress(sequence(t)) for t in texts], dtype=object)
 
     group = F.pmod(F.xxhash64(alike if alike is not None else F.lit(0)), F.lit(GROUPS)).cast("int")

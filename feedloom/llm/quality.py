@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import WHITE, stored, table, text_bytes, with_columns
+from feedloom.llm.common import WHITE, released, stored, table, text_bytes, with_columns
 
 SYMBOLS = b"#*$%&|<>"
 _DROP = bytes(i for i in range(256) if i not in SYMBOLS)
@@ -75,7 +75,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(", ".join(f"{n} long" for n in COUNTS))
     def metrics(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in released(batches):
             yield pd.DataFrame([metrics_of(t) for t in texts], columns=COUNTS, dtype="int64")
 
     m = docs.withColumn("__m", metrics(F.col(text)))

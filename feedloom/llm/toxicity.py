@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import fold, stored, table, with_columns
+from feedloom.llm.common import fold, released, stored, table, with_columns
 
 SAMPLE = 10_000  # labelled documents of each class used for fitting
 CANDIDATES = 50_000  # most frequent terms of toxic documents that are weighed
@@ -116,15 +116,18 @@ def _terms(words: list[str]) -> set[str]:
     return out
 
 
+TALLY = 200_000  # terms that a task counts before it passes them on
+
+
 def _count(sample: DataFrame, per_doc, at_least: int = 1) -> DataFrame:
     """Documents per term; every task counts its own first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally: Counter = Counter()
-        for b in batches:
+        for b in released(batches):
             for text in b["text"]:
                 tally.update(per_doc(folded(text)))
-                if len(tally) > 1_000_000:
+                if len(tally) > TALLY:
                     yield pd.DataFrame({"term": list(tally), "n": list(tally.values())})
                     tally.clear()
         yield pd.DataFrame({"term": list(tally), "n": list(tally.values())}).astype({"n": "int64", "term": object})
@@ -184,7 +187,7 @@ def measure(docs: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
     @F.pandas_udf("weight double, words long")
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
-        for texts in batches:
+        for texts in released(batches):
             out = []
             for t in texts:
                 words = folded(t)
