@@ -84,32 +84,6 @@ def previous_in_bucketed_order(
     return out.drop("_bucket", "_rn", "_carry")
 
 
-def exact_median(df: DataFrame, value: Column, width: float) -> DataFrame:
-    """One row (median): the mean of the two middle values, found by counting.
-
-    Equal values are counted first, then slices of ``width``; only the slices holding the middle ranks are looked at
-    value by value. Nothing larger than one slice's distinct values meets in one task.
-    """
-    cells = df.select(value.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("b", F.floor(F.col("v") / F.lit(width)))
-    slices = cells.groupBy("b").agg(F.sum("n").alias("n"))
-    run = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    slices = slices.select("b", (F.sum("n").over(run) - F.col("n")).alias("start"), F.sum("n").over(run).alias("stop"),
-                           F.sum("n").over(whole).alias("total"))
-    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
-    middle = slices.where((F.col("start") <= high) & (F.col("stop") > low)).select("b", "start", "total")
-    inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.join(middle, "b").select(
-        "v", "total", (F.col("start") + F.sum("n").over(inside)).alias("stop"), F.col("n")
-    ).withColumn("start", F.col("stop") - F.col("n"))
-
-    def at(rank):
-        return F.max(F.when((F.col("start") <= rank) & (F.col("stop") > rank), F.col("v")))
-
-    return ranked.agg(((at(low) + at(high)) / 2.0).alias("median"))
-
-
 def global_row_number(df: DataFrame, order: list[Column], bucket: Column, name: str, max_rows: int | None = None) -> DataFrame:
     """Row number over a whole frame without an unpartitioned window; ``bucket`` must be monotone in ``order``."""
     b, sizes = slices(df, [], bucket, order, [F.count(F.lit(1)).alias("_n")], max_rows)

@@ -239,32 +239,33 @@ def _readme_text(description: Column, readme: Column) -> Column:
     return F.when(d != "", F.concat(d, F.lit("\n\n"), readme)).otherwise(readme)
 
 
-def readme_backfill(items: DataFrame, readmes: DataFrame, *, limit: int | None = None, short: int = 200, max_chars: int = 8000) -> DataFrame:
+def readme_backfill(items: DataFrame, readmes: DataFrame, *, limit: int | None = None, short: int = 200, max_chars: int | None = None) -> DataFrame:
     """New content for thin repository items, best first; readmes: (repo, readme, stars, description).
 
     A row whose repository is popular enough for its tags is reset to 'raw' so that it is embedded and judged again. With
-    a limit, the best of the rows that have a README; the stored text is its head, the hash that of the whole README.
+    a limit, the best of the rows that have a README; the stored text is the whole README, or its first ``max_chars``
+    characters, the hash that of the whole.
     """
     rows = items.where(
         fl.processed() & c("url").contains("github.com") & (F.length(F.coalesce("content", F.lit(""))) < short)
     )
     rows = rows.withColumn("repo", ux.repo_slug_strict(c("url"))).join(one_per_key(readmes, "repo", c("readme")), "repo")
     rows = rows.where((c("stars") >= sc.star_cutoff(c("tags"), c("url"))) & c("readme").isNotNull())
-    text = F.substring(c("readme"), 1, max_chars)
+    text = c("readme") if max_chars is None else F.substring(c("readme"), 1, max_chars)
     return first_rows(rows, limit, F.desc("relevance_score"), "id").select(
         "id", _readme_text(c("description"), text).alias("content"), tx.short_hash(c("readme")).alias("content_hash"),
         F.lit("raw").alias("status"), "stars",
     )
 
 
-def readme_refresh(items: DataFrame, readmes: DataFrame, *, limit: int | None = None, min_stars: int = 50, max_chars: int = 8000) -> DataFrame:
+def readme_refresh(items: DataFrame, readmes: DataFrame, *, limit: int | None = None, min_stars: int = 50, max_chars: int | None = None) -> DataFrame:
     """Changed READMEs of popular repository items, longest untouched first."""
     stars = F.coalesce(F.get_json_object("quality_score_details", "$.stars").try_cast("int"), F.lit(0))
     rows = items.where(
         fl.processed() & c("url").contains("github.com") & (F.length(F.coalesce("content", F.lit(""))) >= 200) & (stars >= min_stars)
     )
     rows = rows.withColumn("repo", ux.repo_slug_strict(c("url"))).join(one_per_key(readmes, "repo", c("readme")), "repo")
-    text = F.substring(c("readme"), 1, max_chars)
+    text = c("readme") if max_chars is None else F.substring(c("readme"), 1, max_chars)
     h = tx.short_hash(c("readme"))
     return first_rows(rows.where(c("readme").isNotNull() & (h != F.coalesce("content_hash", F.lit("")))), limit, "updated_at", "id").select(
         "id", _readme_text(c("description"), text).alias("content"), h.alias("content_hash"), F.lit("raw").alias("status")

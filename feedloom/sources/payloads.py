@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedloom import vocab
 from feedloom.functions import text as tx
 from feedloom.functions import urls as ux
-from feedloom.operators.skew import latest_per_key
 from feedloom.sources.rows import head, iso_time, land, no_tags, text_or
 
 c = F.col
@@ -334,8 +333,3 @@ def trending_repos(rows: DataFrame, *, seen: DataFrame | None = None) -> DataFra
         r, external_id=c("_url"), url=c("_url"), title=c("_repo"), content=text_or(text, c("_repo")),
         excerpt=head(_blank(c("description"))), tags=tags,
     )
-
-
-def newest_per_url(rows: DataFrame) -> DataFrame:
-    """One landing row per url hash when several pages of one fetch overlap."""
-    return latest_per_key(rows, ["url_hash"], ["published_at", "external_id"])

@@ -15,12 +15,14 @@ SF_DIR = "/root/testdata/sf0.001"
 EAGER = {
     "alert_stream", "breaking_notices", "repo_event_stream", "stream_url_dedup", "stream_history_dedup", "replay_guard", "cluster_items",
     "alert_stream_many_keywords", "items_round_trip", "log_append", "text_search_indexed_batches", "text_search_fallback_indexed", "text_search_total_indexed",
-    "routed_search_indexed",
+    "routed_search_indexed", "stream_history_bucketed", "stream_history_items", "repo_event_stream_shuffled", "silence_stream", "event_sessions_stream",
+    "alert_stream_after_failures", "signal_merge", "library_merge",
 }
 PYTHON = {
     "unicode_nfc", "gate_scores", "gate_stage", "gate_scores_by_join", "watchlist_matches", "nearest_neighbours", "near_duplicate_vectors",
     "related_entries", "dedup_three_layers", "alert_matches_many_keywords", "fired_alerts", "alert_deliveries", "unalerted_items",
     "alert_status", "poll_cooldown", "alert_matches", "fired_alerts_zero_cooldown",
+    "watchlist_matches_indexed", "nearest_neighbours_indexed", "alert_matches_distributed", "fired_alerts_after_failures",
     "watchlist_matches_with_pivots", "nearest_neighbours_with_pivots", "related_entries_with_pivots",
 }
 

@@ -1,7 +1,6 @@
 """Ordered computations where one key holds most rows, against plain Python."""
 
 import random
-import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,13 +47,6 @@ def test_previous_across_empty_buckets(df, data, max_rows):
             assert got[row[2]] == (before[3] if before else None)
 
 
-@pytest.mark.parametrize("n", [1, 2, 599, 600])
-def test_exact_median(spark, data, n):
-    values = [float(x[1]) for x in data[:n]]
-    d = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
-    assert sk.exact_median(d, F.col("v"), 250.0).first()[0] == statistics.median(values)
-
-
 @pytest.mark.parametrize("max_rows", [None, 30])
 def test_global_row_number(df, data, max_rows):
     got = {r.i: r.n for r in sk.global_row_number(df, [F.asc("t"), F.asc("i")], F.floor(F.col("t") / 400), "n", max_rows).collect()}

@@ -359,7 +359,7 @@ def _(t: Tables):
 @query(
     "stream_history_items", "T02 J09 J10 B01",
     sql("items", """SELECT count(*) AS n, count(*) AS urls, count(DISTINCT f) AS texts FROM (
-      SELECT regexp_replace(lower(content), '[^\p{L}\p{N}_]+', '', 'g') AS f FROM items
+      SELECT regexp_replace(lower(content), '[^\\p{L}\\p{N}_]+', '', 'g') AS f FROM items
       QUALIFY row_number() OVER (PARTITION BY f ORDER BY id) = 1)"""),
 )
 def _(t: Tables):
