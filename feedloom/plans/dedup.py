@@ -118,12 +118,12 @@ def dedup_items(
     ``history`` the keys are looked up there (without batch ``skip``) and only vectors are read from ``known``.
 
     Rows are told apart by all their key columns, so rows with a null or repeated id get verdicts of their own; of rows
-    that agree in id, time, url and text one is judged and the others are its copies. A null url or text repeats nothing.
+    that agree in id, time, url and content one is judged and the others are its copies. A null url or text repeats nothing.
     """
-    keys = _keys(batch)
-    keyed = batch.withColumns({f"_{k}": v for k, v in keys.items()})
-    keyed = keyed.withColumn("_row", _row_key(c("id"), c("published_at"), c("_url_key"), c("_text_key")))
-    each = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), *[F.first(x).alias(x.removeprefix("_")) for x in ("id", "published_at", "_url_key", "_text_key")])
+    # the raw columns name a row, so that only the narrow rows compute fingerprints
+    keyed = batch.withColumn("_row", _row_key(c("id"), c("published_at"), c("url"), c("content")))
+    narrow = keyed.select("_row", "id", "published_at", *[v.alias(k) for k, v in _keys(batch).items()])
+    each = narrow.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"), *[F.first(x).alias(x) for x in ("id", "published_at", "url_key", "text_key")])
     rows = cut_lineage(each.withColumn("reason", F.lit(None).cast("string")))
     urls, texts = _seen(rows, known, history, skip)
     rows = _layer(_layer(rows, urls, "url_key", "url_hash"), texts, "text_key", "content_fingerprint")
@@ -144,11 +144,13 @@ def dedup_items(
             left = left.join(rows.where(c("reason").isNull()).select("_row"), "_row", "left_semi")
             copies = inside_batch_copies(left, as_of=as_of, threshold=threshold, days=days).withColumn("_near", F.lit("embedding_similarity"))
             rows = rows.join(copies, "_row", "left").withColumn("reason", F.coalesce("reason", "_near")).drop("_near")
-    verdict = rows.select("_row", "_n", "reason", "_copy")
+    verdict = cut_lineage(rows.select("_row", "_n", "reason", "_copy"))
     alone = keyed.join(verdict.where("_n = 1").drop("_n", "_copy"), "_row")
+    if verdict.where("_n > 1").isEmpty():
+        return alone.drop("_row")
     many = keyed.join(verdict.where("_n > 1").drop("_n"), "_row").withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("id")))
     many = many.withColumn("reason", F.when(c("_nth") > 1, F.coalesce("_copy", "reason")).otherwise(c("reason"))).drop("_nth", "_copy")
-    return alone.unionByName(many).drop("_row", "_url_key", "_text_key")
+    return alone.unionByName(many).drop("_row")
 
 
 def keep_new(batch: DataFrame, known: DataFrame, **kwargs) -> DataFrame:
