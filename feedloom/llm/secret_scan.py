@@ -337,7 +337,12 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def number_of(spans: Column, kind: int) -> Column:
+    """Spans of one kind (a second argument of the lambda would be the span's index)."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op13_secrets(spark, sf_dir) -> DataFrame:
     rows = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    count = [number_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select("doc_id", *count, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_unopened")

@@ -176,3 +176,12 @@ def test_query(spark):
         want = base(texts[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in want) for n in range(3)]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+
+
+def test_kinds_are_counted_wherever_they_stand(spark, tmp_path):
+    """The n-th span of a text need not be of the n-th kind."""
+    texts = ["0" * 32 + " " + SECRETS[0] + " " + SECRETS[2], SECRETS[2] + " " + SECRETS[3], " ".join(SECRETS * 2), SECRETS[0], None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in secret_scan.op13_secrets(spark, str(tmp_path)).collect():
+        kinds = [k for _, k, _ in base(texts[r.doc_id])]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in range(3))
