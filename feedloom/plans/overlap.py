@@ -17,26 +17,31 @@ WORDS = 8
 
 
 def gram_hashes(tokens: Column, n: int) -> Column:
-    """128-bit keys of the n-grams, by place; none for fewer than n words."""
-    def key(i: Column) -> Column:
-        text = F.array_join(F.slice(tokens, i + 1, n), " ")
-        return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+    """128-bit keys of the n-grams, by place; none for fewer than n words. The words are taken from the text once: as the
+    variable of an outer lambda, for an expression inside the inner one is evaluated again at every place."""
+    def keys(t: Column) -> Column:
+        def key(i: Column) -> Column:
+            text = F.array_join(F.slice(t, i + 1, n), " ")
+            return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
 
-    places = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, key)
+        places = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, key)
+
+    return F.flatten(F.transform(F.array(tokens), keys))
 
 
 def _grams(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, words, place, gram)."""
-    t = rows.select(key, tx.tokens(c(text)).alias("_t"))
-    return t.select(key, F.size("_t").alias("words"), F.posexplode(gram_hashes(c("_t"), n)).alias("place", "gram"))
+    words = tx.tokens(c(text))
+    return rows.select(key, F.size(words).alias("words"), F.posexplode(gram_hashes(words, n)).alias("place", "gram"))
 
 
 def passage_coverage(items: DataFrame, docs: DataFrame, *, key: str = "item_id", text: str = "text", doc_text: str = "text", n: int = WORDS) -> DataFrame:
     """(key, words, grams, hits, covered, coverage): for each item how many of its n-grams stand in ``docs`` and how many of
     its words lie in such a gram. Items of fewer words have no grams and coverage 0; null texts have no words. Rows of one
     key count together."""
-    held = docs.select(F.explode(F.array_distinct(gram_hashes(tx.tokens(c(doc_text)), n))).alias("gram")).distinct()
+    # array_distinct would compare each gram of a text with each other one; distinct() combines them by hash inside the map task
+    held = docs.select(F.explode(gram_hashes(tx.tokens(c(doc_text)), n)).alias("gram")).distinct()
     mine = _grams(items.withColumn("_id", F.struct(F.xxhash64(text), c(key))), "_id", text, n)
     found = mine.select("gram").distinct().join(held, "gram", "left_semi").withColumn("hit", F.lit(True))
     marked = mine.join(found, "gram", "left").where("hit")

@@ -48,3 +48,15 @@ def test_coverage_and_runs(spark):
     runs = {tuple(r) for r in ov.passage_runs(i, d, n=N, least=6).collect()}
     assert runs == plain_runs(items, [x for x in docs if x[0] != 901], 6) and runs
     assert ov.passage_coverage(i.where("false"), d, n=N).count() == 0 and ov.passage_runs(i, d.where("false"), n=N).count() == 0
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A text's words are taken once, not once for each of its grams, and its grams are not compared with each other."""
+    import time
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    items = spark.createDataFrame([(1, text)], "item_id int, text string")
+    start = time.time()
+    got = ov.passage_coverage(items, items.select("text"), n=8).first()
+    assert (got.words, got.grams, got.hits, got.covered) == (20_000, 19_993, 19_993, 20_000)
+    assert time.time() - start < 20
