@@ -14,6 +14,8 @@ TYPES = "array('skill','tool','update','practice','docs')"
 TAGS = "array('mcp','testing','security','claude-code','docker','sql','agents','rag')"
 
 
+#: Files of a table that one micro-batch takes.
+STREAM_FILES = 8
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
@@ -45,8 +47,9 @@ class Tables:
     def stream(self, name: str) -> DataFrame:
         """The same table as a file stream."""
         path = f"{self.dir}/{name}.parquet"
-        reader = self.spark.readStream.schema(self.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1)
-        df = reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.dir)
+        reader = self.spark.readStream.schema(self.spark.read.parquet(path).schema).option("maxFilesPerTrigger", STREAM_FILES)
+        # a glob names a table of one file as well as a folder of files; streams take no path of a single file
+        df = reader.parquet(f"{self.dir}/{name}.[p]arquet")
         return df.select(
             *[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes]
         )
