@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from feedloom.functions import text as tx
 from feedloom.operators import joins as jn
@@ -21,15 +23,41 @@ from workload.registry import query
 c = F.col
 LOW = "lower(title || ' ' || content || ' ' || array_to_string(tags, ' '))"
 
-def in_time_order(t: Tables, rows, at, n: int, *more):
-    """The rows as a stream of files that follow each other by ``at`` (and are then without a column ``_at``), then ``more``."""
-    path = st.scratch(t.spark, "ordered")
-    ends = rows.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
-    cuts = [ends["a"] + (ends["b"] - ends["a"]) * k / n for k in range(n + 1)]
-    parts = [rows.where((at >= a) & ((at < b) if k < n - 1 else F.lit(True))).drop("_at") for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    for part in (*parts, *more):
-        part.coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+def drain_into(stream, path: str, checkpoint: str) -> None:
+    st.drain(stream, path=path, checkpoint=checkpoint)
+
+
+def in_time_order(t: Tables, name: str, n: int, inputs: list, plan, last=None, run=drain_into) -> str:
+    """The folder with what ``plan`` makes of ``inputs``, (rows, at) pairs, which it gets as streams that follow each other
+    by ``at``: each of ``n`` stretches of time is one micro-batch of all inputs, of however many files. Rows of a column
+    ``_at`` lose it; ``last`` are rows of the first input that come at the end.
+
+    One job writes the stretches of an input, with as many files as it has tasks. They are moved into the streams' folders
+    one after the other, and the query goes on from its checkpoint each time.
+    """
+    spark = t.spark
+    times = reduce(DataFrame.unionByName, [rows.select(at.cast("double").alias("at")) for rows, at in inputs])
+    first, end = times.agg(F.coalesce(F.min("at"), F.lit(0.0)), F.coalesce(F.max("at"), F.lit(0.0))).first()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    streams, folders = [], []
+    for rows, at in inputs:
+        held, seen = st.scratch(spark, f"{name}-held"), st.scratch(spark, f"{name}-in")
+        fs = path(seen).getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path(seen))
+        part = F.least(F.floor((at.cast("double") - first) / ((end - first) / n or 1.0)), F.lit(n - 1)).alias("_part")
+        shown = rows.drop("_at")
+        rows.select(*shown.columns, part).write.partitionBy("_part").parquet(held)
+        streams.append(spark.readStream.schema(shown.schema).option("recursiveFileLookup", True).parquet(seen))
+        folders.append((held, seen))
+    if last is not None:
+        last.write.parquet(f"{folders[0][0]}/_part={n}")
+    out, checkpoint = st.scratch(spark, name), st.scratch(spark, f"{name}-cp")
+    result = plan(*streams)
+    for k in range(n + 1):
+        moves = [(path(f"{held}/_part={k}"), path(f"{seen}/{k}")) for held, seen in folders]
+        if any([fs.exists(a) and fs.rename(a, b) for a, b in moves]):
+            run(result, out, checkpoint)
+    return out
 
 
 def in_files(t: Tables, rows, n: int = 4):
@@ -71,18 +99,24 @@ def _(t: Tables):
     return al.fired_alerts(t.items(), t.alert_rules()).select("rule_id", "item_id", ts("ts"))
 
 
+ALERT_COLUMNS = ("id", "title", "content", "tags", "significance", "created_at")
+
+
+def streamed_alerts(t: Tables, rules):
+    """A cooldown is right only where items come in order of time, which the files of a table do not."""
+    items = t.items().select(*ALERT_COLUMNS)
+    out = in_time_order(t, "alerts", 4, [(items, c("created_at"))], lambda s: st.alert_stream(s, rules))
+    return t.spark.read.schema("rule_id string, item_id string, ts timestamp").parquet(out).select("rule_id", "item_id", ts("ts"))
+
+
 @query("alert_stream", "T04", sql("items alert_rules", FIRED, MATCH + FIRE))
 def _(t: Tables):
-    s = st.alert_stream(t.items(docs=t.stream("documents")), t.alert_rules())
-    out = st.drain(s, path=st.scratch(t.spark, "alerts"), checkpoint=st.scratch(t.spark, "alerts-cp"))
-    return out.select("rule_id", "item_id", ts("ts"))
+    return streamed_alerts(t, t.alert_rules())
 
 
 @query("alert_stream_many_keywords", "T04", sql("items alert_rules", FIRED, MATCH + FIRE))
 def _(t: Tables):
-    s = st.alert_stream(t.items(docs=t.stream("documents")), many_keywords(t))
-    out = st.drain(s, path=st.scratch(t.spark, "alerts"), checkpoint=st.scratch(t.spark, "alerts-cp"))
-    return out.select("rule_id", "item_id", ts("ts"))
+    return streamed_alerts(t, many_keywords(t))
 
 
 @query("fired_alerts_zero_cooldown", "T04", sql("items alert_rules", FIRED, MATCH + FIRE.replace("max(cooldown_minutes) * 60", "3600")))
@@ -124,10 +158,10 @@ def _(t: Tables):
 def _(t: Tables):
     """The items come as a stream, and so do the results, in micro-batches of their own."""
     times = t.items().select(c("id").alias("item_id"), c("created_at").alias("ts"))
-    results = in_files(t, outcomes(t).join(times, "item_id"), 2)
-    s = st.delivery_stream(t.items(docs=t.stream("documents")), t.alert_rules(), results, patience=1e9)
-    out = st.drain(s, path=st.scratch(t.spark, "tried"), checkpoint=st.scratch(t.spark, "tried-cp"))
-    return out.select("rule_id", "item_id", ts("ts"))
+    results = outcomes(t).join(times, "item_id")
+    inputs = [(t.items().select(*ALERT_COLUMNS), c("created_at")), (results, c("ts"))]
+    out = in_time_order(t, "tried", 2, inputs, lambda items, found: st.delivery_stream(items, t.alert_rules(), found, patience=1e9))
+    return t.spark.read.schema("rule_id string, item_id string, ts timestamp").parquet(out).select("rule_id", "item_id", ts("ts"))
 
 
 @query(
@@ -251,10 +285,8 @@ def _(t: Tables):
     snaps = t.repo_snapshots()
     late = snaps.withColumn("_at", F.unix_seconds("ts") + F.pmod(F.xxhash64("repo", "ts"), F.lit(3 * 86400)))
     end = snaps.limit(1).withColumn("repo", F.lit("~end")).withColumn("ts", c("ts") + F.expr("INTERVAL 9000 DAYS")).withColumns({"stars": F.lit(0).cast("long"), "commits": F.lit(0).cast("long")})
-    src = in_time_order(t, late, c("_at"), 3, end.select(*snaps.columns))
-    s = st.repo_event_stream(src, delay="4 days")
-    out = st.drain(s, path=st.scratch(t.spark, "repo"), checkpoint=st.scratch(t.spark, "repo-cp"))
-    return out.groupBy("repo", "event").agg(F.count(F.lit(1)).alias("n"))
+    out = in_time_order(t, "repo", 3, [(late, c("_at"))], lambda s: st.repo_event_stream(s, delay="4 days"), end.select(*snaps.columns))
+    return t.spark.read.schema("repo string, ts timestamp, event string, detail string").parquet(out).groupBy("repo", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -274,9 +306,8 @@ def _(t: Tables):
 def _(t: Tables):
     """Silences of more than a day, source by source, over micro-batches that follow each other in time."""
     beats = t.raw("events").select(c("user_id").cast("string").alias("source_id"), "ts")
-    s = st.silence_stream(in_time_order(t, beats, F.unix_millis("ts"), 4), hours=24)
-    out = st.drain(s, path=st.scratch(t.spark, "silence"), checkpoint=st.scratch(t.spark, "silence-cp"))
-    return out.select("source_id", ts("last_seen"))
+    out = in_time_order(t, "silence", 4, [(beats, F.unix_millis("ts"))], lambda s: st.silence_stream(s, hours=24))
+    return t.spark.read.schema("source_id string, last_seen timestamp").parquet(out).select("source_id", ts("last_seen"))
 
 
 SESSIONS = f"""SELECT user_id, {ts_text('min(ts)')} AS session_start, {ts_text("max(ts) + INTERVAL 6 HOUR")} AS session_end, count(*) AS events FROM (
@@ -296,9 +327,8 @@ def _(t: Tables):
     e = t.raw("events").select("user_id", "ts")
     late = e.withColumn("_at", F.unix_seconds("ts") + F.pmod(F.xxhash64("user_id", "ts"), F.lit(7200)))
     end = e.limit(1).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), (c("ts") + F.expr("INTERVAL 9000 DAYS")).alias("ts"))
-    s = st.sessions(in_time_order(t, late, c("_at"), 4, end), keys=["user_id"], gap="6 hours", delay="3 hours")
-    out = st.drain(s, path=st.scratch(t.spark, "sessions"), checkpoint=st.scratch(t.spark, "sessions-cp"))
-    return out.where("user_id >= 0").select("user_id", ts("session_start"), ts("session_end"), "events")
+    out = in_time_order(t, "sessions", 4, [(late, c("_at"))], lambda s: st.sessions(s, keys=["user_id"], gap="6 hours", delay="3 hours"), end)
+    return t.spark.read.parquet(out).where("user_id >= 0").select("user_id", ts("session_start"), ts("session_end"), "events")
 
 
 @query(
@@ -332,10 +362,13 @@ def _(t: Tables):
     sql("items", "SELECT id FROM items QUALIFY row_number() OVER (PARTITION BY regexp_replace(split_part(url, '#', 1), '/+$', '') ORDER BY created_at, id) = 1"),
 )
 def _(t: Tables):
-    path = st.scratch(t.spark, "history")
-    rows = t.items(docs=t.stream("documents")).select("id", "url", "created_at")
-    st.drain_batches(rows, st.append_unseen(path), checkpoint=st.scratch(t.spark, "history-cp"))
-    return t.spark.read.parquet(path).select("id")
+    rows = t.items().select("id", "url", "created_at")
+
+    def run(stream, path, checkpoint):
+        st.drain_batches(stream, st.append_unseen(path), checkpoint=checkpoint)
+
+    # of rows with the same url the oldest is kept, so they come in order of time
+    return t.spark.read.parquet(in_time_order(t, "history", 4, [(rows, c("created_at"))], lambda s: s, run=run)).select("id")
 
 
 @query(
