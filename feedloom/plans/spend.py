@@ -14,10 +14,16 @@ def price_table(spark: SparkSession, prices: dict = vocab.TOKEN_PRICES_PER_MILLI
     return spark.createDataFrame(rows, "model string, in_price double, out_price double")
 
 
+def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Calls with their model's prices. The price list is small and goes to every task: dealt by model, all calls would
+    land in as many tasks as there are models."""
+    return calls.join(F.broadcast(prices), "model")
+
+
 def ledger(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Calls with their charge in whole cents."""
     cost = sc.token_cost(F.col("in_tokens"), F.col("out_tokens"), F.col("in_price"), F.col("out_price"))
-    return calls.join(prices, "model").withColumn("cents", sc.to_cents(cost)).withColumn("day", F.to_date("ts"))
+    return priced(calls, prices).withColumn("cents", sc.to_cents(cost)).withColumn("day", F.to_date("ts"))
 
 
 def spend_by_day(entries: DataFrame, *, limit_cents: int) -> DataFrame:

@@ -167,3 +167,27 @@ def test_one_per_key(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "x"), (None, 1, "z")], "k string, n int, v string")
     got = {(r.k, r.n, r.v) for r in one_per_key(rows, "k", F.desc("n"), F.col("v")).collect()}
     assert got == {("a", 2, "x"), (None, 1, "z")}
+
+
+def test_newest_discussion_of_several_of_one_time(spark):
+    from feedloom.sources import payloads as pl
+
+    nodes = [("D100", "2024-01-05T00:00:00Z"), ("D99", "2024-01-05T00:00:00Z"), ("D101", "2024-01-05T00:00:00Z"), ("D1", "2024-01-01T00:00:00Z")]
+    for order in (nodes, nodes[::-1]):
+        rows = [("s", "S", "o/r", '{"nodes":[{"id":"%s","createdAt":"%s"}]}' % n) for n in order]
+        got = pl.last_discussions(spark.createDataFrame(rows, "source_id string, source_name string, repo string, payload string").coalesce(1)).first()
+        assert got.last_id == "D99" and got.last_at == dt.datetime(2024, 1, 5)
+
+
+def test_calls_are_not_dealt_by_model(spark):
+    from feedloom.plans import spend as sp
+
+    calls = spark.createDataFrame([(1, NOW, 1, "haiku", 100, 10), (2, NOW, 1, "unknown", 1, 1)], "call_id long, ts timestamp, user_id long, model string, in_tokens long, out_tokens long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sp.ledger(calls, sp.price_table(spark))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert [r.call_id for r in out.collect()] == [1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

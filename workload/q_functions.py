@@ -393,9 +393,9 @@ def _(t: Tables):
         + out_tokens * CASE model WHEN 'haiku' THEN 5.00::DOUBLE ELSE 0.60::DOUBLE END * 10) / 1000000 AS cost FROM spend))"""),
 )
 def _(t: Tables):
-    from feedloom.plans.spend import price_table
+    from feedloom.plans.spend import price_table, priced
 
-    s = t.spend().join(price_table(t.spark), "model")
+    s = priced(t.spend(), price_table(t.spark))
     cost = sc.token_cost(c("in_tokens") * 10, c("out_tokens") * 10, c("in_price"), c("out_price"))
     return s.select("call_id", F.round(cost, 8).alias("cost"), sc.to_cents(cost).alias("cents"))
 
