@@ -92,9 +92,9 @@ def normalize_discussions(payloads: DataFrame, *, last_poll: Column | None = Non
 
 
 def last_discussions(payloads: DataFrame) -> DataFrame:
-    """Newest discussion id per repository."""
+    """Newest discussion id per repository; of several of the same time the first, where numbers in ids go by their value."""
     d = _open(payloads, NODES, "nodes", "repo").withColumn("_at", iso_time(c("e.createdAt"))).where(c("_at").isNotNull())
-    return d.groupBy("repo").agg(F.max_by("e.id", "_at").alias("last_id"), F.max("_at").alias("last_at"))
+    return d.groupBy("repo").agg(F.min_by("e.id", F.struct(-F.unix_micros("_at"), F.length("e.id"), "e.id")).alias("last_id"), F.max("_at").alias("last_at"))
 
 
 # ---- package catalogues ------------------------------------------------------------------
