@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -238,82 +240,116 @@ def rule_hits(items: DataFrame, rules: DataFrame) -> DataFrame:
 # ---- repositories ------------------------------------------------------------------------
 
 
-def _repo_state(milestones: list[int], threshold: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = (None, *state.get) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
-        polls = list(zip(rows["ts"], rows["stars"], rows["commits"], rows["description_hash"], rows["file_hash"]))
-        out = _events(key[0], polls, last, milestones, threshold)
-        _, s, n, d, f = polls[-1]
-        state.update((int(s), int(n), d, f))
-        if out:
-            yield pd.DataFrame(out, columns=["repo", "ts", "event", "detail"])
+#: Keys of a stream share this many states: a call of Python takes all keys of one bucket, as columns.
+STATE_BUCKETS = 256
 
-    return run
 
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one value of a state."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(value))).read_all().to_pandas()
+
+
+def _together(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    frames = [f for f in frames if len(f)] or frames[:1]
+    return pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0].reset_index(drop=True)
+
+
+POLL = ["repo", "ts_us", "stars", "commits", "description_hash", "file_hash"]
+
+
+def _with_previous(ordered: bool):
+    """Snapshots with those before them. State of a bucket: the last snapshot of each of its repositories, and with
+    ``ordered`` those that the watermark has not passed yet."""
 
-def _events(key: str, rows: list[tuple], last: tuple | None, milestones: list[int], threshold: int) -> list[tuple]:
-    """Events of snapshots (ts, stars, commits, description, file) in order of time after the snapshot ``last``."""
-    out = []
-    for ts, s, n, d, f in rows:
-        stars, commits = (last[1], last[2]) if last else (0, 0)
-        out += [(key, ts, "star_milestone", str(m)) for m in milestones if stars < m <= s]
-        if n > threshold and n > commits * 2:
-            out.append((key, ts, "commit_burst", str(int(n))))
-        if last and d != last[3]:
-            out.append((key, ts, "description_changed", d))
-        if last and f != last[4]:
-            out.append((key, ts, "file_changed", f))
-        last = (ts, s, n, d, f)
-    return out
-
-
-def _buffered_repo_state(milestones: list[int], threshold: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (None, [])
-        last, held = tuple(last) if last else None, [tuple(h) for h in held]
-        for pdf in batches if not state.hasTimedOut else ():
-            held += [(int(t), int(s), int(n), d, f) for t, s, n, d, f in zip(pdf["ts_us"], pdf["stars"], pdf["commits"], pdf["description_hash"], pdf["file_hash"])]
-        mark = state.getCurrentWatermarkMs() * 1000
-        # what the watermark has passed is complete; a snapshot that is older than one released before comes too late
-        due = sorted(h for h in held if h[0] <= mark and (last is None or h[0] > last[0]))
-        held = [h for h in held if h[0] > mark]
-        out = _events(key[0], due, last, milestones, threshold)
-        state.update((due[-1] if due else last, held))
-        if held:
-            state.setTimeoutTimestamp(max(min(h[0] for h in held) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if out:
-            frame = pd.DataFrame(out, columns=["repo", "ts", "event", "detail"])
-            yield frame.assign(ts=pd.to_datetime(frame["ts"], unit="us"))
+        rows = [pdf[POLL].assign(last=False) for pdf in batches] if not state.hasTimedOut else []
+        if state.exists:
+            rows.insert(0, _unpacked(state.get[0]))
+        rows = _together(rows)
+        code = pd.factorize(rows["repo"], use_na_sentinel=False)[0]
+        at, last = rows["ts_us"].to_numpy(), rows["last"].to_numpy(dtype=bool)
+        mark = state.getCurrentWatermarkMs() * 1000 if ordered else 0
+        due, held = np.ones(len(rows), bool), np.zeros(len(rows), bool)
+        if ordered:
+            # a snapshot that is older than one released before comes too late
+            released = np.full(len(rows), np.iinfo(np.int64).min)
+            released[code[last]] = at[last]
+            held = ~last & (at > mark)
+            due = last | (~held & (at > released[code]))
+        texts = [pd.factorize(rows[x], sort=True, use_na_sentinel=False)[0] for x in POLL[:3:-1]]
+        order = np.lexsort((*texts, rows["commits"], rows["stars"], at, ~last, code))
+        order = order[due[order]]
+        code, new = code[order], ~last[order]
+        again = np.r_[False, code[1:] == code[:-1]] if len(code) else new
+        end = order[np.r_[code[1:] != code[:-1], True]] if len(code) else order
+        kept = rows.take(np.r_[end, np.flatnonzero(held)])
+        state.update((_packed(kept.assign(last=np.r_[np.ones(len(end), bool), np.zeros(held.sum(), bool)])),))
+        if held.any():
+            state.setTimeoutTimestamp(int(max(at[held].min() // 1000 + 1, mark // 1000 + 1)))
+        if new.any():
+            place = np.flatnonzero(new)
+            out, before = rows.take(order[place])[POLL], rows.take(order[np.maximum(place - 1, 0)])
+            for column in POLL[2:]:
+                out[f"prev_{column}"] = before[column].to_numpy()
+            yield out.assign(seen=again[place])
 
     return run
 
 
-def repo_event_stream(snapshots: DataFrame, *, milestones=vocab.STAR_MILESTONES, threshold: int = 20, delay: str | None = None) -> DataFrame:
+def _events(polls: DataFrame, milestones: list[int], threshold: int) -> DataFrame:
+    def before(column: str, first) -> Column:
+        return F.when(c("seen"), F.coalesce(f"prev_{column}", F.lit(first))).otherwise(F.lit(first))
+
+    def event(name: str, detail: Column) -> Column:
+        return F.struct(F.lit(name).alias("event"), detail.cast("string").alias("detail"))
+
+    def changed(column: str) -> Column:
+        return c("seen") & ~c(column).eqNullSafe(c(f"prev_{column}"))
+
+    crossed = F.filter(F.array(*map(F.lit, milestones)), lambda m: (before("stars", 0) < m) & (m <= c("stars")))
+    burst = (c("commits") > threshold) & (c("commits") > before("commits", 0) * 2)
+    one = F.array(
+        F.when(burst, event("commit_burst", c("commits"))),
+        F.when(changed("description_hash"), event("description_changed", c("description_hash"))),
+        F.when(changed("file_hash"), event("file_changed", c("file_hash"))),
+    )
+    found = F.concat(F.coalesce(F.transform(crossed, lambda m: event("star_milestone", m)), F.array().cast("array<struct<event:string,detail:string>>")), F.array_compact(one))
+    e = polls.select("repo", F.timestamp_micros("ts_us").alias("ts"), F.explode(found).alias("e"))
+    return e.select("repo", "ts", "e.event", "e.detail")
+
+
+def repo_event_stream(
+    snapshots: DataFrame, *, milestones=vocab.STAR_MILESTONES, threshold: int = 20, delay: str | None = None, buckets: int = STATE_BUCKETS
+) -> DataFrame:
     """(repo, ts, event, detail) with the last snapshot of each repository as state.
 
-    A batch holds one poll per repository, so the rows of one key in one batch are few. With ``delay`` snapshots may come
-    out of order by as much: they wait in the state until the watermark has passed them, and are then taken in order of
-    time (an event-time timer releases the last ones). Without it they are taken in the order of the batches.
+    With ``delay`` snapshots may come out of order by as much: they wait in the state until the watermark has passed them,
+    and are then taken in order of time (an event-time timer releases the last ones). Without it they are taken in the
+    order of the batches. The repositories of a bucket share one state and one call, so a task's work is that of its rows
+    and not of its keys; a batch rewrites the states of the buckets it touches.
     """
-    if delay is not None:
-        s = snapshots.withWatermark("ts", delay).select(
-            "repo", "ts", F.unix_micros("ts").alias("ts_us"), "stars", "commits", tx.short_hash(c("description")).alias("description_hash"),
-            F.substring(F.sha2("file_text", 256), 1, 8).alias("file_hash"),
-        )
-        row = "struct<ts:long,stars:long,commits:long,description:string,file:string>"
-        return s.groupBy("repo").applyInPandasWithState(
-            _buffered_repo_state(list(milestones), threshold), "repo string, ts timestamp, event string, detail string",
-            f"last {row}, held array<{row}>", "append", GroupStateTimeout.EventTimeTimeout,
-        )
-    s = snapshots.select(
-        "repo", "ts", "stars", "commits", tx.short_hash(c("description")).alias("description_hash"),
-        F.substring(F.sha2("file_text", 256), 1, 8).alias("file_hash"),
-    )
-    return s.groupBy("repo").applyInPandasWithState(
-        _repo_state(list(milestones), threshold), "repo string, ts timestamp, event string, detail string",
-        "stars long, commits long, description string, file string", "append", GroupStateTimeout.NoTimeout,
+    s = snapshots if delay is None else snapshots.withWatermark("ts", delay)
+    s = s.select(
+        bucket_of("repo", buckets), "repo", "ts", F.unix_micros("ts").alias("ts_us"), "stars", "commits",
+        tx.short_hash(c("description")).alias("description_hash"), F.substring(F.sha2("file_text", 256), 1, 8).alias("file_hash"),
     )
+    timer = GroupStateTimeout.NoTimeout if delay is None else GroupStateTimeout.EventTimeTimeout
+    values = "stars long, commits long, description_hash string, file_hash string"
+    both = f"repo string, ts_us long, {values}, prev_{values.replace(', ', ', prev_')}, seen boolean"
+    polls = s.groupBy("bucket").applyInPandasWithState(_with_previous(delay is not None), both, "snapshots binary", "append", timer)
+    return _events(polls, list(milestones), threshold)
 
 
 def silence_stream(heartbeats: DataFrame, *, hours: float = 4.0, delay: str = "0 seconds") -> DataFrame:

@@ -166,3 +166,24 @@ def test_an_alert_without_a_result_is_given_up(spark, tmp_path):
     results = [[("x", True, k * 4000)] for k in range(4)]
     out = st.drain(st.delivery_stream(*delivery_inputs(spark, tmp_path, matches, results), patience=60), path=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"))
     assert {"a", "b", "far"} <= {r["item_id"] for r in out.collect()}
+
+
+def states_of(stream, tmp_path):
+    """Rows of state after everything available was processed."""
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+@pytest.mark.parametrize("delay", [None, "1 hour"])
+def test_repositories_share_states(spark, tmp_path, delay):
+    snaps = Tables(spark, SF).repo_snapshots()
+    repos = snaps.select("repo").distinct().count()
+    end = snaps.limit(1).select(F.lit("~end").alias("repo"), (F.col("ts") + F.expr("INTERVAL 9000 DAYS")).alias("ts"), F.lit(0).cast("long").alias("stars"), F.lit(0).cast("long").alias("commits"), "description", "file_text")
+    stream = files_in_time_order(spark, snaps.unionByName(end), "ts", str(tmp_path / "in"))
+    assert states_of(st.repo_event_stream(stream, delay=delay, buckets=4), tmp_path) <= 4 < repos
+    got = {(r.repo, r.event, r.detail) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(r.repo, "star_milestone", str(r.milestone)) for r in re_.star_milestones(snaps).collect()}
+    want |= {(r.repo, "commit_burst", str(r.commits)) for r in re_.commit_bursts(snaps).collect()}
+    want |= {(r.repo, "description_changed", r.hash) for r in re_.description_changes(snaps).collect()}
+    assert {g for g in got if g[1] != "file_changed" and g[0] != "~end"} == want
