@@ -352,32 +352,36 @@ def repo_event_stream(
     return _events(polls, list(milestones), threshold)
 
 
-def silence_stream(heartbeats: DataFrame, *, hours: float = 4.0, delay: str = "0 seconds") -> DataFrame:
+def silence_stream(heartbeats: DataFrame, *, hours: float = 4.0, delay: str = "0 seconds", buckets: int = STATE_BUCKETS) -> DataFrame:
     """(source_id, last_seen): each silence of more than ``hours`` after a heartbeat (source_id, ts), once: as soon as the
-    watermark has moved that far past it, or when the next heartbeat tells of it."""
+    watermark has moved that far past it, or when the next heartbeat tells of it. The sources of a bucket share a state."""
     gap = int(hours * 3_600_000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, told = state.get if state.exists else (None, False)
-        out = []
-        if state.hasTimedOut:
-            out, told = [last], True
-        else:
-            for ms in sorted({int(x) for pdf in batches for x in pdf["ts_ms"]}):
-                if last is not None and ms <= last:
-                    continue
-                if last is not None and ms - last > gap and not told:
-                    out.append(last)
-                last, told = ms, False
-        state.update((last, told))
-        if not told:
-            state.setTimeoutTimestamp(max(last + gap + 1, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame({"source_id": [key[0]] * len(out), "last_seen": pd.to_datetime(out, unit="ms")})
-
-    h = heartbeats.withWatermark("ts", delay).select("source_id", "ts", F.unix_millis("ts").alias("ts_ms"))
-    return h.groupBy("source_id").applyInPandasWithState(
-        run, "source_id string, last_seen timestamp", "ms long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+        rows = [pdf[["source_id", "ts_ms"]].assign(last=False, told=False) for pdf in batches] if not state.hasTimedOut else []
+        if state.exists:
+            rows.insert(0, _unpacked(state.get[0]))
+        rows = _together(rows)
+        rows["code"] = pd.factorize(rows["source_id"], use_na_sentinel=False)[0]
+        # a heartbeat that is not newer than the last one known tells nothing
+        known = rows["code"].map(rows[rows["last"]].set_index("code")["ts_ms"])
+        rows = rows[rows["last"] | known.isna() | (rows["ts_ms"] > known)].sort_values(["code", "ts_ms"]).drop_duplicates(["code", "ts_ms"])
+        mark = state.getCurrentWatermarkMs()
+        ends = ~rows.duplicated("code", keep="last")
+        until = rows["ts_ms"].shift(-1).where(~ends, mark)
+        silent = ~rows["told"] & (until - rows["ts_ms"] > gap)
+        last = rows[ends].assign(last=True, told=rows["told"] | silent)
+        state.update((_packed(last[["source_id", "ts_ms", "last", "told"]]),))
+        waiting = last.loc[~last["told"], "ts_ms"]
+        if len(waiting):
+            state.setTimeoutTimestamp(int(max(waiting.min() + gap, mark + 1)))
+        if silent.any():
+            found = rows.loc[silent, ["source_id", "ts_ms"]]
+            yield pd.DataFrame({"source_id": found["source_id"], "last_seen": pd.to_datetime(found["ts_ms"], unit="ms", utc=True)})
+
+    h = heartbeats.withWatermark("ts", delay).select(bucket_of("source_id", buckets), "source_id", "ts", F.unix_millis("ts").alias("ts_ms"))
+    return h.groupBy("bucket").applyInPandasWithState(
+        run, "source_id string, last_seen timestamp", "heartbeats binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -187,3 +187,19 @@ def test_repositories_share_states(spark, tmp_path, delay):
     want |= {(r.repo, "commit_burst", str(r.commits)) for r in re_.commit_bursts(snaps).collect()}
     want |= {(r.repo, "description_changed", r.hash) for r in re_.description_changes(snaps).collect()}
     assert {g for g in got if g[1] != "file_changed" and g[0] != "~end"} == want
+
+
+def test_sources_share_states(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda ms: t0 + dt.timedelta(milliseconds=ms)
+    hour = 3_600_000
+    # s0 .. s39 fall silent and speak again, "edge" is silent for one millisecond more than the limit at the end
+    first = [(f"s{k}", at(k)) for k in range(40)]
+    later = [(f"s{k}", at(5 * hour + k)) for k in range(40)] + [("edge", at(5 * hour))]
+    last = [("end", at(9 * hour + 1))]
+    for rows in (first, later, last):
+        spark.createDataFrame(rows, "source_id string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert states_of(st.silence_stream(stream, hours=4, buckets=4), tmp_path) <= 4
+    got = sorted((r.source_id, r.last_seen) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted([*first, ("edge", at(5 * hour)), ("s0", at(5 * hour))])
