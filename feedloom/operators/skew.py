@@ -17,9 +17,10 @@ def slices(
 
     Buckets are pieces of a key that follow each other in ``order``, none of them crowded. The caller's bucket (a month,
     an hour, a slice of an id ...) is used where no (key, bucket) holds more than ``max_rows``; the counts come with the
-    summaries the caller needs anyway, which are written once. Otherwise the rows are cut by range on (keys, order), so
-    that even rows of one second are split by the rest of the order; the cut is checkpointed, because a retry could
-    sample other bounds.
+    summaries the caller needs anyway, which are written once. Otherwise the rows are dealt by range on (keys, order) to
+    tasks of up to SLICE_ROWS rows, and every ``max_rows`` rows of a sorted task are a bucket, so that even rows of one
+    second are split and small buckets make no more tasks; the cut is checkpointed, because a retry could sample other
+    bounds.
     """
     max_rows = SLICE_ROWS if max_rows is None else max_rows
     b = df.withColumn("_bucket", bucket)
@@ -27,9 +28,12 @@ def slices(
     if summary.where(F.col("_rows") > max_rows).isEmpty():
         return b, summary.drop("_rows")
     total = summary.agg(F.sum("_rows")).first()[0]
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-2 * total // max_rows))
-    cut = df.repartitionByRange(int(parts), *[F.col(k) for k in keys], *order)
-    cut = cut_lineage(cut.withColumn("_bucket", F.spark_partition_id()))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-2 * total // max(max_rows, SLICE_ROWS)))
+    by = [*[F.col(k) for k in keys], *order]
+    # numbered in order: the task in the upper bits, the row's place in it in the lower 33
+    place = F.monotonically_increasing_id()
+    cut = df.repartitionByRange(int(parts), *by).sortWithinPartitions(*by).withColumn("_bucket", place)
+    cut = cut_lineage(cut.withColumn("_bucket", F.expr(f"_bucket - (_bucket & {2**33 - 1}) + (_bucket & {2**33 - 1}) div {max_rows}")))
     return cut, cut.groupBy(*keys, "_bucket").agg(*aggs)
 
 

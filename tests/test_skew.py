@@ -77,3 +77,13 @@ def test_one_second_holding_everything_is_split(spark):
     assert sorted((r.i, r.n) for r in run.collect()) == [(i, i + 1) for i in range(500)]
     cut, _ = sk.slices(d, ["k"], F.col("t"), [F.asc("t"), F.asc("i")], [F.max("i")], 50)
     assert max(r["count"] for r in cut.groupBy("_bucket").count().collect()) <= 100
+
+
+@pytest.mark.parametrize("rows", [5])
+def test_small_buckets_make_no_more_tasks(spark, rows):
+    d = spark.range(20000).select(F.lit("k").alias("k"), F.col("id").alias("t"), F.pmod(F.col("id") * 7919, F.lit(20000)).alias("i"))
+    cut, _ = sk.slices(d, ["k"], F.lit(1), [F.asc("i")], [F.max("i")], rows)
+    assert cut.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in cut.groupBy("_bucket").count().collect()) <= rows
+    run = sk.running_totals(d, ["k"], F.lit(1), [F.asc("i")], {"n": F.lit(1)}, rows)
+    assert run.where("n <> i + 1").isEmpty()
