@@ -3,8 +3,9 @@
 On unit vectors the squared euclidean distance is twice the cosine distance, so a cosine radius is a euclidean one and
 the triangle inequality holds. Each base vector lives in the cell of its nearest pivot; a query visits every cell that
 can hold a vector within its radius (the distance to the bisecting plane between two pivots is a lower bound), so no
-neighbour is missed. Cells are cut into blocks of bounded size by a hash of the vector, and a block pair is one small
-matrix product that emits at most k + 1 rows per query.
+neighbour is missed. Cells are cut into blocks of bounded size by a hash of the vector, and a block pair is a sequence of
+small matrix products (``block_rows`` on a side) that emits at most k + 1 rows per query. The blocks of a nearest-neighbour
+join hold SHIPPED_ROWS at least, so that small tiles do not multiply what is shuffled.
 
 Copies: equal vectors are one base row (with the k + 1 smallest ids) and one query row, whatever their number. A vector
 held by a third of all rows therefore costs one row here; its members get the shared answer in the last join.
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from feedloom.operators.rank import top_per_group
 
 BLOCK_ROWS = 4096
+SHIPPED_ROWS = 16_384
+NEAR_ROWS = 256
 ROWS_PER_CELL = 20_000
 MAX_PIVOTS = 1024
 EPS = 1e-6
@@ -104,26 +107,50 @@ def _slots(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
 
 
-def _block_pairs(k: int, inclusive: bool):
+def _tiles(n: int, rows: int):
+    return (slice(a, a + rows) for a in range(0, n, rows))
+
+
+def _nearest_of_tile(q: np.ndarray, radius: np.ndarray, b: np.ndarray, k: int, inclusive: bool, rows: int):
+    """(row of q, row of b, distance) of the k + 1 nearest rows of ``b`` within the radius, ties by row of ``b``. What is
+    farther than the k + 1 found so far is left out before it is rounded or sorted."""
+    row, col, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    reach = radius.copy()
+    for part in _tiles(len(b), rows):
+        s = q @ b[part].T
+        if part.start == 0 and s.shape[1] > k + 1:
+            reach = np.minimum(reach, 1.0 - np.partition(s, s.shape[1] - k - 1, axis=1)[:, -k - 1] + EPS)
+        i, j = np.nonzero(s >= (1.0 - reach - 2 * EPS)[:, None])
+        d = np.round(1.0 - s[i, j], 6) + 0.0
+        ok = d <= radius[i] if inclusive else d < radius[i]
+        if not ok.any():
+            continue
+        row, col, dist = np.r_[row, i[ok]], np.r_[col, j[ok] + part.start], np.r_[dist, d[ok]]
+        order = np.lexsort((col, dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        full = nth == k
+        reach[row[full]] = np.minimum(reach[row[full]], dist[full] + EPS)
+        row, col, dist = row[nth <= k], col[nth <= k], dist[nth <= k]
+    return row, col, dist
+
+
+def _block_pairs(k: int, inclusive: bool, tile_rows: int):
     def run(bdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
         out = {"vkey": [], "radius": [], "id": [], "distance": []}
         if len(bdf) and len(qdf):
             bdf = bdf.assign(first=[v[0] for v in bdf["ids"]]).sort_values("first", kind="stable")
-            d = cosine_distances(unit_rows(qdf["vec"]), unit_rows(bdf["vec"]))
-            r = qdf["radius"].to_numpy(dtype=float)[:, None]
-            ok = d <= r if inclusive else d < r
-            if d.shape[1] > k + 1:
-                ok &= d <= np.partition(d, k, axis=1)[:, k][:, None]
-            row, col = np.nonzero(ok)
-            dist = d[row, col]
-            order = np.lexsort((col, dist, row))
-            row, col, dist = row[order], col[order], dist[order]
-            nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-            keep = nth <= k
-            ids, row, col, dist = bdf["ids"].to_numpy(), row[keep], col[keep], dist[keep]
-            size = np.fromiter((len(x) for x in ids), np.int64, len(ids))[col]
-            out["vkey"], out["radius"] = np.repeat(qdf["vkey"].to_numpy()[row], size), np.repeat(qdf["radius"].to_numpy()[row], size)
-            out["id"], out["distance"] = [x for j in col for x in ids[j]], np.repeat(dist, size)
+            b, radius = unit_rows(bdf["vec"]), qdf["radius"].to_numpy(dtype=float)
+            ids = bdf["ids"].to_numpy()
+            sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
+            for part in _tiles(len(qdf), tile_rows):
+                row, col, dist = _nearest_of_tile(unit_rows(qdf["vec"].iloc[part]), radius[part], b, k, inclusive, tile_rows)
+                row, size = row + part.start, sizes[col]
+                out["vkey"].append(np.repeat(qdf["vkey"].to_numpy()[row], size))
+                out["radius"].append(np.repeat(radius[row], size))
+                out["id"] += [x for j in col for x in ids[j]]
+                out["distance"].append(np.repeat(dist, size))
+            out = {c: v if c == "id" else np.concatenate(v) for c, v in out.items()}
         return pd.DataFrame(out).astype({"vkey": object, "radius": float, "id": object, "distance": float})
 
     return run
@@ -161,10 +188,11 @@ def copies(base: DataFrame, k: int, more: list[str] | None = None) -> DataFrame:
 
 def answers(q: DataFrame, base: DataFrame, asked: DataFrame, *, k: int, exclude_self: bool, inclusive: bool, block_rows: int) -> DataFrame:
     """Neighbours of the queries ``q`` from base rows and query rows that were sent to their cells."""
-    bb, qq = _blocks(base, asked, block_rows)
+    # a row is sent once for each block of the other side: few large ones, which the task takes tile by tile
+    bb, qq = _blocks(base, asked, max(block_rows, SHIPPED_ROWS))
     keys = ["cell", "bs", "qs"]
     hits = bb.groupBy(*keys).cogroup(qq.groupBy(*keys)).applyInPandas(
-        _block_pairs(k, inclusive), "vkey string, radius double, id string, distance double"
+        _block_pairs(k, inclusive, block_rows), "vkey string, radius double, id string, distance double"
     )
     best = top_per_group(hits, ["vkey", "radius"], [F.asc("distance"), F.asc("id")], k + 1).drop("rn")
     out = q.drop("vec").join(best, ["vkey", "radius"])
@@ -174,13 +202,23 @@ def answers(q: DataFrame, base: DataFrame, asked: DataFrame, *, k: int, exclude_
     return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("query_id", "id", "distance", "rn")
 
 
+def _near(bdf: pd.DataFrame, qdf: pd.DataFrame):
+    """(first row, which base rows are within the radius) for few queries at a time: a block pair is no matrix of doubles."""
+    b, radius = unit_rows(bdf["vec"]), qdf["radius"].to_numpy(dtype=float)[:, None]
+    for part in _tiles(len(qdf), NEAR_ROWS):
+        yield part.start, cosine_distances(unit_rows(qdf["vec"].iloc[part]), b) < radius[part]
+
+
 def _block_first(bdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
     if not len(bdf) or not len(qdf):
         return pd.DataFrame({"vkey": [], "id": []}, dtype=object)
     bdf = bdf.sort_values("id", kind="stable")
-    ok = cosine_distances(unit_rows(qdf["vec"]), unit_rows(bdf["vec"])) < qdf["radius"].to_numpy(dtype=float)[:, None]
-    some = ok.any(axis=1)
-    return pd.DataFrame({"vkey": qdf["vkey"].to_numpy()[some], "id": bdf["id"].to_numpy()[ok.argmax(axis=1)[some]]})
+    row, col = [], []
+    for start, near in _near(bdf, qdf):
+        some = np.flatnonzero(near.any(axis=1))
+        row.append(start + some)
+        col.append(near.argmax(axis=1)[some])
+    return pd.DataFrame({"vkey": qdf["vkey"].to_numpy()[np.concatenate(row)], "id": bdf["id"].to_numpy()[np.concatenate(col)]})
 
 
 def first_within(
@@ -205,8 +243,12 @@ def first_within(
 def _block_all(bdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
     if not len(bdf) or not len(qdf):
         return pd.DataFrame({"vkey": [], "other": []}, dtype=object)
-    near = cosine_distances(unit_rows(qdf["vec"]), unit_rows(bdf["vec"])) < qdf["radius"].to_numpy(dtype=float)[:, None]
-    i, j = np.nonzero(near)
+    row, col = [], []
+    for start, near in _near(bdf, qdf):
+        i, j = np.nonzero(near)
+        row.append(start + i)
+        col.append(j)
+    i, j = np.concatenate(row), np.concatenate(col)
     return pd.DataFrame({"vkey": qdf["vkey"].to_numpy()[i], "other": bdf["vkey"].to_numpy()[j]})
 
 

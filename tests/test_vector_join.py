@@ -95,3 +95,19 @@ def test_gate_paths_agree_and_limit_matters(spark):
     assert one["i"] == pytest.approx(1.0)  # the negative is beyond the first neighbour
     none = st.gate_scores(items, refs.where("false")).collect()
     assert all(r.gate_score == 0.0 for r in none)
+
+
+def test_tiles_of_a_task_do_not_multiply_the_shuffle(spark, vectors, monkeypatch):
+    from feedloom.operators import vector_join as vj
+
+    sent = []
+    blocks = vj._blocks
+    monkeypatch.setattr(vj, "_blocks", lambda *a: sent.append(blocks(*a)) or sent[-1])
+    df = frame(spark, vectors)
+    want = {(r.query_id, r.id, r.distance) for r in nearest_within(df, df, k=3, radius=2.0, block_rows=4096).collect()}
+    got = {(r.query_id, r.id, r.distance) for r in nearest_within(df, df, k=3, radius=2.0, block_rows=4).collect()}
+    assert got == want and len({b.count() for b, _ in sent}) == 1
+    # and with blocks that are cut on both sides
+    monkeypatch.setattr(vj, "SHIPPED_ROWS", 10)
+    assert {(r.query_id, r.id, r.distance) for r in nearest_within(df, df, k=3, radius=2.0, block_rows=4).collect()} == want
+    assert sent[-1][0].count() > sent[0][0].count()
