@@ -166,14 +166,19 @@ def diff_all(
     """The same page for every profile at once.
 
     An item on a user's page is also among the first ``limit`` of each of its tags the user follows, so only that many
-    rows per tag are kept (inside the map tasks) before they meet the users: no user x item pairs are formed.
+    rows per tag are kept (inside the map tasks). Users of the same tags have the same page: it is made once for each set
+    of tags, and the users meet whole pages only. Rows of one user are one profile.
     """
     rows = _delta_rows(items, fl.days_back(as_of, days), None, None, None)
     keep = ["id", "severity", "relevance_score"]
     heads = rk.top_per_group(jn.explode_tags(rows, *keep), ["tag"], severity_order(), limit, "_tag_rn").drop("_tag_rn")
     wants = profiles.select("user_id", F.explode(pf.profile_tags(c("profile"))).alias("tag"))
-    pairs = wants.join(heads, "tag").select("user_id", *keep).distinct()
-    return rk.top_per_group(pairs, ["user_id"], severity_order(), limit, "pos")
+    users = wants.groupBy("user_id").agg(F.array_sort(F.collect_set("tag")).alias("_tags"))
+    sets = users.select("_tags").distinct().select("_tags", F.explode("_tags").alias("tag"))
+    pairs = sets.join(heads, "tag").select("_tags", *keep).distinct()
+    pages = rk.top_per_group(pairs, ["_tags"], severity_order(), limit, "pos")
+    pages = pages.groupBy("_tags").agg(F.collect_list(F.struct(*keep, "pos")).alias("_page"))
+    return users.join(pages, "_tags").select("user_id", F.inline("_page"))
 
 
 def action_items(
