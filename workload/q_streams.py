@@ -61,10 +61,15 @@ def in_time_order(t: Tables, name: str, n: int, inputs: list, plan, last=None, r
 
 
 def in_files(t: Tables, rows, n: int = 4):
-    """The rows as a stream of ``n`` micro-batches."""
+    """The rows as a stream of ``n`` micro-batches, each of as many files as the rows have tasks: no task gets a whole batch."""
     path = st.scratch(t.spark, "input")
-    rows.repartition(n).write.parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    part = (F.monotonically_increasing_id() % n).alias("_part")
+    rows.select(*rows.columns, part).write.partitionBy("_part").parquet(path)
+    files = len(t.spark.read.schema(rows.schema).parquet(path).inputFiles())
+    if not files:
+        rows.write.mode("append").parquet(path)  # a file without rows, so that an empty table makes a batch too
+    reader = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max(1, -(-files // n)))
+    return reader.parquet(path)
 
 
 MATCH = f"""low AS MATERIALIZED (SELECT id, created_at, significance, {LOW} AS low FROM items),
