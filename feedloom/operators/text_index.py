@@ -1,12 +1,12 @@
 """Stored full-text index: positional posting lists in blocks of documents, with a score bound for each block.
 
-A block holds the documents (4,096) that follow each other in one task of the build; the task inverts it in memory, so
-only finished posting rows are shuffled. A posting row is one (term, block): delta-coded document numbers, occurrences by
-field, delta-coded positions, and the highest score that the term reaches in a document of the block. Rows lie in folders
-by a hash of the term, sorted by term, so a query opens the folders of its words and skips the row groups of other words.
-One directory row for each block names its documents. A frequent term's rows are spread over files by block.
+A block holds the documents (4,096) that follow each other in one task of the build; the task inverts it in memory, in
+pieces of up to 1,000,000 tokens however long the texts are, so only finished posting rows are shuffled. A posting row is one
+(term, block, piece): delta-coded document numbers, occurrences by field, delta-coded positions, and the highest score that
+the term reaches in a document of the piece. Rows lie in folders by a hash of the term, sorted by term, so a query opens the
+folders of its words and skips the row groups of other words. One directory row for each piece names its documents. A frequent term's rows are spread over files by block.
 
-Terms of a query meet block by block (a group holds one row per term and block, whatever the table's size): words and OR
+Terms of a query meet block by block (a group holds the rows of its words in one block, whatever the table's size): words and OR
 groups by document numbers, phrases by merging positions. ``top`` finds the best k by score * factor without scoring all
 blocks: it scores the blocks with the highest bounds, takes the k-th score as a floor and scores only those other blocks
 whose bound reaches it.
@@ -32,6 +32,7 @@ from feedloom.functions import text as tx
 from feedloom.operators import text_match as tm
 
 BITS = 12  # of a document's number inside its block
+TOKENS = 1_000_000  # that a task inverts at once
 BATCH = 39  # bits of a block number below the batch: 2^18 tasks of 2^33 rows; 4,095 batches before a rebuild
 DIRECTORY = -1  # bucket of the directory rows
 WARM = 8  # blocks that give the first floor
@@ -51,38 +52,62 @@ def _bucket(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % buckets
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Table]:
+    """Runs of rows of one block that hold up to ``tokens`` tokens, or one document more than that."""
+    kept: list[pa.RecordBatch] = []
+    held, last = 0, None
+    for b in batches:
+        block = b.column(0).to_pylist()
+        size = sum(np.diff(lists.offsets.to_numpy()) for lists in b.columns if pa.types.is_list(lists.type)).tolist()
+        start = 0
+        for k, (at, n) in enumerate(zip(block, size)):
+            if last is not None and (at != last or held + n > tokens):
+                if start < k:
+                    kept.append(b.slice(start, k - start))
+                yield pa.Table.from_batches(kept)
+                kept, held, start = [], 0, k
+            last = at
+            held += n
+        if start < len(block):
+            kept.append(b.slice(start))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def _inverted(block: pa.Table, weights: list[float], buckets: int) -> pa.RecordBatch:
-    """Posting rows and the directory row of one block (columns block, local, id, chars, one list of tokens per field)."""
+    """Posting rows and the directory row of documents of one block (columns block, local, id, chars, one list of tokens per field)."""
     local = block["local"].to_numpy()
-    terms, doc, place, part = [], [], [], []
-    for f in range(len(weights)):
+    fields = len(weights)
+    terms, at, place = [], [], []
+    for f in range(fields):
         lists = block[f"f{f}"].combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
         terms.append(lists.flatten())
-        doc.append(np.repeat(np.arange(len(local)), size))
-        place.append(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-        part.append(np.full(size.sum(), f))
+        at.append(np.repeat(np.arange(len(local)) * fields + f, size))
+        place.append(np.arange(size.sum(), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size))
     coded = pa.concat_arrays(terms).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    code, doc, place, part = coded.indices.to_numpy(), np.concatenate(doc), np.concatenate(place), np.concatenate(part)
-    order = np.lexsort((place, part, doc, code))
-    code, doc, place, part = code[order], doc[order], place[order], part[order]
-    run = np.flatnonzero(np.r_[True, (np.diff(code) != 0) | (np.diff(doc) != 0) | (np.diff(part) != 0)]) if len(code) else np.zeros(0, int)
-    step = place.copy()
-    step[1:] -= place[:-1]
-    step[run] = place[run]
-    entry = np.flatnonzero(np.r_[True, (np.diff(code) != 0) | (np.diff(doc) != 0)]) if len(code) else run
-    of = np.cumsum(np.isin(np.arange(len(code)), entry)) - 1
-    counts = np.zeros((len(entry), len(weights)), np.int64)
-    np.add.at(counts, (of, part), 1)
+    del terms
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    n = len(words)
+    # one number for term, document and field; places of equal ones already follow each other
+    key = code.astype(np.int64) * (len(local) * fields) + np.concatenate(at)
+    order = np.argsort(key, kind="stable")
+    key, step = key[order], np.concatenate(place)[order]
+    run = np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.zeros(0, int)
+    starts, occurs = step[run], np.diff(np.r_[run, len(key)])
+    step[1:] -= step[:-1].copy()
+    step[run] = starts
+    pair = key[run] // fields
+    new = np.r_[True, np.diff(pair) != 0] if len(pair) else np.zeros(0, bool)
+    entry = np.flatnonzero(new)
+    counts = np.zeros((len(entry), fields), np.int64)
+    counts[np.cumsum(new) - 1, key[run] % fields] = occurs
     score = (np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * np.array(weights)).sum(axis=1)
-    owner = code[entry]
+    owner, number = pair[entry] // max(len(local), 1), local[pair[entry] % max(len(local), 1)]
     first = np.flatnonzero(np.r_[True, np.diff(owner) != 0]) if len(owner) else entry
-    number = local[doc[entry]]
     delta = number.copy()
     delta[1:] -= number[:-1]
     delta[first] = number[first]
-    n = len(words)
     bound = np.maximum.reduceat(score, first) if n else np.zeros(0)
     none = pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int32()))
     postings = [
@@ -178,6 +203,7 @@ class TextIndex:
     buckets: int = 64
     weights: dict = field(default_factory=lambda: dict(tm.FIELD_WEIGHTS))
     bits: int = BITS
+    tokens: int = TOKENS
 
     # ---- writing ----
 
@@ -190,23 +216,15 @@ class TextIndex:
         rows = order.select("id", at.alias("at"), F.length(F.coalesce("content", F.lit(""))).alias("chars"), *[tx.tokens(F.col(f)).alias(f"f{k}") for k, f in enumerate(self.weights)])
         rows = rows.select((F.shiftright("at", bits) + F.lit(batch << BATCH + BITS - bits)).alias("block"), F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("local"), "id", "chars", *[f"f{k}" for k in range(len(weights))])
 
+        tokens = self.tokens
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: list[pa.RecordBatch] = []
-            for b in batches:
-                block = b.column(0).to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-                for x, y in zip(cuts, cuts[1:]):
-                    if kept and x < y and kept[-1].column(0)[0].as_py() != block[x]:
-                        yield _inverted(pa.Table.from_batches(kept), weights, buckets)
-                        kept = []
-                    if x < y:
-                        kept.append(b.slice(x, y - x))
-            if kept:
-                yield _inverted(pa.Table.from_batches(kept), weights, buckets)
-
-        out = rows.mapInArrow(run, SCHEMA).withColumn("batch", F.lit(batch))
-        out = out.repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(spread))).sortWithinPartitions("bucket", "term", "block")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(self.path)
+            for piece in _pieces(batches, tokens):
+                yield _inverted(piece, weights, buckets)
+
+        out = rows.mapInArrow(run, SCHEMA).repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(spread)))
+        # the folder of the batch is named here: a column for it would have the writer sort all rows again
+        out.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
         return self
 
     # ---- reading ----

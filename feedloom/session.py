@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a Python worker holds a batch several times over, and texts may be long
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # rank limits up to this size are applied inside the map tasks, before a hot key is shuffled
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }

@@ -93,3 +93,20 @@ def test_indexed_search_reads_no_content(spark, tmp_path):
     rows = se.admitted(items, ix, se.search_filters(as_of=as_of()))
     assert "content:" not in rows._jdf.queryExecution().explainString(mode)
     assert sorted(map(tuple, page.select("id", "rank", "pos").collect())) == sorted(map(tuple, se.text_search(items, q="that with", as_of=as_of()).select("id", "rank", "pos").collect()))
+
+
+def test_a_block_of_long_texts_is_inverted_in_pieces(spark, texts, tmp_path):
+    whole = TextIndex(spark, str(tmp_path / "whole"), buckets=4).append(texts.coalesce(1))
+    cut = TextIndex(spark, str(tmp_path / "cut"), buckets=4, tokens=500).append(texts.coalesce(1))
+    most = cut._read().where(F.col("bucket") != DIRECTORY).select(F.max(F.size("places"))).first()[0]
+    assert most <= 500 < whole._read().where(F.col("bucket") != DIRECTORY).select(F.max(F.size("places"))).first()[0]
+    for q in QUERIES:
+        a, b = (sorted(map(tuple, ix.hits(q).select("id", "chars", "every", "some", "score").collect())) for ix in (whole, cut))
+        assert a == b
+    assert sorted(map(tuple, whole.documents().select("id", "ord").collect())) == sorted(map(tuple, cut.documents().select("id", "ord").collect()))
+
+
+def test_one_text_longer_than_a_piece(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "one", None, "x " * 50), ("b", "two", "", ""), ("c", "one two", "x", "y x")], "id string, title string, excerpt string, content string").coalesce(1)
+    ix = TextIndex(spark, str(tmp_path / "ix"), buckets=2, tokens=10).append(rows)
+    assert sorted((r["id"], round(r["score"], 6)) for r in ix.hits("x").select("id", "score").collect()) == [("a", 1.082405), ("c", 0.9)]
