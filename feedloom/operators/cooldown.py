@@ -1,14 +1,18 @@
 """Greedy cooldown: per key the first event fires, then the first one at least ``cooldown`` seconds after the last fire.
 
 This is inherently sequential per key, so what reaches one task per key is made small first: events are reduced to one
-per (key, second), and the seconds of a key to bitmaps of 4 kB per 32,768 seconds. A key with a year of events, however
-many, is 963 bitmaps.
+per (key, second), and the seconds of a key to words of 64 bits: a lone second costs one row, and a key with a year of
+events, however many, is half a million rows, which pass a task in order. After deliveries, which have few keys (rules),
+the seconds are bitmaps of 4 kB per 32,768 seconds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BITS = 32768
@@ -53,14 +57,34 @@ def _fold_attempts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": pdf["key"].iloc[0], "second": np.concatenate(tried).astype("int64")})
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("bucket")
-    ready, fired = -(2**62), []
-    for bucket, bits, cooldown in zip(pdf["bucket"], pdf["bits"], pdf["cooldown_seconds"]):
-        on = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"))
-        got, ready = fire_seconds((int(bucket) - 1) * BITS + on + 1, int(cooldown), ready)
-        fired += got
-    return pd.DataFrame({"key": pdf["key"].iloc[0], "second": np.array(fired, dtype="int64")})
+def _fires(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fires of words of 64 seconds (key, base, bits, cooldown_seconds), sorted by key and base, all keys of a batch in one pass.
+
+    A second's successor is the first one of its key after the cooldown, or else the first of the next key, which always
+    fires; so the fires of a batch are one chain. What a key carries over to the next batch is when it is ready again.
+    """
+    last, ready = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(0)
+        code = keys.dictionary_encode().indices.to_numpy()
+        base, bits, wait = (b.column(k).to_numpy() for k in (1, 2, 3))
+        row, bit = np.nonzero(np.unpackbits(bits.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        second, low = base[row] + bit, int(base.min())
+        span = int(base.max()) + 64 - low
+        rank = np.cumsum(np.r_[0, np.diff(code) != 0])[row] * (2 * span + 2)
+        place = rank + (second - low)
+        then = np.searchsorted(place, place + np.minimum(wait, span)[row]).tolist()
+        at = int(np.searchsorted(place, min(max(ready - low, 0), span))) if keys[0].as_py() == last else 0
+        fired = []
+        while at < len(then):
+            fired.append(at)
+            at = then[at]
+        if fired and code[row[fired[-1]]] == code[-1]:
+            ready = int(second[fired[-1]]) + int(wait[row[fired[-1]]])
+        last = keys[len(base) - 1].as_py()
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[fired])), pa.array(second[fired])], ["key", "second"])
 
 
 def one_per_second(events: DataFrame) -> DataFrame:
@@ -77,10 +101,11 @@ def greedy_cooldown(events: DataFrame) -> DataFrame:
     A cooldown below one second lets every second fire once.
     """
     e = one_per_second(events.withColumn("cooldown_seconds", F.greatest("cooldown_seconds", F.lit(1))))
-    maps = e.groupBy("key", F.bitmap_bucket_number("second").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("second")).alias("bits"), F.max("cooldown_seconds").alias("cooldown_seconds")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("second", F.lit(64)).cast("int"))
+    words = e.where("key IS NOT NULL").groupBy("key", (F.col("second") - F.pmod("second", F.lit(64))).alias("base")).agg(
+        F.bit_or(bit).alias("bits"), F.max(F.col("cooldown_seconds").cast("long")).alias("cooldown_seconds")
     )
-    fires = maps.groupBy("key").applyInPandas(_fold, "key string, second long")
+    fires = words.repartition("key").sortWithinPartitions("key", "base").mapInArrow(_fires, "key string, second long")
     return e.join(fires, ["key", "second"])
 
 

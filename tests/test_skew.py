@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.operators import cooldown as cd
 from feedloom.operators import skew as sk
 from feedloom.operators.cooldown import greedy_cooldown
 
@@ -71,6 +73,30 @@ def test_greedy_cooldown(spark, data, cooldown, base):
     assert got == want
 
 
+def test_cooldown_over_batches_and_with_long_waits():
+    rng, want, rows = random.Random(5), [], []
+    for key in ["a", "b", "c", "d", "é"]:
+        wait, ready = rng.choice([1, 3, 90, 2**40]), -(2**62)
+        held = {}
+        for s in sorted(rng.sample(range(-300, 900), 200)):
+            held[s // 64 * 64] = held.get(s // 64 * 64, 0) | 1 << s % 64
+            if s >= ready:
+                want.append((key, s))
+                ready = s + wait
+        rows += [(key, base, bits - (bits >> 63 << 64), wait) for base, bits in held.items()]
+    for size in (1, 2, 5, 7, len(rows)):
+        parts = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + size])], ["key", "base", "bits", "cooldown_seconds"]) for k in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in cd._fires(iter(parts)) for r in b.to_pylist()] == want
+
+
+def test_a_lone_second_is_no_bitmap(spark):
+    """Keys with few events cost by their events: no group of Python and no page of bits for each."""
+    d = spark.range(50).select(F.concat(F.lit("k"), F.col("id") % 10).alias("key"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"), "id", F.lit(60).alias("cooldown_seconds"))
+    out = greedy_cooldown(d)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 50 and "bitmap_construct_agg" not in plan and "FlatMapGroups" not in plan
+
+
 def test_one_second_holding_everything_is_split(spark):
     d = spark.range(500).select(F.lit("k").alias("k"), F.lit(1).alias("t"), F.col("id").alias("i")).repartition(7)
     run = sk.running_totals(d, ["k"], F.col("t"), [F.asc("t"), F.asc("i")], {"n": F.lit(1)}, 50)
