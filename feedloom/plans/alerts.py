@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -33,10 +33,10 @@ def _keywords(rules: DataFrame) -> DataFrame:
 
 
 def keyword_finder(words: list[str]):
-    """pandas UDF: all given words contained in a lower-cased text, by one automaton pass over it, built once per task."""
+    """Arrow UDF: all given words contained in a lower-cased text, by one automaton pass over it, built once per task. Of a
+    batch only one text at a time is a Python string."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
@@ -44,9 +44,10 @@ def keyword_finder(words: list[str]):
             machine.add_word(w, w)
         machine.make_automaton()
         for texts in batches:
-            yield texts.map(lambda t: sorted({w for _, w in machine.iter(t)}) if t else [])
+            yield pa.array((sorted({w for _, w in machine.iter(t.as_py())}) if t.is_valid else [] for t in texts), pa.list_(pa.string()))
 
-    return find
+    find.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(find, ArrayType(StringType()))
 
 
 def active_keywords(rules: DataFrame) -> list[str]:

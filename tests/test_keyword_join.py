@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from feedloom.operators.keyword_join import contained_keywords, posted_keywords
@@ -32,3 +33,14 @@ def test_rules_match_alike_by_automaton_and_join(spark):
     assert sorted(map(str, al.match_rules(items, rules, most_keywords=0).select(*cols).collect())) == want
     twice = rules.withColumn("keywords", F.concat("keywords", F.array(F.lit("THE"), F.lit("e"))))
     assert sorted(map(str, al.match_rules(items, twice).select(*cols).collect())) == sorted(map(str, al.match_rules(items, twice, most_keywords=1).select(*cols).collect()))
+
+
+def test_batches_of_long_texts_are_small(spark):
+    from feedloom.plans.alerts import keyword_finder
+
+    texts = spark.range(0, 60, 1, 1).select(F.col("id"), F.when(F.col("id") > 0, F.concat(F.repeat(F.lit("x"), 1_000_000), F.lit(" ünd mcp"))).alias("text"))
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"id": [b.nbytes]}) for b in batches), "id long")
+    assert max(r["id"] for r in sizes.collect()) <= 20_000_000
+    find = keyword_finder(["mcp", "ünd", "no"])
+    found = texts.select("id", find("text").alias("k")).collect()
+    assert [r["k"] for r in found] == [[]] + [["mcp", "ünd"]] * 59
