@@ -89,6 +89,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def token_text(text: Column) -> Column:
+    """The lower-cased text for a splitter outside the JVM. Characters that the JVM's Unicode does not know are blanks, as
+    ``tokens`` takes them for separators where a newer Unicode may see letters."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike(r"\p{Cn}"), F.regexp_replace(low, r"\p{Cn}", " ")).otherwise(low)
+
+
 def query_terms(q: str) -> list[str]:
     """ASCII words of one query, lower-cased, in order (driver side: one query is one small string)."""
     return re.findall(r"[a-zA-Z0-9]+", q.lower())

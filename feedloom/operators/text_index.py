@@ -2,9 +2,12 @@
 
 A block holds the documents (4,096) that follow each other in one task of the build; the task inverts it in memory, in
 pieces of up to 1,000,000 tokens however long the texts are, so only finished posting rows are shuffled. A posting row is one
-(term, block, piece): delta-coded document numbers, occurrences by field, delta-coded positions, and the highest score that
-the term reaches in a document of the piece. Rows lie in folders by a hash of the term, sorted by term, so a query opens the
-folders of its words and skips the row groups of other words. One directory row for each piece names its documents. A frequent term's rows are spread over files by block.
+(group, block, piece), where a group is the terms of one hash (32 groups a folder): the terms, and one after the other their
+documents as delta-coded numbers, occurrences by field, delta-coded positions, and the highest score that each term reaches in
+a document of the piece. Rows of single terms would be fifty times as many, and their sort and their files were most of the
+build. Numbers are bytes of 7 bits, low ones first. Rows lie in folders by the hash, sorted by group, so a query opens the
+folders of its words and skips the pages of other groups. One directory row for each piece names its documents. A frequent
+term's rows are spread over files by block. Texts are lower-cased by Spark and split by Arrow.
 
 Terms of a query meet block by block (a group holds the rows of its words in one block, whatever the table's size): words and OR
 groups by document numbers, phrases by merging positions. ``top`` finds the best k by score * factor without scoring all
@@ -24,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +39,77 @@ BITS = 12  # of a document's number inside its block
 TOKENS = 1_000_000  # that a task inverts at once
 BATCH = 39  # bits of a block number below the batch: 2^18 tasks of 2^33 rows; 4,095 batches before a rebuild
 DIRECTORY = -1  # bucket of the directory rows
+PARTS = 32  # groups of terms in a folder
 WARM = 8  # blocks that give the first floor
-SCHEMA = "bucket int, term string, block long, docs array<int>, counts array<int>, places array<int>, bound double, ids array<string>, chars array<int>"
-
-
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+SCHEMA = (
+    "bucket int, part int, block long, terms string, bounds array<double>, sizes binary, docs binary, counts binary, "
+    "places array<bigint>, numbers array<int>, ids array<string>, chars array<int>"
+)
+SEPARATOR = r"[^\p{L}\p{N}]+"
+
+
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends of the values in them): 7 bits a byte, low ones first, the high bit set in all but the last."""
+    high = values >> 7
+    more = np.flatnonzero(high)
+    if not len(more):
+        return values.astype(np.uint8), np.arange(len(values) + 1)
+    size, rest = np.ones(len(values), np.int64), high[more]
+    at = more
+    while len(at):
+        size[at] += 1
+        rest = rest >> 7
+        at, rest = at[rest > 0], rest[rest > 0]
+    ends = np.r_[0, np.cumsum(size)]
+    out = np.empty(ends[-1], np.uint8)
+    out[ends[:-1]] = (values & 127) | ((high > 0) << 7)
+    at, rest = ends[more] + 1, high[more]
+    while len(at):
+        high = rest >> 7
+        out[at] = (rest & 127) | ((high > 0) << 7)
+        at, rest = at[high > 0] + 1, high[high > 0]
+    return out, ends
+
+
+def _numbers(coded: np.ndarray) -> np.ndarray:
+    """The values that ``_coded`` wrote."""
+    last = coded < 128
+    start = np.r_[0, np.flatnonzero(last)[:-1] + 1] if len(coded) else np.zeros(0, int)
+    place = np.arange(len(coded)) - np.repeat(start, np.diff(np.r_[start, len(coded)]))
+    return np.add.reduceat((coded & 127).astype(np.int64) << 7 * place, start) if len(coded) else np.zeros(0, np.int64)
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One string of bytes for each run of values."""
+    data, at = _coded(values)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(data)])
+
+
+def _words(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The same as lists of words of eight bytes, filled up with zeros."""
+    data, at = _coded(values)
+    size = np.diff(at[ends])
+    words = np.r_[0, np.cumsum(-(-size // 8))]
+    out = np.zeros(words[-1] * 8, np.uint8)
+    out[np.arange(len(data)) + np.repeat(words[:-1] * 8 - at[ends][:-1], size)] = data
+    return pa.ListArray.from_arrays(pa.array(words, pa.int32()), pa.array(out.view(np.int64)))
+
+
+def _split(texts: pa.Array) -> pa.ListArray:
+    """The tokens of lower-cased texts, as ``text.tokens`` finds them."""
+    lists = pc.split_pattern_regex(texts, SEPARATOR)
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)  # the ends of a text that begins or ends with a separator are empty
+    ends = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+    return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), flat.filter(full))
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches with lists of tokens in place of texts, ``rows`` texts at a time."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            part = b.slice(start, rows)
+            yield pa.RecordBatch.from_arrays([_split(x) if pa.types.is_string(x.type) and name != "id" else x for name, x in zip(part.schema.names, part.columns)], part.schema.names)
 
 
 def _ends(of: np.ndarray, groups: int) -> np.ndarray:
@@ -48,8 +117,9 @@ def _ends(of: np.ndarray, groups: int) -> np.ndarray:
     return np.r_[0, np.cumsum(np.bincount(of, minlength=groups))]
 
 
-def _bucket(term: str, buckets: int) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % buckets
+def _part(term: bytes, buckets: int) -> int:
+    """The group of a term; its folder is this number modulo ``buckets``."""
+    return zlib.crc32(term) % (buckets * PARTS)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Table]:
@@ -74,6 +144,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(kept)
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place before) in ascending order, equal keys as they came; plain numbers sort several times faster than places."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)) >> 63 - bits:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort((key << bits) | np.arange(len(key)))
+    return both >> bits, both & (1 << bits) - 1
+
+
 def _inverted(block: pa.Table, weights: list[float], buckets: int) -> pa.RecordBatch:
     """Posting rows and the directory row of documents of one block (columns block, local, id, chars, one list of tokens per field)."""
     local = block["local"].to_numpy()
@@ -87,12 +167,14 @@ def _inverted(block: pa.Table, weights: list[float], buckets: int) -> pa.RecordB
         place.append(np.arange(size.sum(), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size))
     coded = pa.concat_arrays(terms).dictionary_encode()
     del terms
-    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    n = len(words)
+    words, n = coded.dictionary, len(coded.dictionary)
+    part = np.array([_part(w, buckets) for w in words.cast(pa.binary()).to_pylist()], np.int64)
+    by_part = np.argsort(part, kind="stable")
+    part, rank = part[by_part], np.empty(n, np.int64)
+    rank[by_part] = np.arange(n)
     # one number for term, document and field; places of equal ones already follow each other
-    key = code.astype(np.int64) * (len(local) * fields) + np.concatenate(at)
-    order = np.argsort(key, kind="stable")
-    key, step = key[order], np.concatenate(place)[order]
+    key, order = _sorted(rank[coded.indices.to_numpy()] * (len(local) * fields) + np.concatenate(at))
+    step = np.concatenate(place)[order]
     run = np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.zeros(0, int)
     starts, occurs = step[run], np.diff(np.r_[run, len(key)])
     step[1:] -= step[:-1].copy()
@@ -102,24 +184,31 @@ def _inverted(block: pa.Table, weights: list[float], buckets: int) -> pa.RecordB
     entry = np.flatnonzero(new)
     counts = np.zeros((len(entry), fields), np.int64)
     counts[np.cumsum(new) - 1, key[run] % fields] = occurs
-    score = (np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * np.array(weights)).sum(axis=1)
+    logs = np.r_[0, 1 + np.log(np.arange(1, counts.max(initial=0) + 1))]
+    score = logs[counts] @ np.array(weights)
     owner, number = pair[entry] // max(len(local), 1), local[pair[entry] % max(len(local), 1)]
     first = np.flatnonzero(np.r_[True, np.diff(owner) != 0]) if len(owner) else entry
     delta = number.copy()
     delta[1:] -= number[:-1]
     delta[first] = number[first]
     bound = np.maximum.reduceat(score, first) if n else np.zeros(0)
-    none = pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int32()))
+    # runs of terms of one group, and where their documents and places end
+    head = np.flatnonzero(np.r_[True, np.diff(part) != 0]) if n else np.zeros(0, int)
+    term_ends = np.r_[head, n]
+    doc_ends = np.r_[first, len(owner)][term_ends]
+    place_ends = np.r_[0, np.cumsum(counts.sum(axis=1))][doc_ends]
+    rows, offsets, blocks = len(head), pa.array(term_ends, pa.int32()), block["block"][0].as_py()
     postings = [
-        pa.array([_bucket(w, buckets) for w in words], pa.int32()), pa.array(words, pa.string()), pa.array(np.full(n, block["block"][0].as_py())),
-        _lists(delta, _ends(owner, n)), _lists(counts.ravel(), _ends(owner, n) * len(weights)), _lists(step, _ends(code, n)), pa.array(bound), *none,
+        pa.array(part[head] % buckets, pa.int32()), pa.array(part[head], pa.int32()), pa.array(np.full(rows, blocks)),
+        pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(by_part))), " "), pa.ListArray.from_arrays(offsets, pa.array(bound)),
+        _binary(np.diff(np.r_[first, len(owner)]), term_ends), _binary(delta, doc_ends), _binary(counts.ravel(), doc_ends * fields), _words(step, place_ends),
+        pa.nulls(rows, pa.list_(pa.int32())), pa.nulls(rows, pa.list_(pa.string())), pa.nulls(rows, pa.list_(pa.int32())),
     ]
-    empty = pa.nulls(1, pa.list_(pa.int32()))
+    empty = pa.nulls(1, pa.binary())
     names = pa.array([block["id"].to_pylist()], pa.list_(pa.string()))
-    # ``docs`` of the directory: the documents' numbers
     directory = [
-        pa.array([DIRECTORY], pa.int32()), pa.nulls(1, pa.string()), pa.array([block["block"][0].as_py()]), pa.array([local.tolist()], pa.list_(pa.int32())),
-        empty, empty, pa.nulls(1, pa.float64()), names, pa.array([block["chars"].to_pylist()], pa.list_(pa.int32())),
+        pa.array([DIRECTORY], pa.int32()), pa.nulls(1, pa.int32()), pa.array([blocks]), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.float64())), empty, empty, empty,
+        pa.nulls(1, pa.list_(pa.int64())), pa.array([local.tolist()], pa.list_(pa.int32())), names, pa.array([block["chars"].to_pylist()], pa.list_(pa.int32())),
     ]
     columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
     return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(postings, directory)], columns)
@@ -145,17 +234,29 @@ class Query:
         return list(dict.fromkeys([*self.words, *self.excluded, *(t for g in [*self.groups, *self.phrases] for t in g)]))
 
 
-def _decoded(rows: list[dict], fields: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+def _held(row: dict, terms: list[str], fields: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(term, documents, counts, position steps) of those ``terms`` that a posting row holds."""
+    held = row["terms"].split(" ")
+    docs, counts, ends = (_numbers(np.frombuffer(row[c], np.uint8)) for c in ("docs", "counts", "sizes"))
+    counts, ends = counts.reshape(-1, fields), np.r_[0, np.cumsum(ends)]
+    places = np.r_[0, np.cumsum(counts.sum(axis=1))][ends]
+    steps = _numbers(np.array(row["places"], np.int64).view(np.uint8))
+    for t in terms:
+        if t in held:
+            k = held.index(t)
+            a, b = ends[k], ends[k + 1]
+            yield t, np.cumsum(docs[a:b]), counts[a:b], steps[places[k] : places[k + 1]]
+
+
+def _decoded(rows: list[tuple], fields: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """(occurrences by document of the block and field, ascending keys document | field | position) of one term."""
     tf, keys = np.zeros((block, fields), np.int64), []
-    for r in rows:
-        docs = np.cumsum(r["docs"])
-        counts = np.asarray(r["counts"]).reshape(-1, fields)
+    for docs, counts, steps in rows:
         tf[docs] = counts
         size = counts.ravel()[counts.ravel() > 0]
         start = np.cumsum(size) - size
-        total = np.cumsum(r["places"], dtype=np.int64)
-        place = total - np.repeat(total[start] - np.asarray(r["places"])[start], size)
+        total = np.cumsum(steps)
+        place = total - np.repeat(total[start] - steps[start], size)
         at = np.repeat(docs, fields).reshape(-1, fields) * fields + np.arange(fields)
         keys.append((np.repeat(at.ravel()[counts.ravel() > 0], size).astype(np.int64) << 32) | place)
     return tf, np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
@@ -164,9 +265,10 @@ def _decoded(rows: list[dict], fields: int, block: int) -> tuple[np.ndarray, np.
 def _merged(rows: list[dict], q: Query, weights: list[float], block: int) -> tuple[np.ndarray, ...]:
     """(numbers of the block's documents with any word, whether all words and phrases, whether any word, score)."""
     fields = len(weights)
-    by: dict[str, list[dict]] = {}
+    by: dict[str, list[tuple]] = {}
     for r in rows:
-        by.setdefault(r["term"], []).append(r)
+        for t, *found in _held(r, q.terms, fields):
+            by.setdefault(t, []).append(found)
     held = {t: _decoded(by.get(t, []), fields, block) for t in q.terms}
     has = {t: tf.any(axis=1) for t, (tf, _) in held.items()}
 
@@ -213,18 +315,18 @@ class TextIndex:
         weights, buckets, bits = list(self.weights.values()), self.buckets, self.bits
         order = items.select(F.col("id").cast("string").alias("id"), *self.weights).sortWithinPartitions("id")
         at = F.monotonically_increasing_id()
-        rows = order.select("id", at.alias("at"), F.length(F.coalesce("content", F.lit(""))).alias("chars"), *[tx.tokens(F.col(f)).alias(f"f{k}") for k, f in enumerate(self.weights)])
+        rows = order.select("id", at.alias("at"), F.length(F.coalesce("content", F.lit(""))).alias("chars"), *[tx.token_text(F.col(f)).alias(f"f{k}") for k, f in enumerate(self.weights)])
         rows = rows.select((F.shiftright("at", bits) + F.lit(batch << BATCH + BITS - bits)).alias("block"), F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("local"), "id", "chars", *[f"f{k}" for k in range(len(weights))])
 
         tokens = self.tokens
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for piece in _pieces(batches, tokens):
+            for piece in _pieces(_tokenised(batches), tokens):
                 yield _inverted(piece, weights, buckets)
 
         out = rows.mapInArrow(run, SCHEMA).repartition(F.col("bucket"), F.pmod(F.xxhash64("block"), F.lit(spread)))
         # the folder of the batch is named here: a column for it would have the writer sort all rows again
-        out.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
+        out.sortWithinPartitions("bucket", "part", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
         return self
 
     # ---- reading ----
@@ -235,18 +337,22 @@ class TextIndex:
     def documents(self) -> DataFrame:
         """(ord, block, id, chars) of the newest version of each document."""
         rows = self._read().where(F.col("bucket") == DIRECTORY)
-        each = rows.select("block", F.explode(F.arrays_zip("docs", "ids", "chars")).alias("d"))
-        each = each.select((F.shiftleft("block", self.bits) + F.col("d.docs")).alias("ord"), F.col("d.ids").alias("id"), F.col("d.chars").alias("chars"))
+        each = rows.select("block", F.explode(F.arrays_zip("numbers", "ids", "chars")).alias("d"))
+        each = each.select((F.shiftleft("block", self.bits) + F.col("d.numbers")).alias("ord"), F.col("d.ids").alias("id"), F.col("d.chars").alias("chars"))
         newest = each.groupBy("id").agg(F.max(F.struct("ord", "chars")).alias("m"))
         return newest.select("m.ord", F.shiftright("m.ord", self.bits).alias("block"), "id", "m.chars")
 
     def postings(self, q: Query) -> DataFrame:
-        folders = sorted({_bucket(t, self.buckets) for t in q.terms})
-        return self._read().where(F.col("bucket").isin(folders) & F.col("term").isin(q.terms)).drop("batch", "bucket", "ids", "chars")
+        """Posting rows that hold words of the query; they hold other words of the same groups too."""
+        parts = sorted({_part(t.encode("utf-8", "surrogatepass"), self.buckets) for t in q.terms})
+        rows = self._read().where(F.col("bucket").isin({p % self.buckets for p in parts}) & F.col("part").isin(parts))
+        words = F.array(*map(F.lit, q.terms)).cast("array<string>")
+        return rows.where(F.arrays_overlap(F.split("terms", " "), words)).drop("batch", "bucket", "part", "numbers", "ids", "chars")
 
     def bounds(self, q: Query, every: bool = True) -> DataFrame:
         """(block, bound): no document of the block scores more. With ``every`` only blocks that hold a word of each group."""
-        words = self.postings(q).groupBy("block", "term").agg(F.max("bound").alias("bound"))
+        each = self.postings(q).select("block", F.explode(F.arrays_zip(F.split("terms", " ").alias("term"), F.col("bounds").alias("bound"))).alias("t"))
+        words = each.where(F.col("t.term").isin(q.terms)).groupBy("block", F.col("t.term").alias("term")).agg(F.max("t.bound").alias("bound"))
         blocks = words.groupBy("block").agg(F.sum(F.when(F.col("term").isin(q.words), F.col("bound"))).alias("bound"), F.collect_set("term").alias("terms"))
         if every:
             for group in [*q.groups, *([t] for p in q.phrases for t in p)]:
@@ -266,7 +372,7 @@ class TextIndex:
             at, every, some, score = _merged(table.drop_columns(["block"]).to_pylist(), q, weights, 1 << bits)
             return pa.table({"ord": (block << bits) + at, "every": every, "some": some, "score": score})
 
-        return rows.drop("bound").groupBy("block").applyInArrow(run, "ord long, every boolean, some boolean, score double")
+        return rows.drop("bounds").groupBy("block").applyInArrow(run, "ord long, every boolean, some boolean, score double")
 
     def hits(self, q: str) -> DataFrame:
         """(id, chars, every, some, score) of the current documents with any word of the query."""

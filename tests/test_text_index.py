@@ -3,10 +3,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.functions import text as tx
 from feedloom.operators import text_match as tm
+from feedloom.operators import text_index as ti
 from feedloom.operators.text_index import DIRECTORY, Query, TextIndex
 from feedloom.plans import search as se
 from tests.conftest import files_read
@@ -110,3 +114,34 @@ def test_one_text_longer_than_a_piece(spark, tmp_path):
     rows = spark.createDataFrame([("a", "one", None, "x " * 50), ("b", "two", "", ""), ("c", "one two", "x", "y x")], "id string, title string, excerpt string, content string").coalesce(1)
     ix = TextIndex(spark, str(tmp_path / "ix"), buckets=2, tokens=10).append(rows)
     assert sorted((r["id"], round(r["score"], 6)) for r in ix.hits("x").select("id", "score").collect()) == [("a", 1.082405), ("c", 0.9)]
+
+
+def test_rows_do_not_grow_with_the_terms(spark, tmp_path):
+    rows = spark.createDataFrame([(f"d{i}", f"t{i}", None, " ".join(f"w{i * 200 + k}" for k in range(200))) for i in range(50)], "id string, title string, excerpt string, content string").coalesce(1)
+    ix = TextIndex(spark, str(tmp_path / "ix"), buckets=4).append(rows)
+    assert ix._read().where(F.col("bucket") != DIRECTORY).count() <= 4 * 32  # 10,050 terms
+    for q, want in (("w0", {"d0"}), ("w1999", {"d9"}), ("w10000", set()), ("t7 OR w0 w1400", {"d7"})):
+        assert {r["id"] for r in ix.hits(q).where("every").collect()} == want
+
+
+def test_texts_are_split_as_spark_splits_them(spark):
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["", " ", "a", " a", "a ", "..a--b..", None] + ["x".join(points[i : i + 500]) for i in range(0, len(points), 500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", tx.tokens(F.col("t")).alias("want"), tx.token_text(F.col("t")).alias("low")).orderBy("i").collect()
+    assert ti._split(pa.array([r["low"] for r in rows])).to_pylist() == [r["want"] for r in rows]
+    part = pa.array([r["low"] for r in rows]).slice(3, 3)
+    assert ti._split(part).to_pylist() == [["a"], ["a"], ["a", "b"]]
+
+
+@pytest.mark.parametrize("values", [[], [0], [127, 128, 0], [16383, 16384, 5, 2**31 - 1, 2**40]])
+def test_coded_numbers(values):
+    coded, ends = ti._coded(np.array(values, np.int64))
+    assert ti._numbers(coded).tolist() == values and ends[-1] == len(coded)
+
+
+def test_sorting_with_places():
+    small, large = np.array([3, 1, 3, 0, 1]), np.array([2**62, 5, 2**62, 5])
+    for key in (small, large, np.zeros(0, np.int64)):
+        got, order = ti._sorted(key)
+        assert got.tolist() == sorted(key.tolist()) and order.tolist() == np.argsort(key, kind="stable").tolist()
