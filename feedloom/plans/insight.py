@@ -230,7 +230,8 @@ def tldr(page: DataFrame, query: str) -> DataFrame:
     )
     sev = F.when(F.size(parts) > 0, F.concat(F.lit(" ("), F.array_join(parts, ", "), F.lit(")"))).otherwise(F.lit(""))
     summary = F.coalesce(c("top.summary"), F.lit(""))
-    cut = F.concat(F.regexp_replace(F.substring(summary, 1, 120), r"\s+\S*$", ""), F.lit("..."))
+    # \z and not $, which also stands before a last line break: a whole word would go with it
+    cut = F.concat(F.regexp_replace(F.substring(summary, 1, 120), r"\s+\S*\z", ""), F.lit("..."))
     lead = F.when(F.length(summary) > 10, cut).otherwise(F.coalesce(F.nullif(c("top.title"), F.lit("")), F.lit("untitled")))
     count = F.concat(c("n"), F.when(c("n") == 1, F.lit(" result")).otherwise(F.lit(" results")))
     text = F.when(c("n") == 0, F.lit(f'No results found for "{query}".')).otherwise(

@@ -138,6 +138,12 @@ def test_empty_pages(spark):
     assert br.compress_briefing(page).count() == 0
 
 
+def test_summary_line_keeps_the_word_before_a_last_line_break(spark):
+    text = "word " * 23 + "tail\n"  # 120 characters
+    page = spark.createDataFrame([(1, "T", text + "more", "minor")], "pos int, title string, summary string, significance string")
+    assert ins.tldr(page, "q").first()[0] == "Found 1 result. Top: " + text[:-1] + "..."
+
+
 def test_bullets_by_tag_when_there_is_one_tier(spark):
     rows = [(1, "A", "minor", ["x"]), (2, "B", "minor", ["y"]), (3, "C", "minor", ["y"]), (4, "D", "minor", [])]
     page = spark.createDataFrame(rows, "pos int, title string, significance string, tags array<string>").withColumn("summary", F.lit(None).cast("string")).withColumn("excerpt", F.lit(None).cast("string"))
