@@ -163,7 +163,8 @@ def nearest_within(
     """(query_id, id, distance, rn): the k nearest base rows of every query, ties by id.
 
     ``queries`` and ``base`` carry (id string, vec array); ``radius`` may be a column of ``queries``. Distances are
-    compared after rounding to six digits.
+    compared after rounding to six digits. ``queries`` is read twice and must hold the same bits both times: store
+    vectors that are computed by sums first.
     """
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
     q = queries.where(F.col("vec").isNotNull()).select(

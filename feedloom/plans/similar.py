@@ -32,8 +32,13 @@ def similar_by_id(items: DataFrame, *, item_id: str, radius: float = 0.45, limit
 
 def watchlist_matches(items: DataFrame, watchlists: DataFrame, *, limit: int = 20, index: VectorIndex | None = None, **tuning) -> DataFrame:
     """Best items of every active watchlist at once, each with its own similarity threshold. ``index``: the stored vectors
-    of the processed items."""
+    of the processed items.
+
+    The watchlists are stored before the join, which reads them twice and tells vectors by their bits: a concept is often a
+    mean, whose last bits depend on the order in which its parts arrive.
+    """
     w = watchlists.where("is_active").select("id", c("concept_embedding").alias("vec"), (1.0 - c("similarity_threshold")).alias("r"))
+    w = cut_lineage(w)
     base = items.where(fl.processed()).select("id", c("embedding").alias("vec"))
     how = {"k": limit, "radius": c("r"), "exclude_self": False, "inclusive": True, **tuning}
     m = nearest_within(w, base, **how) if index is None else index.nearest(w, **how)

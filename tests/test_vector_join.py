@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.operators.vector_index import VectorIndex
 from feedloom.operators.vector_join import nearest_within
 from feedloom.plans import similar as sm
 from feedloom.plans import stages as st
@@ -111,3 +112,26 @@ def test_tiles_of_a_task_do_not_multiply_the_shuffle(spark, vectors, monkeypatch
     monkeypatch.setattr(vj, "SHIPPED_ROWS", 10)
     assert {(r.query_id, r.id, r.distance) for r in nearest_within(df, df, k=3, radius=2.0, block_rows=4).collect()} == want
     assert sent[-1][0].count() > sent[0][0].count()
+
+
+@pytest.mark.parametrize("way", ["plain", "pivots", "index"])
+def test_watchlists_whose_last_bits_differ_between_evaluations(spark, vectors, way, tmp_path):
+    """Means are summed in the order in which the parts arrive."""
+
+    def means(batches):
+        rng = np.random.default_rng()
+        for b in batches:
+            b["concept_embedding"] = [v + 1e-13 * rng.normal(size=len(v)) for v in b["concept_embedding"]]
+            yield b
+
+    asked = [(f"w{k}", [float(x) for x in vectors[10 * k][1]], 0.5, True) for k in range(6)]
+    schema = "id string, concept_embedding array<double>, similarity_threshold double, is_active boolean"
+    lists = spark.createDataFrame(asked, schema)
+    items = item_frame(spark, [(i, v, None) for i, v in vectors])
+    how = {"plain": {}, "pivots": {"pivots": 9, "block_rows": 16}, "index": {}}[way]
+    if way == "index":
+        stored = frame(spark, vectors)
+        how["index"] = VectorIndex(spark, str(tmp_path / "index"), tops=2, leaves=4).create(stored).append(stored, 0)
+    got = sm.watchlist_matches(items, lists.mapInPandas(means, schema), limit=5, **how).collect()
+    want = brute([(i, np.array(v), 0.5) for i, v, *_ in asked], [(i, v.astype(float)) for i, v in vectors], 5, None, False, True)
+    assert {(r.watchlist_id, r.id, r.match_score, r.rn) for r in got} == {(q, i, round(1 - d, 6), n) for q, i, d, n in want} and len(want) == 30
